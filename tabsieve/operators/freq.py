@@ -67,8 +67,8 @@ def category_table(df: DataFrame, categorical_columns_: Sequence[str] | None = N
     The full rank uses :func:`ordered_positions`, so a feature with a huge vocabulary is ranked by many
     tasks; the per-feature totals are a one-row-per-feature table."""
     freq = frequency_table(df, categorical_columns_, null_label="Missing")
-    totals = freq.groupBy("feature").agg(F.sum("count").alias("_total"))
     ranked = ordered_positions(freq, ["feature"], [F.desc("count"), F.asc("category")], pos_col="rank")
+    totals = ranked.groupBy("feature").agg(F.sum("count").alias("_total"))  # from the checkpoint
     return (ranked.join(totals, "feature")
                   .select("feature", F.col("rank").cast("long").alias("rank"), "category",
                           F.col("count").cast("long").alias("count"),

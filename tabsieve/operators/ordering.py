@@ -18,6 +18,21 @@ from pyspark.sql import functions as F
 from tabsieve.session import checkpoint_dir
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+              null_safe: bool = True) -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (``<=>``); the right-hand key copies are dropped.
+    Right keys are renamed first so a self-derived right side cannot alias the left columns."""
+    keys = list(keys)
+    renamed = right.select(*[F.col(c).alias(f"_rk_{c}") if c in keys else F.col(c) for c in right.columns])
+    if not keys:
+        raise ValueError("join_keys needs at least one key")
+    cond = None
+    for k in keys:
+        term = F.col(k).eqNullSafe(F.col(f"_rk_{k}")) if null_safe else F.col(k) == F.col(f"_rk_{k}")
+        cond = term if cond is None else cond & term
+    return left.join(renamed, cond, how).drop(*[f"_rk_{k}" for k in keys])
+
+
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
@@ -48,7 +63,7 @@ def ordered_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slice", *group,
                            F.coalesce(F.sum("_slice_total").over(before), F.lit(0)).alias("_offset"))
-    return (local.join(offsets, ["_slice", *group])
+    return (join_keys(local, offsets, ["_slice", *group])
                  .withColumn(pos_col, F.col("_offset") + F.col("_local"))
                  .drop("_slice", "_w", "_local", "_offset"))
 
@@ -63,26 +78,37 @@ def weighted_quantiles(counts: DataFrame, group_cols: Sequence[str], probs: Sequ
                        aliases: Sequence[str], value_col: str = "_v",
                        weight_col: str = "_cnt") -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas ``quantile`` default) from a distinct
-    ``(group, value, weight)`` table.  One row per group with one column per probability.
-
-    Nothing per group is held in memory: positions come from :func:`ordered_positions`, then only
-    the (at most two per probability) rows covering the needed order statistics are kept."""
+    ``(group, value, weight)`` table.  One row per group with one column per probability."""
     group = list(group_cols)
     if not group:
         return (weighted_quantiles(counts.withColumn("_all", F.lit(0)), ["_all"], probs, aliases,
                                    value_col, weight_col).drop("_all"))
     pos = ordered_positions(counts, group, [value_col], weight_col=weight_col, pos_col="_end")
-    totals = counts.groupBy(*group).agg(F.sum(weight_col).alias("_n"))
+    return quantiles_from_positions(pos, group, probs, aliases, value_col, weight_col, "_end")
+
+
+def quantiles_from_positions(pos: DataFrame, group_cols: Sequence[str], probs: Sequence[float],
+                             aliases: Sequence[str], value_col: str = "_v", weight_col: str = "_cnt",
+                             pos_col: str = "_end") -> DataFrame:
+    """Quantiles from the output of :func:`ordered_positions` ordered by ``value_col``.
+
+    Nothing per group is held in memory: only the (at most two per probability) rows covering the
+    needed order statistics survive the filter; totals come from the same materialised frame, so
+    the source table is not scanned again."""
+    group = list(group_cols)
+    end = F.col(pos_col)
+    n1 = F.col("_n") - 1
     targets = F.array(*[
         F.struct(F.lit(i).alias("i"),
-                 F.floor((F.col("_n") - 1) * F.lit(float(p))).alias("lo"),
-                 F.ceil((F.col("_n") - 1) * F.lit(float(p))).alias("hi"),
-                 ((F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p))))
-                 .alias("t"))
+                 F.floor(n1 * F.lit(float(p))).alias("lo"),
+                 F.ceil(n1 * F.lit(float(p))).alias("hi"),
+                 (n1 * F.lit(float(p)) - F.floor(n1 * F.lit(float(p)))).alias("t"))
         for i, p in enumerate(probs)])
-    start = F.col("_end") - F.col(weight_col)  # 0-based positions [start, _end) hold this value
-    covers = lambda k: (k >= start) & (k < F.col("_end"))
-    covering = (pos.join(totals, group)
+    start = end - F.col(weight_col)  # 0-based positions [start, end) hold this value
+    covers = lambda k: (k >= start) & (k < end)
+    pos = pos.where(F.col(value_col).isNotNull())
+    totals = pos.groupBy(*group).agg(F.max(end).alias("_n"))
+    covering = (join_keys(pos, totals, group)
                    .select(*group, F.col(value_col).alias("_v"), start.alias("_s"),
                            F.explode(F.filter(targets, lambda x: covers(x["lo"]) | covers(x["hi"])))
                             .alias("_t")))
@@ -98,3 +124,9 @@ def weighted_quantiles(counts: DataFrame, group_cols: Sequence[str], probs: Sequ
              .otherwise(a + (b - a) * t))
     return per.groupBy(*group).agg(*[
         F.max(F.when(F.col("_i") == i, lerp)).alias(alias) for i, alias in enumerate(aliases)])
+
+
+def linspace_probs(n_bins: int) -> list[float]:
+    """``numpy.linspace(0, 1, n_bins + 1)`` (same floating values, e.g. 0.6000000000000001)."""
+    step = 1.0 / n_bins
+    return [i * step for i in range(n_bins)] + [1.0]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.operators import freq
+from tabsieve.operators import freq, profile
 from tabsieve.plans.catalog import register, rounded, table  # noqa: F401
 
 
@@ -33,3 +33,263 @@ def q_category_table(spark: SparkSession, sf: str):
         F.when(F.col("p_type") == "PROMO", None).when(F.col("p_type") == "SMALL", "Missing")
          .otherwise(F.col("p_type")).alias("p_type"))
     return freq.category_table(part, ["p_brand", "p_type"])
+
+
+@register("category_summary", """
+WITH b AS (SELECT o_orderstatus, nullif(o_orderpriority, '5-LOW') AS o_orderpriority FROM orders)
+SELECT 'o_orderstatus' AS feature, CAST(count(DISTINCT o_orderstatus) + max(CASE WHEN o_orderstatus IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unique_categories FROM b
+UNION ALL
+SELECT 'o_orderpriority', CAST(count(DISTINCT o_orderpriority) + max(CASE WHEN o_orderpriority IS NULL THEN 1 ELSE 0 END) AS BIGINT) FROM b
+""")
+def q_category_summary(spark, sf):
+    o = table(spark, sf, "orders").select(
+        "o_orderstatus", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"))
+    return freq.category_summary(o, ["o_orderstatus", "o_orderpriority"])
+
+
+@register("rare_categories", """
+WITH v AS (SELECT 'p_name' AS feature, p_name AS category FROM part
+           UNION ALL SELECT 'p_brand', p_brand FROM part),
+f AS (SELECT feature, category, count(*) AS cnt FROM v GROUP BY 1, 2),
+t AS (SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, category) AS BIGINT) AS rank,
+             category, CAST(cnt AS BIGINT) AS count,
+             round_even(cnt::DOUBLE / sum(cnt) OVER (PARTITION BY feature) * 100, 2) AS percentage FROM f)
+SELECT * FROM t WHERE count <= 25
+""")
+def q_rare_categories(spark, sf):
+    part = table(spark, sf, "part")
+    return freq.rare_categories(freq.category_table(part, ["p_name", "p_brand"]), max_count=25)
+
+
+@register("value_counts", """
+SELECT event_type AS category, CAST(count(*) AS BIGINT) AS count FROM events GROUP BY 1
+""")
+def q_value_counts(spark, sf):
+    return freq.value_counts(table(spark, sf, "events"), "event_type")
+
+
+@register("currency_counts", """
+SELECT CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderstatus END AS category,
+       CAST(count(*) AS BIGINT) AS count
+FROM orders GROUP BY 1
+""")
+def q_currency_counts(spark, sf):
+    o = table(spark, sf, "orders").select(F.nullif("o_orderstatus", F.lit("O")).alias("o_orderstatus"))
+    return freq.value_counts(o, "o_orderstatus", dropna=False)
+
+
+@register("top_n_other", """
+WITH v AS (SELECT 'p_brand' AS feature, coalesce(nullif(p_brand, 'Brand#4'), 'Missing') AS category FROM part
+           UNION ALL SELECT 'p_type', p_type FROM part),
+f AS (SELECT feature, category, count(*) AS cnt FROM v GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, category) AS rn,
+             count(*) OVER (PARTITION BY feature) AS k FROM f)
+SELECT feature, category, CAST(cnt AS BIGINT) AS count, false AS is_rollup FROM r WHERE rn <= 10
+UNION ALL
+SELECT feature, 'Other', CAST(sum(cnt) AS BIGINT), true FROM r WHERE rn > 10 GROUP BY feature
+""")
+def q_top_n_other(spark, sf):
+    part = table(spark, sf, "part").select(F.nullif("p_brand", F.lit("Brand#4")).alias("p_brand"), "p_type")
+    return freq.top_n_other(part, ["p_brand", "p_type"], top_n=10)
+
+
+@register("explore_categorical", """
+WITH base AS (SELECT nullif(c_mktsegment, 'HOUSEHOLD') AS c_mktsegment, c_name,
+                     CASE WHEN c_acctbal > 0 THEN 'True' ELSE 'False' END AS c_positive FROM customer),
+long AS (SELECT 'c_mktsegment' AS feature, 'string' AS dtype, c_mktsegment AS v FROM base
+         UNION ALL SELECT 'c_name', 'string', c_name FROM base
+         UNION ALL SELECT 'c_positive', 'boolean', c_positive FROM base),
+f AS (SELECT feature, dtype, v, count(*) AS cnt FROM long GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, v) AS rn_top,
+                row_number() OVER (PARTITION BY feature ORDER BY cnt ASC, v DESC) AS rn_low
+      FROM f WHERE v IS NOT NULL),
+tot AS (SELECT feature, dtype, sum(cnt) AS n, coalesce(sum(cnt) FILTER (WHERE v IS NULL), 0) AS miss,
+               count(v) AS uniq, count(*) FILTER (WHERE v IS NOT NULL AND cnt <= 1) AS rare
+        FROM f GROUP BY ALL),
+agg AS (SELECT feature,
+               string_agg(v || ': ' || cnt, ' | ' ORDER BY rn_top) FILTER (WHERE rn_top <= 5) AS categories_preview,
+               max(v) FILTER (WHERE rn_top = 1) AS most_frequent,
+               max(cnt) FILTER (WHERE rn_top = 1) AS most_frequent_count,
+               string_agg(v || ': ' || cnt, ' | ' ORDER BY cnt, v) FILTER (WHERE rn_low <= 5) AS least_frequent_preview
+        FROM r GROUP BY feature)
+SELECT tot.feature, dtype, categories_preview, most_frequent,
+       CAST(most_frequent_count AS BIGINT) AS most_frequent_count,
+       round_even(most_frequent_count::DOUBLE / n * 100, 2) AS most_frequent_pct,
+       least_frequent_preview, CAST(rare AS BIGINT) AS rare_categories,
+       CAST(miss AS BIGINT) AS missing, round_even(miss::DOUBLE / n * 100, 2) AS missing_pct,
+       CAST(n - miss AS BIGINT) AS non_missing, CAST(uniq AS BIGINT) AS "unique",
+       round_even(uniq::DOUBLE / n * 100, 2) AS unique_pct
+FROM tot LEFT JOIN agg USING (feature)
+""")
+def q_explore_categorical(spark, sf):
+    c = table(spark, sf, "customer").select(
+        F.nullif("c_mktsegment", F.lit("HOUSEHOLD")).alias("c_mktsegment"), "c_name",
+        (F.col("c_acctbal") > 0).alias("c_positive"))
+    return profile.categorical_profile(c, ["c_mktsegment", "c_name", "c_positive"])
+
+
+# ------------------------------------------------------------------------------------------ profile
+_STATS6 = ["min", "q1", "median", "mean", "q3", "max", "std"]
+
+
+@register("explore_target", """
+WITH base AS (
+  SELECT CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderstatus END AS grp,
+         CASE WHEN o_orderpriority = '5-LOW' THEN NULL
+              WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN 0.0
+              ELSE o_totalprice END AS v
+  FROM orders),
+g AS (
+  SELECT CASE WHEN grouping(grp) = 1 THEN 'All' ELSE grp END AS "group", grouping(grp) = 1 AS is_total,
+         count(v) AS count, CAST(count(*) - count(v) AS BIGINT) AS missing,
+         round_even((count(*) - count(v))::DOUBLE / count(*) * 100, 2) AS missing_pct,
+         min(v) AS mn, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, avg(v) AS mean,
+         quantile_cont(v, 0.75) AS q3, max(v) AS mx, stddev_samp(v) AS std,
+         CAST(count(*) FILTER (WHERE v = 0) AS BIGINT) AS zero_count
+  FROM base GROUP BY GROUPING SETS ((), (grp)))
+SELECT "group", is_total, count, missing, missing_pct, round_even(mn, 6) AS min, round_even(q1, 6) AS q1,
+       round_even(median, 6) AS median, round_even(mean, 6) AS mean, round_even(q3, 6) AS q3,
+       round_even(mx, 6) AS max, round_even(std, 6) AS std, zero_count
+FROM g
+""")
+def q_explore_target(spark, sf):
+    o = table(spark, sf, "orders")
+    status = F.col("o_orderstatus")
+    o = o.select(F.nullif(status, F.lit("O")).alias("o_orderstatus"),
+                 F.when(F.col("o_orderpriority") == "5-LOW", None)
+                  .when((F.col("o_orderpriority") == "1-URGENT") & (status == "P"), 0.0)
+                  .otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    return rounded(profile.explore_target(o, "o_totalprice", "o_orderstatus"), _STATS6)
+
+
+def _numeric_profile_sql(cte: str, cols: list[tuple[str, str]]) -> str:
+    union = "\n  UNION ALL ".join(
+        f"SELECT '{c}' AS feature, '{t}' AS dtype, CAST({c} AS DOUBLE) AS v FROM base" for c, t in cols)
+    return f"""
+WITH base AS ({cte}),
+long AS ({union}),
+s AS (SELECT feature, dtype, count(v) AS nn, count(*) - count(v) AS miss, count(*) AS n,
+             min(v) AS mn, max(v) AS mx, avg(v) AS mean, quantile_cont(v, 0.5) AS median,
+             stddev_samp(v) AS std, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3,
+             count(*) FILTER (WHERE v = 0) AS zc, count(DISTINCT v) AS uq
+      FROM long GROUP BY 1, 2),
+o AS (SELECT l.feature, count(*) FILTER (WHERE l.v < s.q1 - 1.5 * (s.q3 - s.q1)
+                                         OR l.v > s.q3 + 1.5 * (s.q3 - s.q1)) AS oc
+      FROM long l JOIN s USING (feature) GROUP BY 1)
+SELECT feature, dtype, CAST(nn AS BIGINT) AS non_missing, CAST(miss AS BIGINT) AS missing,
+       round_even(miss::DOUBLE / n * 100, 2) AS missing_pct,
+       round_even(mn, 6) AS min, round_even(mx, 6) AS max, round_even(mean, 6) AS mean,
+       round_even(median, 6) AS median, round_even(std, 6) AS std, round_even(q1, 6) AS q1,
+       round_even(q3, 6) AS q3, CAST(zc AS BIGINT) AS zero_count, CAST(oc AS BIGINT) AS outlier_count,
+       round_even(oc::DOUBLE / n * 100, 2) AS outlier_pct, CAST(uq AS BIGINT) AS "unique",
+       round_even(uq::DOUBLE / n * 100, 2) AS unique_pct
+FROM s JOIN o USING (feature)
+"""
+
+
+_NUM_COLS = ["min", "max", "mean", "median", "std", "q1", "q3"]
+
+
+@register("explore_numeric", _numeric_profile_sql(
+    "SELECT user_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events",
+    [("user_id", "bigint"), ("value", "double")]))
+def q_explore_numeric(spark, sf):
+    e = table(spark, sf, "events").select(
+        "user_id", F.when(F.col("event_type") == "error", None).otherwise(F.col("value")).alias("value"))
+    return rounded(profile.numeric_profile(e, ["user_id", "value"]), _NUM_COLS)
+
+
+@register("explore_numeric_documents", _numeric_profile_sql(
+    "SELECT n_chars, doc_id FROM documents", [("n_chars", "bigint"), ("doc_id", "bigint")]))
+def q_explore_numeric_documents(spark, sf):
+    d = table(spark, sf, "documents")
+    return rounded(profile.numeric_profile(d, ["n_chars", "doc_id"]), _NUM_COLS)
+
+
+@register("duplicate_rows_documents", """
+SELECT CAST(sum(c) AS BIGINT) AS total_rows, CAST(sum(c - 1) AS BIGINT) AS duplicate_rows
+FROM (SELECT count(*) AS c FROM documents GROUP BY text, lang, source)
+""")
+def q_duplicate_rows_documents(spark, sf):
+    return profile.duplicate_rows(table(spark, sf, "documents").select("text", "lang", "source"))
+
+
+@register("duplicate_rows_events", """
+SELECT CAST(sum(c) AS BIGINT) AS total_rows, CAST(sum(c - 1) AS BIGINT) AS duplicate_rows
+FROM (SELECT count(*) AS c FROM events GROUP BY user_id, event_type, value)
+""")
+def q_duplicate_rows_events(spark, sf):
+    return profile.duplicate_rows(table(spark, sf, "events"), ["user_id", "event_type", "value"])
+
+
+_LINEITEM_NULLED_SQL = """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+       CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN NULL ELSE l_discount END AS l_discount,
+       CASE WHEN l_linenumber = 7 THEN NULL ELSE l_tax END AS l_tax,
+       l_returnflag, l_linestatus, l_shipdate,
+       'x' AS l_const, CAST(NULL AS VARCHAR) AS l_empty,
+       CASE WHEN l_linenumber = 7 THEN 1 END AS l_seven
+FROM lineitem"""
+
+_LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "l_const",
+                  "l_empty", "l_seven"]
+
+
+def _lineitem_nulled(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), None)
+         .otherwise(F.col("l_discount")).alias("l_discount"),
+        F.when(F.col("l_linenumber") == 7, None).otherwise(F.col("l_tax")).alias("l_tax"),
+        "l_returnflag", "l_linestatus", "l_shipdate", F.lit("x").alias("l_const"),
+        F.lit(None).cast("string").alias("l_empty"),
+        F.when(F.col("l_linenumber") == 7, F.lit(1)).alias("l_seven"))
+
+
+def _per_column_sql(expr: str) -> str:
+    return "\n  UNION ALL ".join(expr.format(c=c, i=i) for i, c in enumerate(_LINEITEM_COLS))
+
+
+_MISSING_PARTS = _per_column_sql("""SELECT '{c}' AS "column", count(*) - count({c}) AS mc, count(*) AS n FROM b""")
+_UNIQUE_PARTS = _per_column_sql("""SELECT '{c}' AS "column", count(DISTINCT {c}) AS u, count(*) AS n FROM b""")
+_CONST_PARTS = _per_column_sql("""SELECT '{c}' AS "column", count(DISTINCT {c}) AS u, CAST(min({c}) AS VARCHAR) AS v FROM b""")
+
+
+@register("missing_summary", f"""
+WITH b AS ({_LINEITEM_NULLED_SQL}),
+m AS ({_MISSING_PARTS})
+SELECT "column", CAST(mc AS BIGINT) AS missing_count, round_even(mc::DOUBLE / n * 100, 2) AS missing_percentage
+FROM m WHERE mc > 0
+""")
+def q_missing_summary(spark, sf):
+    return profile.missing_summary(_lineitem_nulled(spark, sf))
+
+
+@register("unique_summary", f"""
+WITH b AS ({_LINEITEM_NULLED_SQL}),
+u AS ({_UNIQUE_PARTS})
+SELECT "column", CAST(u AS BIGINT) AS unique_values, round_even(u::DOUBLE / n * 100, 2) AS unique_pct FROM u
+""")
+def q_unique_summary(spark, sf):
+    return profile.unique_summary(_lineitem_nulled(spark, sf))
+
+
+@register("constant_columns", f"""
+WITH b AS ({_LINEITEM_NULLED_SQL}),
+u AS ({_CONST_PARTS})
+SELECT "column", v AS unique_value FROM u WHERE u <= 1
+""")
+def q_constant_columns(spark, sf):
+    return profile.constant_columns(_lineitem_nulled(spark, sf))
+
+
+@register("range_check", """
+SELECT 'p_size' AS "column", 45.0::DOUBLE AS "limit", max(p_size)::DOUBLE AS max_value,
+       CAST(count(*) FILTER (WHERE p_size > 45) AS BIGINT) AS above_limit FROM part
+UNION ALL
+SELECT 'p_retailprice', 2000.0::DOUBLE, max(p_retailprice), CAST(count(*) FILTER (WHERE p_retailprice > 2000) AS BIGINT) FROM part
+""")
+def q_range_check(spark, sf):
+    return profile.range_check(table(spark, sf, "part"), {"p_size": 45, "p_retailprice": 2000})
