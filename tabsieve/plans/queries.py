@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.operators import freq, profile
+from tabsieve.operators import binning, cleaning, distribution, encoding, freq, profile, splitting
 from tabsieve.plans.catalog import register, rounded, table  # noqa: F401
 
 
@@ -293,3 +293,245 @@ SELECT 'p_retailprice', 2000.0::DOUBLE, max(p_retailprice), CAST(count(*) FILTER
 """)
 def q_range_check(spark, sf):
     return profile.range_check(table(spark, sf, "part"), {"p_size": 45, "p_retailprice": 2000})
+
+
+# ----------------------------------------------------------------------------------------- cleaning
+@register("unit_conversion", """
+SELECT o_orderkey,
+       round_even(CASE WHEN o_orderstatus = 'P' THEN o_totalprice / 904.125::DOUBLE ELSE o_totalprice END, 6) AS o_totalprice,
+       o_orderpriority
+FROM orders
+""")
+def q_unit_conversion(spark, sf):
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_totalprice").cast("string").alias("o_totalprice"), "o_orderstatus", "o_orderpriority")
+    out = cleaning.convert_currency(o, "o_totalprice", "o_orderstatus", symbol="P")
+    return rounded(out, ["o_totalprice"])
+
+
+_LABEL_TEXT_SQL = """CASE WHEN quality = 1 AND toxic = 1 THEN ' SI ' WHEN quality = 1 THEN 'Sí'
+                          WHEN toxic = 1 THEN NULL ELSE 'No' END"""
+
+
+@register("binary_encode", f"""
+SELECT doc_id, CAST(CASE WHEN lower(trim(t)) IN ('sí', 'si') THEN 1 WHEN lower(trim(t)) = 'no' THEN 0 END AS INTEGER) AS has_quality
+FROM (SELECT doc_id, {_LABEL_TEXT_SQL} AS t FROM labels)
+""")
+def q_binary_encode(spark, sf):
+    lab = table(spark, sf, "labels")
+    q, t = F.col("quality"), F.col("toxic")
+    text = (F.when((q == 1) & (t == 1), F.lit(" SI ")).when(q == 1, F.lit("Sí"))
+             .when(t == 1, F.lit(None).cast("string")).otherwise(F.lit("No")))
+    return cleaning.encode_binary(lab.select("doc_id", text.alias("has_quality")), "has_quality")
+
+
+@register("range_filter", """
+SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size <= 45 AND p_retailprice <= 1800
+""")
+def q_range_filter(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    return cleaning.remove_invalid_values(p, "p_size", "p_retailprice", max_year=45, max_doors=1800)
+
+
+@register("drop_missing", """
+SELECT doc_id, quality FROM (SELECT doc_id, quality, CASE WHEN toxic = 1 THEN NULL ELSE toxic END AS toxic FROM labels)
+WHERE toxic IS NOT NULL
+""")
+def q_drop_missing(spark, sf):
+    lab = table(spark, sf, "labels").select(
+        "doc_id", "quality", F.when(F.col("toxic") == 1, None).otherwise(F.col("toxic")).alias("toxic"))
+    return cleaning.drop_columns(cleaning.drop_missing(lab, ["toxic"]), ["toxic", "not_a_column"])
+
+
+# Fixed test dictionary (the shape of the reference's brand/colour maps; "large" listed twice so the
+# later entry must win).
+_TYPE_MAP = {
+    "Big": ["large", "STANDARD"],
+    "small": ["Smáll", "small-x"],
+    "misc": ["promo", "economy", "large"],
+}
+
+_MANGLED_TYPE_SQL = """CASE WHEN p_size <= 10 THEN concat('  ', lower(p_type), '-x')
+                            WHEN p_size <= 20 THEN replace(p_type, 'A', 'Á')
+                            WHEN p_size <= 25 THEN NULL
+                            WHEN p_size <= 30 THEN replace(p_type, 'E', '_e ')
+                            ELSE p_type END"""
+
+
+@register("semantic_mapping", f"""
+WITH b AS (SELECT p_partkey, {_MANGLED_TYPE_SQL} AS t FROM part),
+n AS (SELECT p_partkey,
+             CASE WHEN t IS NULL THEN 'missing'
+                  ELSE trim(regexp_replace(replace(replace(strip_accents(lower(trim(t))), '_', ' '), '-', ' '), '\\s+', ' ', 'g'))
+             END AS v FROM b)
+SELECT p_partkey, CASE v WHEN 'standard' THEN 'big' WHEN 'small' THEN 'small' WHEN 'small x' THEN 'small'
+                         WHEN 'promo' THEN 'misc' WHEN 'economy' THEN 'misc' WHEN 'large' THEN 'misc'
+                         ELSE v END AS p_type
+FROM n
+""")
+def q_semantic_mapping(spark, sf):
+    p = table(spark, sf, "part")
+    size, ptype = F.col("p_size"), F.col("p_type")
+    mangled = (F.when(size <= 10, F.concat(F.lit("  "), F.lower(ptype), F.lit("-x")))
+                .when(size <= 20, F.replace(ptype, F.lit("A"), F.lit("Á")))
+                .when(size <= 25, F.lit(None).cast("string"))
+                .when(size <= 30, F.replace(ptype, F.lit("E"), F.lit("_e ")))
+                .otherwise(ptype))
+    return cleaning.apply_semantic_mapping(p.select("p_partkey", mangled.alias("p_type")), "p_type", _TYPE_MAP)
+
+
+@register("one_hot", """
+SELECT c_custkey,
+       CAST(coalesce(seg = 'AUTOMOBILE', false) AS INTEGER) AS c_mktsegmentAUTOMOBILE,
+       CAST(coalesce(seg = 'BUILDING', false) AS INTEGER) AS c_mktsegmentBUILDING,
+       CAST(coalesce(seg = 'FURNITURE', false) AS INTEGER) AS c_mktsegmentFURNITURE,
+       CAST(coalesce(seg = 'HOUSEHOLD', false) AS INTEGER) AS c_mktsegmentHOUSEHOLD
+FROM (SELECT c_custkey, nullif(c_mktsegment, 'HOUSEHOLD') AS seg FROM customer)
+""")
+def q_one_hot(spark, sf):
+    c = table(spark, sf, "customer")
+    model = encoding.fit_one_hot(c.where(F.col("c_mktsegment") != "MACHINERY"), ["c_mktsegment"])
+    scoring = c.select("c_custkey", F.nullif("c_mktsegment", F.lit("HOUSEHOLD")).alias("c_mktsegment"))
+    return model.transform(scoring)
+
+
+# ---------------------------------------------------------------------------------- binning / split
+_EDGES_SQL = """(SELECT list_sort(list_distinct(quantile_cont(p_retailprice, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS e FROM part)"""
+
+
+@register("quantile_bins", f"""
+SELECT p_partkey,
+       CASE WHEN p_retailprice = e[1] THEN '0'
+            ELSE CAST(len(list_filter(e, lambda q: q < p_retailprice)) - 1 AS VARCHAR) END AS price_bin
+FROM part, {_EDGES_SQL} AS edges
+""")
+def q_quantile_bins(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    return binning.quantile_bins(p, "p_retailprice", 4).select("p_partkey", "price_bin")
+
+
+@register("strata", f"""
+WITH b AS (
+  SELECT p_partkey, coalesce(nullif(p_brand, 'Brand#7'), 'Unknown') || '_price_bin_' ||
+         CASE WHEN p_retailprice = e[1] THEN '0'
+              ELSE CAST(len(list_filter(e, lambda q: q < p_retailprice)) - 1 AS VARCHAR) END AS s
+  FROM part, {_EDGES_SQL} AS edges)
+SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY s) < 20 THEN 'Other' ELSE s END AS stratum FROM b
+""")
+def q_strata(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.nullif("p_brand", F.lit("Brand#7")).alias("p_brand"),
+                                        "p_retailprice")
+    return binning.brand_price_strata(p, "p_brand", "p_retailprice", 4, 20).select("p_partkey", "stratum")
+
+
+@register("stratified_split", """
+WITH b AS (SELECT o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), 'Unknown') AS s,
+                  md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '42')) AS h FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, o_orderkey) AS rn,
+             count(*) OVER (PARTITION BY s) AS n FROM b)
+SELECT o_orderkey, s AS stratum,
+       CASE WHEN rn <= round_even(n::DOUBLE * 0.8, 0) THEN 'train' ELSE 'validation' END AS split
+FROM r
+""")
+def q_stratified_split(spark, sf):
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"))
+    out = splitting.stratified_split(o, "o_orderpriority", ["o_orderkey"], 0.80, 42, stratum_col="stratum")
+    return out.select("o_orderkey", "stratum", "split")
+
+
+# ------------------------------------------------------------------------------------ distributions
+def _numpy_bin_sql(v: str) -> str:
+    """SQL twin of distribution.numpy_bin over columns f (first edge), l (last edge), nb (bins)."""
+    i1 = f"LEAST(CAST(floor(({v} - f) / (l - f) * nb) AS INTEGER), nb - 1)"
+    e = lambda i: f"(CASE WHEN {i} >= nb THEN l ELSE f + ({i}) * ((l - f) / nb) END)"
+    i2 = f"(CASE WHEN {v} < {e(i1)} THEN {i1} - 1 ELSE {i1} END)"
+    return f"(CASE WHEN {v} >= {e(i2 + ' + 1')} AND {i2} <> nb - 1 THEN {i2} + 1 ELSE {i2} END)"
+
+
+@register("histogram", f"""
+WITH v AS (SELECT event_type AS grp, value AS v FROM events),
+p AS (SELECT grp, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS f,
+             CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS l, 40 AS nb FROM v GROUP BY grp),
+c AS (SELECT grp, {_numpy_bin_sql('v')} AS bin, count(*) AS cnt FROM v JOIN p USING (grp) GROUP BY ALL),
+g AS (SELECT grp, f, l, nb, CAST(unnest(range(0, nb)) AS INTEGER) AS bin FROM p),
+m AS (SELECT grp, quantile_cont(v, 0.5) AS median FROM v GROUP BY grp)
+SELECT grp AS "group", bin, round_even(f + bin * ((l - f) / nb), 6) AS bin_start,
+       round_even(CASE WHEN bin = nb - 1 THEN l ELSE f + (bin + 1) * ((l - f) / nb) END, 6) AS bin_end,
+       CAST(coalesce(cnt, 0) AS BIGINT) AS count, round_even(median, 6) AS median
+FROM g LEFT JOIN c USING (grp, bin) JOIN m USING (grp)
+""")
+def q_histogram(spark, sf):
+    e = table(spark, sf, "events")
+    return rounded(distribution.histogram_by_group(e, "value", "event_type", 40),
+                   ["bin_start", "bin_end", "median"])
+
+
+@register("raw_distribution", f"""
+WITH v AS (SELECT 'p_size' AS feature, CAST(p_size AS DOUBLE) AS v FROM part
+           UNION ALL SELECT 'p_retailprice', p_retailprice FROM part),
+lim AS (SELECT feature, quantile_cont(v, 0.01) AS plo, quantile_cont(v, 0.99) AS phi,
+               quantile_cont(v, 0.5) AS median FROM v GROUP BY feature),
+t AS (SELECT feature, v.v FROM v JOIN lim USING (feature) WHERE v.v BETWEEN plo AND phi),
+p AS (SELECT feature, feature = 'p_size' AS is_int,
+             CASE WHEN feature = 'p_size' THEN floor(min(v)) - 0.5
+                  WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS f,
+             CASE WHEN feature = 'p_size' THEN floor(min(v)) - 0.5 + (ceil(max(v)) - floor(min(v)) + 1)
+                  WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS l,
+             CAST(CASE WHEN feature = 'p_size' THEN ceil(max(v)) - floor(min(v)) + 1 ELSE 35 END AS INTEGER) AS nb
+      FROM t GROUP BY feature),
+c AS (SELECT feature, CASE WHEN is_int THEN LEAST(CAST(floor(v - f) AS INTEGER), nb - 1)
+                           ELSE {_numpy_bin_sql('v')} END AS bin, count(*) AS cnt
+      FROM t JOIN p USING (feature) GROUP BY ALL),
+g AS (SELECT feature, f, l, nb, CAST(unnest(range(0, nb)) AS INTEGER) AS bin FROM p)
+SELECT feature, bin, round_even(f + bin * ((l - f) / nb), 6) AS bin_start,
+       round_even(CASE WHEN bin = nb - 1 THEN l ELSE f + (bin + 1) * ((l - f) / nb) END, 6) AS bin_end,
+       CAST(coalesce(cnt, 0) AS BIGINT) AS count, round_even(median, 6) AS median
+FROM g LEFT JOIN c USING (feature, bin) JOIN lim USING (feature)
+""")
+def q_raw_distribution(spark, sf):
+    p = table(spark, sf, "part")
+    out = distribution.raw_distributions(p, ["p_size", "p_retailprice", "absent"], bins=35,
+                                         integer_columns=["p_size"])
+    return rounded(out, ["bin_start", "bin_end", "median"])
+
+
+@register("percentile_trim", """
+SELECT p_partkey, p_retailprice FROM part
+WHERE p_retailprice BETWEEN (SELECT quantile_cont(p_retailprice, 0.01) FROM part)
+                        AND (SELECT quantile_cont(p_retailprice, 0.99) FROM part)
+""")
+def q_percentile_trim(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    return distribution.percentile_trim(p, "p_retailprice")
+
+
+@register("boxplot_stats", """
+WITH v AS (SELECT 'value' AS feature, event_type AS grp, value AS v FROM events
+           UNION ALL SELECT 'user_id', NULL, CAST(user_id AS DOUBLE) FROM events),
+q AS (SELECT feature, grp, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+             quantile_cont(v, 0.75) AS q3 FROM v GROUP BY ALL)
+SELECT feature, q.grp AS "group", CAST(count(*) AS BIGINT) AS n, round_even(q1, 6) AS q1,
+       round_even(median, 6) AS median, round_even(q3, 6) AS q3,
+       round_even(min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low,
+       round_even(max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
+       CAST(count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS fliers
+FROM v JOIN q USING (feature) WHERE v.grp IS NOT DISTINCT FROM q.grp
+GROUP BY feature, q.grp, q1, median, q3
+""")
+def q_boxplot_stats(spark, sf):
+    e = table(spark, sf, "events")
+    out = distribution.boxplot_stats(e, ["value", "user_id"], group_col="event_type", grouped_columns=["value"])
+    return rounded(out, ["q1", "median", "q3", "whisker_low", "whisker_high"])
+
+
+@register("missing_by_year", """
+SELECT CAST(year(o_orderdate) AS BIGINT) AS o_year, CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS BIGINT) AS missing,
+       round_even(avg(CASE WHEN o_orderpriority = '5-LOW' THEN 1.0 ELSE 0.0 END) * 100, 6) AS missing_pct
+FROM orders GROUP BY 1
+""")
+def q_missing_by_year(spark, sf):
+    o = table(spark, sf, "orders").select(
+        F.year("o_orderdate").alias("o_year"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("prio"))
+    return rounded(distribution.missing_by_group(o, "o_year", "prio"), ["missing_pct"])
