@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsieve._ship import ship_by_value
+
 from tabsieve.functions.missing import PY_WS_CLASS, py_strip
 
 MISSING_TOKEN = "missing"
@@ -50,7 +52,9 @@ def normalize_text_value(value) -> str:
 def _batch(fn):
     def apply(s: pd.Series) -> pd.Series:
         uniq = s.dropna().unique()
-        return s.map({u: fn(u) for u in uniq})
+        out = s.map({u: fn(u) for u in uniq}).astype(object)
+        out[s.isna()] = None  # an all-NULL batch would otherwise come back as float NaN
+        return out
     return apply
 
 
@@ -78,3 +82,6 @@ def normalize_text(c: Column) -> Column:
     return (F.when(c.isNull(), F.lit(MISSING_TOKEN))
              .when(ascii_, fast)
              .otherwise(_text_udf(F.when(~ascii_, c))))
+
+
+ship_by_value(__name__)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.operators import binning, cleaning, distribution, encoding, freq, profile, splitting
+from tabsieve.operators import binning, cleaning, distribution, encoding, freq, fuzzy, profile, splitting
 from tabsieve.plans.catalog import register, rounded, table  # noqa: F401
 
 
@@ -535,3 +535,45 @@ def q_missing_by_year(spark, sf):
     o = table(spark, sf, "orders").select(
         F.year("o_orderdate").alias("o_year"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("prio"))
     return rounded(distribution.missing_by_group(o, "o_year", "prio"), ["missing_pct"])
+
+
+# ------------------------------------------------------------------------------------------- fuzzy
+# Iterative / difflib-based: no SQL oracle (rows-only check by the driver); tests/test_fuzzy.py checks
+# them against the sequential reference algorithm on fixtures and the golden values of FIXTURES.md.
+@register("semantic_repetitions")
+def q_semantic_repetitions(spark, sf):
+    return fuzzy.semantic_repetitions(table(spark, sf, "part"), ["p_name"], similarity_threshold=0.80)
+
+
+@register("suggest_mapping")
+def q_suggest_mapping(spark, sf):
+    return fuzzy.suggest_category_mapping(table(spark, sf, "part"), "p_name", threshold=0.85)
+
+
+@register("apply_mapping")
+def q_apply_mapping(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    mapping = fuzzy.suggest_category_mapping(part, "p_name", threshold=0.85)
+    return cleaning.apply_category_mapping(part, "p_name", mapping, manual_mapping={"red plate": "plate"})
+
+
+@register("normalize_text", r"""
+WITH b AS (SELECT p_partkey, CASE WHEN p_size <= 5 THEN NULL
+                                  WHEN p_size <= 20 THEN upper(replace(p_name, 'o', 'ö'))
+                                  WHEN p_size <= 30 THEN concat(' ', replace(p_name, ' ', '--'), '! ')
+                                  ELSE p_name END AS t FROM part)
+SELECT p_partkey,
+       CASE WHEN t IS NULL THEN 'missing'
+            ELSE trim(regexp_replace(regexp_replace(strip_accents(lower(t)), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))
+       END AS p_name
+FROM b
+""")
+def q_normalize_text(spark, sf):
+    from tabsieve.functions.text import normalize_text as norm2
+    p = table(spark, sf, "part")
+    size, name = F.col("p_size"), F.col("p_name")
+    t = (F.when(size <= 5, F.lit(None).cast("string"))
+          .when(size <= 20, F.upper(F.replace(name, F.lit("o"), F.lit("ö"))))
+          .when(size <= 30, F.concat(F.lit(" "), F.replace(name, F.lit(" "), F.lit("--")), F.lit("! ")))
+          .otherwise(name))
+    return p.select("p_partkey", norm2(t).alias("p_name"))
