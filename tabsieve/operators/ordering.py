@@ -39,7 +39,8 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
 
 def ordered_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
                       weight_col: str | None = None, pos_col: str = "_pos",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, total_col: str | None = None,
+                      total_nonnull_of: str | None = None) -> DataFrame:
     """Add ``pos_col`` = inclusive running total of ``weight_col`` (1 per row when None) within each
     group, in the order given by ``order_cols``.  ``group_cols + order_cols`` must be a total order
     (unique per row) so the result is deterministic.  With unit weights ``pos_col`` is the 1-based
@@ -50,7 +51,7 @@ def ordered_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     group = list(group_cols)
     if not group:  # one implicit group; keeps every join an equi-join
         return (ordered_positions(df.withColumn("_all", F.lit(0)), ["_all"], order_cols, weight_col,
-                                  pos_col, num_partitions).drop("_all"))
+                                  pos_col, num_partitions, total_col, total_nonnull_of).drop("_all"))
     keys = _cols(group) + _cols(order_cols)
     weight = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     sliced = (df.repartitionByRange(n, *keys)
@@ -59,10 +60,18 @@ def ordered_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     local_w = (Window.partitionBy("_slice", *group).orderBy(*_cols(order_cols))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = sliced.withColumn("_local", F.sum("_w").over(local_w)).checkpoint(eager=True)
-    sizes = local.groupBy("_slice", *group).agg(F.max("_local").alias("_slice_total"))
+    counted = F.col("_w") if total_nonnull_of is None else F.when(F.col(total_nonnull_of).isNotNull(), F.col("_w"))
+    sizes = local.groupBy("_slice", *group).agg(F.max("_local").alias("_slice_total"),
+                                                F.sum(counted).alias("_slice_counted"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
     offsets = sizes.select("_slice", *group,
-                           F.coalesce(F.sum("_slice_total").over(before), F.lit(0)).alias("_offset"))
+                           F.coalesce(F.sum("_slice_total").over(before), F.lit(0)).alias("_offset"),
+                           F.coalesce(F.sum("_slice_counted").over(whole), F.lit(0)).alias("_gtotal"))
+    if total_col is None:
+        offsets = offsets.drop("_gtotal")
+    else:
+        offsets = offsets.withColumnRenamed("_gtotal", total_col)
     return (join_keys(local, offsets, ["_slice", *group])
                  .withColumn(pos_col, F.col("_offset") + F.col("_local"))
                  .drop("_slice", "_w", "_local", "_offset"))
@@ -83,21 +92,22 @@ def weighted_quantiles(counts: DataFrame, group_cols: Sequence[str], probs: Sequ
     if not group:
         return (weighted_quantiles(counts.withColumn("_all", F.lit(0)), ["_all"], probs, aliases,
                                    value_col, weight_col).drop("_all"))
-    pos = ordered_positions(counts, group, [value_col], weight_col=weight_col, pos_col="_end")
-    return quantiles_from_positions(pos, group, probs, aliases, value_col, weight_col, "_end")
+    pos = ordered_positions(counts, group, [value_col], weight_col=weight_col, pos_col="_end",
+                            total_col="_n", total_nonnull_of=value_col)
+    return quantiles_from_positions(pos, group, probs, aliases, value_col, weight_col, "_end", "_n")
 
 
 def quantiles_from_positions(pos: DataFrame, group_cols: Sequence[str], probs: Sequence[float],
                              aliases: Sequence[str], value_col: str = "_v", weight_col: str = "_cnt",
-                             pos_col: str = "_end") -> DataFrame:
-    """Quantiles from the output of :func:`ordered_positions` ordered by ``value_col``.
+                             pos_col: str = "_end", total_col: str = "_n") -> DataFrame:
+    """Quantiles from the output of :func:`ordered_positions` ordered by ``value_col`` (NULLs last)
+    carrying the group's non-null weight in ``total_col``.
 
     Nothing per group is held in memory: only the (at most two per probability) rows covering the
-    needed order statistics survive the filter; totals come from the same materialised frame, so
-    the source table is not scanned again."""
+    needed order statistics survive the filter, and one aggregation picks them."""
     group = list(group_cols)
     end = F.col(pos_col)
-    n1 = F.col("_n") - 1
+    n1 = F.col(total_col) - 1
     targets = F.array(*[
         F.struct(F.lit(i).alias("i"),
                  F.floor(n1 * F.lit(float(p))).alias("lo"),
@@ -106,24 +116,25 @@ def quantiles_from_positions(pos: DataFrame, group_cols: Sequence[str], probs: S
         for i, p in enumerate(probs)])
     start = end - F.col(weight_col)  # 0-based positions [start, end) hold this value
     covers = lambda k: (k >= start) & (k < end)
-    pos = pos.where(F.col(value_col).isNotNull())
-    totals = pos.groupBy(*group).agg(F.max(end).alias("_n"))
-    covering = (join_keys(pos, totals, group)
+    covering = (pos.where(F.col(value_col).isNotNull())
                    .select(*group, F.col(value_col).alias("_v"), start.alias("_s"),
                            F.explode(F.filter(targets, lambda x: covers(x["lo"]) | covers(x["hi"])))
                             .alias("_t")))
     # hi is lo or lo + 1, so at most two rows cover a target: the earlier holds lo, the later hi.
-    per = (covering.groupBy(*group, F.col("_t.i").alias("_i"))
-                   .agg(F.first("_t.t").alias("_frac"),
-                        F.min(F.struct("_s", "_v")).alias("_first"),
-                        F.max(F.struct("_s", "_v")).alias("_last")))
-    a, b, t = F.col("_first._v"), F.col("_last._v"), F.col("_frac")
-    # numpy's two-sided linear interpolation (monotone in t).
-    lerp = (F.when(a == b, a)
-             .when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t))
-             .otherwise(a + (b - a) * t))
-    return per.groupBy(*group).agg(*[
-        F.max(F.when(F.col("_i") == i, lerp)).alias(alias) for i, alias in enumerate(aliases)])
+    aggs = []
+    for i in range(len(probs)):
+        mine = F.col("_t.i") == i
+        aggs += [F.max(F.when(mine, F.col("_t.t"))).alias(f"_t{i}"),
+                 F.min(F.when(mine, F.struct("_s", "_v"))).alias(f"_a{i}"),
+                 F.max(F.when(mine, F.struct("_s", "_v"))).alias(f"_b{i}")]
+    picked = covering.groupBy(*group).agg(*aggs)
+    out = []
+    for i, alias in enumerate(aliases):
+        a, b, t = F.col(f"_a{i}._v"), F.col(f"_b{i}._v"), F.col(f"_t{i}")
+        # numpy's two-sided linear interpolation (monotone in t).
+        out.append(F.when(a == b, a).when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t))
+                    .otherwise(a + (b - a) * t).alias(alias))
+    return picked.select(*group, *out)
 
 
 def linspace_probs(n_bins: int) -> list[float]:

@@ -36,7 +36,8 @@ def numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str = "v",
     keys = list(keys)
     counts = (long_df.select(*keys, F.col(value_col).alias("_v"))
                      .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt")))
-    pos = ordered_positions(counts, keys, [F.asc_nulls_last("_v")], weight_col="_cnt", pos_col="_end")
+    pos = ordered_positions(counts, keys, [F.asc_nulls_last("_v")], weight_col="_cnt", pos_col="_end",
+                            total_col="_n", total_nonnull_of="_v")
     quart = quantiles_from_positions(pos, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     v, cnt = F.col("_v"), F.col("_cnt")
     base = pos.groupBy(*keys).agg(
@@ -163,8 +164,7 @@ def unique_summary(df: DataFrame, top_n: int | None = None, exact: bool = True)
     sketches in a single one-row aggregate (no shuffle of values)."""
     cols = df.columns
     if exact:
-        freq = frequency_table(df, cols)
-        per = freq.groupBy("feature").agg(F.count("category").alias("_u"), F.sum("count").alias("_rows"))
+        per = _distinct_per_column(df, cols)
         feats = _features_frame(df, cols)
         out = feats.join(per, "feature", "left").select(
             F.col("feature").alias("column"),
@@ -189,6 +189,47 @@ def _text_of(c, dtype: T.DataType):
     return c.cast("string")
 
 
+def _family(dtype: T.DataType) -> str:
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType,
+                          T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "long"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double"
+    return "string"
+
+
+def _as_family(df: DataFrame, name: str):
+    c = F.col(f"`{name}`")
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int").cast("long")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    if _family(dtype) == "string":
+        return as_text(df, name)
+    return c.cast(_family(dtype))
+
+
+def _distinct_per_column(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``feature, _u, _rows``: exact distinct non-null values and row count per column.  Columns are
+    unpivoted per type family (integers/dates/timestamps as long, floats as double, the rest as
+    text) so grouping stays on native types and each branch reads only its own columns."""
+    df = canonicalize_missing(df)
+    parts = None
+    for fam in ("long", "double", "string"):
+        members = [c for c in cols if _family(df.schema[c].dataType) == fam]
+        if not members:
+            continue
+        typed = df.select(*[_as_family(df, c).alias(c) for c in members])
+        counts = (typed.unpivot([], members, "feature", "v").groupBy("feature", "v")
+                       .agg(F.count(F.lit(1)).alias("_c"))
+                       .groupBy("feature").agg(F.count("v").alias("_u"), F.sum("_c").alias("_rows")))
+        parts = counts if parts is None else parts.unionByName(counts)
+    return parts
+
+
 def constant_columns(df: DataFrame) -> DataFrame:
     """``column, unique_value`` for columns with at most one distinct non-null value (value NULL
     when the column is all NULL), in table order.  One pass: ``min <=> max`` per column, no distinct."""
