@@ -577,3 +577,77 @@ def q_normalize_text(spark, sf):
           .when(size <= 30, F.concat(F.lit(" "), F.replace(name, F.lit(" "), F.lit("--")), F.lit("! ")))
           .otherwise(name))
     return p.select("p_partkey", norm2(t).alias("p_name"))
+
+
+# ------------------------------------------------------------------------------- more inventory rows
+@register("missing_top_n", f"""
+WITH b AS ({_LINEITEM_NULLED_SQL}),
+m AS ({_MISSING_PARTS}),
+o AS (SELECT "column", CAST(mc AS BIGINT) AS missing_count, round_even(mc::DOUBLE / n * 100, 2) AS missing_percentage,
+             row_number() OVER () AS ordinal FROM m)
+SELECT "column", missing_count, missing_percentage FROM o WHERE missing_count > 0
+ORDER BY missing_percentage DESC, ordinal LIMIT 2
+""")
+def q_missing_top_n(spark, sf):
+    """The bar data of the missing-value chart (top 2 columns)."""
+    return profile.missing_summary(_lineitem_nulled(spark, sf), top_n=2)
+
+
+@register("unique_top_n", f"""
+WITH b AS ({_LINEITEM_NULLED_SQL}),
+u AS ({_UNIQUE_PARTS}),
+o AS (SELECT "column", CAST(u AS BIGINT) AS unique_values, round_even(u::DOUBLE / n * 100, 2) AS unique_pct,
+             row_number() OVER () AS ordinal FROM u)
+SELECT "column", unique_values, unique_pct FROM o ORDER BY unique_values DESC, ordinal LIMIT 5
+""")
+def q_unique_top_n(spark, sf):
+    """The bar data of the unique-value chart (top 5 columns)."""
+    return profile.unique_summary(_lineitem_nulled(spark, sf), top_n=5)
+
+
+@register("duplicate_rows_text", """
+SELECT CAST(sum(c) AS BIGINT) AS total_rows, CAST(sum(c - 1) AS BIGINT) AS duplicate_rows
+FROM (SELECT count(*) AS c FROM documents GROUP BY text)
+""")
+def q_duplicate_rows_text(spark, sf):
+    return profile.duplicate_rows(table(spark, sf, "documents"), ["text"])
+
+
+@register("explore_categorical_events", """
+WITH f AS (SELECT event_type AS v, count(*) AS cnt FROM events GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY cnt DESC, v) AS rn_top,
+                row_number() OVER (ORDER BY cnt ASC, v DESC) AS rn_low FROM f),
+n AS (SELECT sum(cnt) AS n, count(*) AS uniq, count(*) FILTER (WHERE cnt <= 1) AS rare FROM f)
+SELECT 'event_type' AS feature, 'string' AS dtype,
+       (SELECT string_agg(v || ': ' || cnt, ' | ' ORDER BY rn_top) FROM r WHERE rn_top <= 2) AS categories_preview,
+       (SELECT v FROM r WHERE rn_top = 1) AS most_frequent,
+       (SELECT CAST(cnt AS BIGINT) FROM r WHERE rn_top = 1) AS most_frequent_count,
+       (SELECT round_even(cnt::DOUBLE / n.n * 100, 2) FROM r WHERE rn_top = 1) AS most_frequent_pct,
+       (SELECT string_agg(v || ': ' || cnt, ' | ' ORDER BY cnt, v) FROM r WHERE rn_low <= 2) AS least_frequent_preview,
+       CAST(rare AS BIGINT) AS rare_categories, CAST(0 AS BIGINT) AS missing, 0.0::DOUBLE AS missing_pct,
+       CAST(n AS BIGINT) AS non_missing, CAST(uniq AS BIGINT) AS "unique",
+       round_even(uniq::DOUBLE / n * 100, 2) AS unique_pct
+FROM n
+""")
+def q_explore_categorical_events(spark, sf):
+    return profile.categorical_profile(table(spark, sf, "events"), ["event_type"], top_n=2)
+
+
+@register("suggest_mapping_mapped")
+def q_suggest_mapping_mapped(spark, sf):
+    """C4: only the suggestions whose action is ``map`` (no SQL oracle: difflib scores)."""
+    return fuzzy.mapped_only(fuzzy.suggest_category_mapping(table(spark, sf, "part"), "p_name", 0.85))
+
+
+@register("train_part", """
+WITH b AS (SELECT o_orderkey, o_totalprice, coalesce(o_orderpriority, 'Unknown') AS s,
+                  md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '7')) AS h FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, o_orderkey) AS rn,
+             count(*) OVER (PARTITION BY s) AS n FROM b)
+SELECT o_orderkey, o_totalprice FROM r WHERE rn <= round_even(n::DOUBLE * 0.75, 0)
+""")
+def q_train_part(spark, sf):
+    """B8 + K2: the train view of a split on all orders (seed 7, 75 %)."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    split = splitting.stratified_split(o, "o_orderpriority", ["o_orderkey"], 0.75, 7)
+    return splitting.train_part(split).select("o_orderkey", "o_totalprice")
