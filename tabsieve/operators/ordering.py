@@ -1,11 +1,11 @@
 """Positions in a total order within groups, and exact quantiles built on them.
 
 A window ``partitionBy(group).orderBy(...)`` sorts a whole group inside one task, so a group holding a
-third of all rows would run on one core.  :func:`ordered_positions` instead range-partitions on
-``(group, order)`` -- a hot group is spread over many contiguous slices -- computes the running
-total inside each slice, materialises that once with a reliable ``checkpoint()`` (range bounds come
-from sampling and must not be recomputed differently), and adds per-slice offsets taken from a small
-``(slice, group)`` table.
+third of all rows would run on one core.  Here the table is range-partitioned on ``(group, order)``
+instead -- a hot group is spread over many contiguous slices -- and materialised once with a reliable
+``checkpoint()`` (range bounds come from sampling and must not be recomputed differently).  Positions
+are then local numbers plus per-slice offsets from a ``(slice, group)`` table of one row per slice
+and group; quantiles only run a window over the few slices that hold the needed order statistics.
 """
 
 from __future__ import annotations
@@ -38,43 +38,46 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
 
 
 def ordered_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                      weight_col: str | None = None, pos_col: str = "_pos",
-                      num_partitions: int | None = None, total_col: str | None = None,
-                      total_nonnull_of: str | None = None) -> DataFrame:
-    """Add ``pos_col`` = inclusive running total of ``weight_col`` (1 per row when None) within each
-    group, in the order given by ``order_cols``.  ``group_cols + order_cols`` must be a total order
-    (unique per row) so the result is deterministic.  With unit weights ``pos_col`` is the 1-based
-    row number."""
+                      pos_col: str = "_pos", num_partitions: int | None = None) -> DataFrame:
+    """Add ``pos_col`` = 1-based row number within each group in the order ``order_cols``.
+    ``group_cols + order_cols`` must be a total order (unique per row) so the result is deterministic.
+
+    One range shuffle: inside each sorted slice ``monotonically_increasing_id()`` numbers the rows, so
+    the local position is ``id - first id of (slice, group)``; offsets of earlier slices come from a
+    ``(slice, group)`` table with one row per slice and group."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = list(group_cols)
     if not group:  # one implicit group; keeps every join an equi-join
-        return (ordered_positions(df.withColumn("_all", F.lit(0)), ["_all"], order_cols, weight_col,
-                                  pos_col, num_partitions, total_col, total_nonnull_of).drop("_all"))
+        return (ordered_positions(df.withColumn("_all", F.lit(0)), ["_all"], order_cols, pos_col,
+                                  num_partitions).drop("_all"))
     keys = _cols(group) + _cols(order_cols)
-    weight = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
-    sliced = (df.repartitionByRange(n, *keys)
-                .withColumn("_slice", F.spark_partition_id())
-                .withColumn("_w", weight))
-    local_w = (Window.partitionBy("_slice", *group).orderBy(*_cols(order_cols))
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = sliced.withColumn("_local", F.sum("_w").over(local_w)).checkpoint(eager=True)
-    counted = F.col("_w") if total_nonnull_of is None else F.when(F.col(total_nonnull_of).isNotNull(), F.col("_w"))
-    sizes = local.groupBy("_slice", *group).agg(F.max("_local").alias("_slice_total"),
-                                                F.sum(counted).alias("_slice_counted"))
+    local = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+               .withColumn("_mid", F.monotonically_increasing_id())
+               .withColumn("_slice", F.shiftright("_mid", 33))
+               .checkpoint(eager=True))
+    sizes = local.groupBy("_slice", *group).agg(F.min("_mid").alias("_first"),
+                                                F.count(F.lit(1)).alias("_slice_total"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    offsets = sizes.select("_slice", *group,
-                           F.coalesce(F.sum("_slice_total").over(before), F.lit(0)).alias("_offset"),
-                           F.coalesce(F.sum("_slice_counted").over(whole), F.lit(0)).alias("_gtotal"))
-    if total_col is None:
-        offsets = offsets.drop("_gtotal")
-    else:
-        offsets = offsets.withColumnRenamed("_gtotal", total_col)
+    offsets = sizes.select("_slice", *group, "_first",
+                           F.coalesce(F.sum("_slice_total").over(before), F.lit(0)).alias("_offset"))
     return (join_keys(local, offsets, ["_slice", *group])
-                 .withColumn(pos_col, F.col("_offset") + F.col("_local"))
-                 .drop("_slice", "_w", "_local", "_offset"))
+            .withColumn(pos_col, F.col("_offset") + (F.col("_mid") - F.col("_first")) + 1)
+            .drop("_slice", "_mid", "_first", "_offset"))
+
+
+def sliced_values(counts: DataFrame, group_cols: Sequence[str], value_col: str = "_v",
+                  num_partitions: int | None = None) -> DataFrame:
+    """The distinct ``(group, value, weight)`` table range-partitioned on ``(group, value)`` (NULL
+    values last) with its slice number, materialised once with a reliable ``checkpoint()``: the
+    range bounds come from sampling and every later use must see the same slices."""
+    spark = counts.sparkSession
+    checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g) for g in group_cols] + [F.asc_nulls_last(value_col)]
+    return (counts.repartitionByRange(n, *keys).withColumn("_slice", F.spark_partition_id())
+                  .checkpoint(eager=True))
 
 
 def value_counts_by_group(df: DataFrame, group_cols: Sequence[str], value: Column) -> DataFrame:
@@ -92,34 +95,44 @@ def weighted_quantiles(counts: DataFrame, group_cols: Sequence[str], probs: Sequ
     if not group:
         return (weighted_quantiles(counts.withColumn("_all", F.lit(0)), ["_all"], probs, aliases,
                                    value_col, weight_col).drop("_all"))
-    pos = ordered_positions(counts, group, [value_col], weight_col=weight_col, pos_col="_end",
-                            total_col="_n", total_nonnull_of=value_col)
-    return quantiles_from_positions(pos, group, probs, aliases, value_col, weight_col, "_end", "_n")
+    local = sliced_values(counts, group, value_col)
+    return quantiles_from_slices(local, group, probs, aliases, value_col, weight_col)
 
 
-def quantiles_from_positions(pos: DataFrame, group_cols: Sequence[str], probs: Sequence[float],
-                             aliases: Sequence[str], value_col: str = "_v", weight_col: str = "_cnt",
-                             pos_col: str = "_end", total_col: str = "_n") -> DataFrame:
-    """Quantiles from the output of :func:`ordered_positions` ordered by ``value_col`` (NULLs last)
-    carrying the group's non-null weight in ``total_col``.
-
-    Nothing per group is held in memory: only the (at most two per probability) rows covering the
-    needed order statistics survive the filter, and one aggregation picks them."""
+def quantiles_from_slices(local: DataFrame, group_cols: Sequence[str], probs: Sequence[float],
+                          aliases: Sequence[str], value_col: str = "_v",
+                          weight_col: str = "_cnt") -> DataFrame:
+    """Quantiles from :func:`sliced_values`.  Per-slice weight totals (one row per slice and group)
+    locate the few slices holding the needed order statistics; only the rows of those slices are
+    put through a running-sum window, and at most two rows per probability survive."""
     group = list(group_cols)
-    end = F.col(pos_col)
-    n1 = F.col(total_col) - 1
+    w = F.col(weight_col)
+    nonnull = local.where(F.col(value_col).isNotNull())
+    sizes = nonnull.groupBy("_slice", *group).agg(F.sum(w).alias("_sw"))
+    prior = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    offs = sizes.select("_slice", *group, "_sw",
+                        F.coalesce(F.sum("_sw").over(prior), F.lit(0)).alias("_before"),
+                        F.sum("_sw").over(whole).alias("_n"))
+    n1 = F.col("_n") - 1
     targets = F.array(*[
         F.struct(F.lit(i).alias("i"),
                  F.floor(n1 * F.lit(float(p))).alias("lo"),
                  F.ceil(n1 * F.lit(float(p))).alias("hi"),
                  (n1 * F.lit(float(p)) - F.floor(n1 * F.lit(float(p)))).alias("t"))
         for i, p in enumerate(probs)])
-    start = end - F.col(weight_col)  # 0-based positions [start, end) hold this value
-    covers = lambda k: (k >= start) & (k < end)
-    covering = (pos.where(F.col(value_col).isNotNull())
-                   .select(*group, F.col(value_col).alias("_v"), start.alias("_s"),
-                           F.explode(F.filter(targets, lambda x: covers(x["lo"]) | covers(x["hi"])))
-                            .alias("_t")))
+    in_slice = lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("_sw"))
+    needed = (offs.where(F.exists(targets, lambda x: in_slice(x["lo"]) | in_slice(x["hi"])))
+                  .select("_slice", *group, "_before", targets.alias("_targets")))
+    run = (Window.partitionBy("_slice", *group).orderBy(value_col)
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = (join_keys(nonnull, needed, ["_slice", *group])
+            .withColumn("_end", F.col("_before") + F.sum(w).over(run)))
+    start = F.col("_end") - w  # 0-based positions [start, _end) hold this value
+    covers = lambda k: (k >= start) & (k < F.col("_end"))
+    covering = rows.select(*group, F.col(value_col).alias("_v"), start.alias("_s"),
+                           F.explode(F.filter("_targets", lambda x: covers(x["lo"]) | covers(x["hi"])))
+                            .alias("_t"))
     # hi is lo or lo + 1, so at most two rows cover a target: the earlier holds lo, the later hi.
     aggs = []
     for i in range(len(probs)):

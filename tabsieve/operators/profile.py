@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tabsieve.functions.missing import canonicalize_missing, is_categorical, is_numeric, pct, to_number
 from tabsieve.operators.freq import INDEX_PREFIX, as_text, categorical_profile, frequency_table
-from tabsieve.operators.ordering import join_keys, ordered_positions, quantiles_from_positions
+from tabsieve.operators.ordering import join_keys, quantiles_from_slices, sliced_values
 
 
 def _features_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -36,9 +36,8 @@ def numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str = "v",
     keys = list(keys)
     counts = (long_df.select(*keys, F.col(value_col).alias("_v"))
                      .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt")))
-    pos = ordered_positions(counts, keys, [F.asc_nulls_last("_v")], weight_col="_cnt", pos_col="_end",
-                            total_col="_n", total_nonnull_of="_v")
-    quart = quantiles_from_positions(pos, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    pos = sliced_values(counts, keys)  # the only materialised copy; every statistic reads it
+    quart = quantiles_from_slices(pos, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     v, cnt = F.col("_v"), F.col("_cnt")
     base = pos.groupBy(*keys).agg(
         F.sum(cnt).alias("_rows"),
