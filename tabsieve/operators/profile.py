@@ -77,6 +77,11 @@ def explore_target(df: DataFrame, target: str, group_col: str | None = None) ->
         long_df = (df.select(F.explode(levels).alias("_l"), x.alias("v"))
                      .select(F.col("_l.t").alias("is_total"), F.col("_l.g").alias("grp"), "v"))
     st = numeric_stats(long_df, ["is_total", "grp"])
+    # an empty table still has its "All" row (count 0), as in the reference
+    skeleton = df.sparkSession.createDataFrame(
+        [(True, None, 0, 0, 0, 0, 0)], "is_total boolean, grp string, non_missing long, missing long, "
+                                       "_rows long, zero_count long, unique long")
+    st = st.unionByName(skeleton.join(st.where("is_total"), "is_total", "left_anti"), allowMissingColumns=True)
     return (st.select(F.when(F.col("is_total"), F.lit("All")).otherwise(F.col("grp")).alias("group"),
                       "is_total",
                       F.col("non_missing").cast("long").alias("count"),
