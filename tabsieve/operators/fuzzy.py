@@ -45,11 +45,12 @@ def vocabulary(df: DataFrame, columns: Sequence[str], normalizer, strip: bool =
     values = long_values(df, columns).where(F.col("category").isNotNull())
     if strip:
         values = values.withColumn("category", py_strip(F.col("category")))
-    freq = values.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("count"))
+    freq = (values.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("count"))
+                  .withColumn("norm", normalizer(F.col("category"))))
+    # the normaliser runs inside the materialised ranking, not again for every later use
     ranked = ordered_positions(freq, ["feature"], [F.desc("count"), F.asc("category")], pos_col="rank")
-    norm = normalizer(F.col("category"))
     return ranked.select("feature", F.col("rank").cast("long").alias("rank"), "category",
-                         F.col("count").cast("long").alias("count"), norm.alias("norm")
+                         F.col("count").cast("long").alias("count"), "norm"
                          ).withColumn("len", F.length("norm"))
 
 
