@@ -19,15 +19,17 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
+    """Exact comparison: floats must be bit-identical (both sides round where the SQL says so)."""
     if isinstance(v, float):
-        if math.isnan(v):
-            return None
-        return round(v, 9)
+        return None if math.isnan(v) else v
     if hasattr(v, "item"):
         return _norm(v.item())
     return v
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def rows_of(columns, records):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(_norm(r[i]) for i in order) for r in records]
@@ -44,6 +46,11 @@ def compare(spark_df, con, sql):
     if sorted(s_cols) != sorted(d_cols):
         problems.append(f"columns differ: spark={sorted(s_cols)} duck={sorted(d_cols)}")
         return problems
+    d_types = dict(zip(d_cols, [str(t) for t in con.sql(sql).types]))
+    for f in spark_df.schema.fields:
+        st = f.dataType.simpleString()
+        if _TYPES.get(st, st) != d_types[f.name]:
+            problems.append(f"type of {f.name}: spark={st} duck={d_types[f.name]}")
     if len(s_rows) != len(d_rows):
         problems.append(f"row count spark={len(s_rows)} duck={len(d_rows)}")
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
