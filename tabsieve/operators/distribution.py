@@ -1,8 +1,9 @@
 """Aggregates behind the reference's charts.
 
-Histograms are grouped counts of a computed bin index (partial aggregation: the shuffle carries one
-row per task and bin); the per-group ranges/quantiles are one row per group, joined back (AQE
-broadcasts them when measured small).  Empty bins are emitted from ``sequence(0, bins - 1)`` of the
+The source is scanned once into a distinct ``(key, value, count)`` table (partial aggregation
+collapses repeated values map-side), materialised once; histogram bins are weighted counts of a
+computed bin index over that table, and the per-group ranges/quantiles are one row per group joined
+back (AQE broadcasts them when measured small).  Empty bins are emitted from ``sequence(0, bins - 1)`` of the
 per-group table, so the result has exactly ``bins`` rows per group.
 """
 
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.missing import canonicalize_missing, to_number
 from tabsieve.operators.freq import as_text
-from tabsieve.operators.ordering import join_keys, value_counts_by_group, weighted_quantiles
+from tabsieve.operators.ordering import (join_keys, quantiles_from_slices, sliced_values,
+                                         value_counts_by_group, weighted_quantiles)
 
 
 def numpy_bin(x: Column, lo: Column, hi: Column, bins: Column | int) -> Column:
@@ -33,26 +35,30 @@ def numpy_bin(x: Column, lo: Column, hi: Column, bins: Column | int) -> Column:
     return F.when((x >= edge(idx2 + 1)) & (idx2 != nb - 1), idx2 + 1).otherwise(idx2)
 
 
-def _histogram(values: DataFrame, keys: list[str], bins: int | str, integer_mode: Column | None = None) -> DataFrame:
-    """``values(keys..., v)`` non-null -> ``keys..., bin, bin_start, bin_end, count``."""
-    rng = values.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    if integer_mode is None:
-        rng = rng.withColumn("_int", F.lit(False))
-    else:
-        rng = rng.withColumn("_int", integer_mode)
+def _distinct_values(values: DataFrame, keys: list[str]) -> DataFrame:
+    """The one scan: ``values(keys..., v)`` -> distinct ``(keys..., _v, _cnt)`` range-sliced and
+    materialised (:func:`sliced_values`); every statistic below reads this table, not the source."""
+    counts = value_counts_by_group(values, keys, F.col("v"))
+    return sliced_values(counts, keys, "_v")
+
+
+def _histogram(local: DataFrame, keys: list[str], bins: int, integer_mode: Column | None = None) -> DataFrame:
+    """Weighted ``(keys..., _v, _cnt)`` -> ``keys..., bin, bin_start, bin_end, count`` (empty bins kept)."""
+    v, cnt = F.col("_v"), F.col("_cnt")
+    rng = local.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    rng = rng.withColumn("_int", integer_mode if integer_mode is not None else F.lit(False))
     lo_i = F.floor("_lo").cast("double") - 0.5
     rng = (rng.withColumn("_nb", F.when(F.col("_int"), (F.ceil("_hi") - F.floor("_lo") + 1).cast("int"))
-                                   .otherwise(F.lit(bins) if isinstance(bins, int) else F.col(bins)))
+                                   .otherwise(F.lit(int(bins))))
               .withColumn("_first", F.when(F.col("_int"), lo_i)
                                      .when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")))
               .withColumn("_last", F.when(F.col("_int"), lo_i + F.col("_nb").cast("double"))
                                     .when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi"))))
-    v = F.col("v")
     int_bin = F.least(F.floor(v - F.col("_first")).cast("int"), F.col("_nb") - 1)
-    counted = (join_keys(values, rng, keys)
+    counted = (join_keys(local, rng, keys)
                .withColumn("bin", F.when(F.col("_int"), int_bin)
                                    .otherwise(numpy_bin(v, F.col("_lo"), F.col("_hi"), F.col("_nb"))))
-               .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count")))
+               .groupBy(*keys, "bin").agg(F.sum(cnt).alias("count")))
     step = (F.col("_last") - F.col("_first")) / F.col("_nb").cast("double")
     grid = rng.select(*keys, "_first", "_last", "_nb",
                       F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("bin"))
@@ -64,20 +70,16 @@ def _histogram(values: DataFrame, keys: list[str], bins: int | str, integer_mode
             .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
 
 
-def _medians(values: DataFrame, keys: list[str]) -> DataFrame:
-    counts = value_counts_by_group(values, keys, F.col("v"))
-    return weighted_quantiles(counts, keys, [0.5], ["median"])
-
-
 def histogram_by_group(df: DataFrame, value_col: str, group_col: str, bins: int = 40) -> DataFrame:
     """Per group (rows with NULL value or NULL group dropped) ``bins`` equal-width bins over that
     group's own min..max, plus the group median: ``group, bin, bin_start, bin_end, count, median``."""
     x = to_number(F.col(f"`{value_col}`"), df.schema[value_col].dataType)
     values = (df.select(as_text(df, group_col).alias("group"), x.alias("v"))
                 .where(F.col("group").isNotNull() & F.col("v").isNotNull()))
-    hist = _histogram(values, ["group"], bins)
-    return (join_keys(hist, _medians(values, ["group"]), ["group"])
-            .select("group", "bin", "bin_start", "bin_end", "count", "median"))
+    local = _distinct_values(values, ["group"])
+    hist = _histogram(local, ["group"], bins)
+    med = quantiles_from_slices(local, ["group"], [0.5], ["median"])
+    return join_keys(hist, med, ["group"]).select("group", "bin", "bin_start", "bin_end", "count", "median")
 
 
 def _long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -86,17 +88,12 @@ def _long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return typed.unpivot([], list(columns), "feature", "v").where(F.col("v").isNotNull())
 
 
-def percentile_limits(values: DataFrame, keys: list[str], lower: float = 0.01, upper: float = 0.99) -> DataFrame:
-    """Per key the ``lower``/``upper`` linear-interpolated percentiles of ``v`` (``_plo``, ``_phi``)."""
-    counts = value_counts_by_group(values, keys, F.col("v"))
-    return weighted_quantiles(counts, keys, [lower, upper], ["_plo", "_phi"])
-
-
 def percentile_trim(df: DataFrame, column: str, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
-    """Rows whose value lies in ``[p_lower, p_upper]`` (inclusive; NULL dropped)."""
+    """Rows whose value lies in ``[p_lower, p_upper]`` (inclusive; NULL dropped).  The two limits
+    are a one-row statistic; the rows themselves are filtered where they are."""
     x = to_number(F.col(f"`{column}`"), df.schema[column].dataType)
-    vals = df.select(F.lit(0).alias("_k"), x.alias("v")).where(F.col("v").isNotNull())
-    lim = percentile_limits(vals, ["_k"], lower, upper).collect()
+    counts = value_counts_by_group(df, [], x)
+    lim = weighted_quantiles(counts, [], [lower, upper], ["_plo", "_phi"]).collect()
     if not lim or lim[0]["_plo"] is None:
         return df.where(F.lit(False))
     return df.where(x.between(F.lit(lim[0]["_plo"]), F.lit(lim[0]["_phi"])))
@@ -108,17 +105,18 @@ def raw_distributions(df: DataFrame, columns: Sequence[str], bins: int = 35,
     """Per numeric column (absent names skipped) a histogram of the values trimmed to
     ``[p1, p99]`` (when ``use_percentile_range``), unit-wide integer-centred bins for
     ``integer_columns``, and the median of the *untrimmed* values.
-    ``feature, bin, bin_start, bin_end, count, median``."""
+    ``feature, bin, bin_start, bin_end, count, median``.  One scan of the source."""
     cols = [c for c in columns if c in df.columns]
     values = _long_numeric(df.select(*[F.col(f"`{c}`") for c in cols]), cols)
-    trimmed = values
+    local = _distinct_values(values, ["feature"])
+    q = quantiles_from_slices(local, ["feature"], [0.01, 0.5, 0.99], ["_plo", "median", "_phi"])
+    trimmed = local
     if use_percentile_range:
-        lim = percentile_limits(values, ["feature"])
-        trimmed = (join_keys(values, lim, ["feature"])
-                   .where(F.col("v").between(F.col("_plo"), F.col("_phi"))).drop("_plo", "_phi"))
+        trimmed = (join_keys(local, q.select("feature", "_plo", "_phi"), ["feature"])
+                   .where(F.col("_v").between(F.col("_plo"), F.col("_phi"))).drop("_plo", "_phi"))
     int_flag = F.col("feature").isin(list(integer_columns)) if integer_columns else F.lit(False)
     hist = _histogram(trimmed, ["feature"], bins, integer_mode=int_flag)
-    return (join_keys(hist, _medians(values, ["feature"]), ["feature"])
+    return (join_keys(hist, q.select("feature", "median"), ["feature"])
             .select("feature", "bin", "bin_start", "bin_end", "count", "median"))
 
 
@@ -127,7 +125,7 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str], group_col: str | None =
     """Box-plot statistics per numeric column; columns in ``grouped_columns`` are split by
     ``group_col`` (rows with a NULL group dropped).  Whiskers are the most extreme values within
     ``whis * IQR`` of the quartiles (Matplotlib's default).
-    ``feature, group, n, q1, median, q3, whisker_low, whisker_high, fliers``."""
+    ``feature, group, n, q1, median, q3, whisker_low, whisker_high, fliers``.  One scan."""
     cols = [c for c in columns if c in df.columns]
     grouped = [c for c in cols if group_col is not None and c in grouped_columns and group_col in df.columns]
     df = canonicalize_missing(df)
@@ -140,12 +138,12 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str], group_col: str | None =
                 .where(F.col("v").isNotNull() & (~F.col("_grouped") | F.col("group").isNotNull()))
                 .drop("_grouped"))
     keys = ["feature", "group"]
-    counts = value_counts_by_group(values, keys, F.col("v"))
-    quart = weighted_quantiles(counts, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    local = _distinct_values(values, keys)
+    quart = quantiles_from_slices(local, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - whis * iqr, F.col("q3") + whis * iqr
     v, cnt = F.col("_v"), F.col("_cnt")
-    stats = join_keys(counts, quart, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    stats = join_keys(local, quart, keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.sum(cnt).alias("n"),
         F.min(F.when(v >= lo, v)).alias("whisker_low"),
         F.max(F.when(v <= hi, v)).alias("whisker_high"),
