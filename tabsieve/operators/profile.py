@@ -29,13 +29,16 @@ def _features_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str = "v",
-                  whisker: float = 1.5) -> DataFrame:
+                  whisker: float = 1.5, always_keys: DataFrame | None = None) -> DataFrame:
     """Per key: ``_rows, non_missing, missing, min, max, mean, median, std, q1, q3, zero_count,
     unique, outlier_count`` (IQR rule: ``v < q1 - 1.5 iqr`` or ``v > q3 + 1.5 iqr``; NULL is not an
     outlier).  ``long_df`` holds one row per cell: ``keys..., value_col`` (NULL = missing)."""
     keys = list(keys)
     counts = (long_df.select(*keys, F.col(value_col).alias("_v"))
                      .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt")))
+    if always_keys is not None:  # zero-weight NULL cells: the keys exist even without data
+        counts = counts.unionByName(always_keys.select(*keys, F.lit(None).cast("double").alias("_v"),
+                                                       F.lit(0).cast("long").alias("_cnt")))
     pos = sliced_values(counts, keys)  # the only materialised copy; every statistic reads it
     quart = quantiles_from_slices(pos, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     v, cnt = F.col("_v"), F.col("_cnt")
@@ -76,12 +79,10 @@ def explore_target(df: DataFrame, target: str, group_col: str | None = None) ->
                          F.struct(F.lit(False).alias("t"), g.alias("g")))
         long_df = (df.select(F.explode(levels).alias("_l"), x.alias("v"))
                      .select(F.col("_l.t").alias("is_total"), F.col("_l.g").alias("grp"), "v"))
-    st = numeric_stats(long_df, ["is_total", "grp"])
-    # an empty table still has its "All" row (count 0), as in the reference
-    skeleton = df.sparkSession.createDataFrame(
-        [(True, None, 0, 0, 0, 0, 0)], "is_total boolean, grp string, non_missing long, missing long, "
-                                       "_rows long, zero_count long, unique long")
-    st = st.unionByName(skeleton.join(st.where("is_total"), "is_total", "left_anti"), allowMissingColumns=True)
+    # an empty table still has its "All" row (count 0), as in the reference: a zero-weight NULL
+    # cell for that key guarantees the row without changing any count
+    always = df.sparkSession.createDataFrame([(True, None)], "is_total boolean, grp string")
+    st = numeric_stats(long_df, ["is_total", "grp"], always_keys=always)
     return (st.select(F.when(F.col("is_total"), F.lit("All")).otherwise(F.col("grp")).alias("group"),
                       "is_total",
                       F.col("non_missing").cast("long").alias("count"),
