@@ -19,12 +19,19 @@ def test_query_matches_oracle(spark, con, name):
     df = entry_mod.queries()[name](spark, SF_SMALL)
     problems = compare(df, con, ORACLES[name])
     assert not problems, "\n".join(problems)
+    _assert_no_pairs_join(df)
+
+
+def _assert_no_pairs_join(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 @pytest.mark.parametrize("name", sorted(set(entry_mod.queries()) - set(ORACLES)))
 def test_query_without_oracle_runs(spark, name):
     df = entry_mod.queries()[name](spark, SF_SMALL)
     assert df.count() >= 0
+    _assert_no_pairs_join(df)
 
 
 def test_entry_smoke(spark):
