@@ -119,7 +119,8 @@ def top_n_other(df: DataFrame, categorical_columns_: Sequence[str] | None = None
                           F.lit(True).alias("is_rollup")))
     return (top.select("feature", "category", "count", F.lit(False).alias("is_rollup"))
                .unionByName(other)
-               .select("feature", "category", F.col("count").cast("long").alias("count"), "is_rollup"))
+               .select("feature", "category", F.col("count").cast("long").alias("count"), "is_rollup")
+               .orderBy("feature", "count", "is_rollup", "category"))  # ascending, as the bars are drawn
 
 
 def _preview(items: Column) -> Column:
@@ -156,6 +157,7 @@ def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None, top
                   .groupBy("feature").agg(F.collect_list(F.struct(
                       F.struct(F.col("count"), F.col("category")).alias("k"), "category", "count")).alias("_low")))
     dtype_map = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(dtypes[c]))])
+    order_map = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
     rows = F.col("_rows")
     first = F.filter(F.col("_top"), lambda x: x["k"] == 1)
     return (stats.join(top, "feature", "left").join(low, "feature", "left")
@@ -172,4 +174,6 @@ def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None, top
                      pct(F.col("missing"), rows).alias("missing_pct"),
                      (rows - F.col("missing")).cast("long").alias("non_missing"),
                      F.col("unique").cast("long").alias("unique"),
-                     pct(F.col("unique"), rows).alias("unique_pct")))
+                     pct(F.col("unique"), rows).alias("unique_pct"),
+                     F.try_element_at(order_map, F.col("feature")).alias("_ordinal"))
+                 .orderBy("_ordinal").drop("_ordinal"))  # table order

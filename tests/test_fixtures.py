@@ -178,3 +178,16 @@ def test_top_n_other_real_other_value(spark):
     assert got == [("Other", 3, True), ("a", 5, False), ("b", 4, False)]
     with pytest.raises(ValueError):
         freq.top_n_other(spark.createDataFrame([(1,)], "x int"))
+
+
+def test_split_without_key_uses_whole_row(spark):
+    rows = [("a", 1)] * 6 + [("a", 2)] * 4 + [("b", 1)] * 5
+    df = spark.createDataFrame(rows, "s string, v int")
+    out = splitting.stratified_split(df, "s", None, 0.8, 3)
+    got = {(r.s, r.split): r["count"] for r in out.groupBy("s", "split").count().collect()}
+    assert got == {("a", "train"): 8, ("a", "validation"): 2, ("b", "train"): 4, ("b", "validation"): 1}
+
+
+def test_categorical_profile_in_table_order(spark):
+    df = spark.createDataFrame([("x", "y", True)], "z string, a string, m boolean")
+    assert [r.feature for r in freq.categorical_profile(df).collect()] == ["z", "a", "m"]
