@@ -49,7 +49,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Only when nothing is configured (local tests) a fresh scratch folder is created and set.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context; the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", "") or ""
     current = sc.getCheckpointDir()
     if current:
         return current
