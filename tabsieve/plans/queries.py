@@ -651,3 +651,33 @@ def q_train_part(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     split = splitting.stratified_split(o, "o_orderpriority", ["o_orderkey"], 0.75, 7)
     return splitting.train_part(split).select("o_orderkey", "o_totalprice")
+
+
+_PRICE_TEXT_SQL = """CASE WHEN o_orderpriority = '1-URGENT' THEN concat(CAST(o_totalprice AS VARCHAR), 'd')
+                          WHEN o_orderpriority = '2-HIGH' THEN concat(' ', CAST(o_totalprice AS VARCHAR), ' ')
+                          WHEN o_orderpriority = '3-MEDIUM' THEN replace(CAST(o_totalprice AS VARCHAR), '.', ',')
+                          WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'F' THEN 'nan'
+                          WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'O' THEN '-Infinity'
+                          ELSE CAST(o_totalprice AS VARCHAR) END"""
+
+
+@register("to_number", rf"""
+SELECT o_orderkey,
+       CASE WHEN regexp_full_match(trim(t), '(?i)[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)')
+            THEN try_cast(trim(t) AS DOUBLE) END AS price
+FROM (SELECT o_orderkey, {_PRICE_TEXT_SQL} AS t FROM orders)
+""")
+def q_to_number(spark, sf):
+    """I4: ``pandas.to_numeric(errors="coerce")`` on text prices with junk suffixes, padding, decimal
+    commas, ``nan`` and infinities."""
+    from tabsieve.functions.missing import to_number
+    o = table(spark, sf, "orders")
+    txt = o["o_totalprice"].cast("string")
+    prio, status = F.col("o_orderpriority"), F.col("o_orderstatus")
+    t = (F.when(prio == "1-URGENT", F.concat(txt, F.lit("d")))
+          .when(prio == "2-HIGH", F.concat(F.lit(" "), txt, F.lit(" ")))
+          .when(prio == "3-MEDIUM", F.replace(txt, F.lit("."), F.lit(",")))
+          .when((prio == "4-NOT SPECIFIED") & (status == "F"), F.lit("nan"))
+          .when((prio == "4-NOT SPECIFIED") & (status == "O"), F.lit("-Infinity"))
+          .otherwise(txt))
+    return o.select("o_orderkey", to_number(t).alias("price"))
