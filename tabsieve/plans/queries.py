@@ -681,3 +681,9 @@ def q_to_number(spark, sf):
           .when((prio == "4-NOT SPECIFIED") & (status == "O"), F.lit("-Infinity"))
           .otherwise(txt))
     return o.select("o_orderkey", to_number(t).alias("price"))
+
+
+@register("semantic_repetitions_multi")
+def q_semantic_repetitions_multi(spark, sf):
+    """J1 over several features at once (each feature grouped independently), threshold 0.80."""
+    return fuzzy.semantic_repetitions(table(spark, sf, "part"), ["p_name", "p_brand", "p_type"], 0.80)

@@ -136,3 +136,14 @@ def test_apply_mapping_manual_wins_and_null_stays(spark):
                                     "original_category string, suggested_category string")
     got = [r.m for r in cleaning.apply_category_mapping(df, "m", mapping, {"polo": "POLO"}).collect()]
     assert sorted(got, key=str) == sorted(["golf", "golf", None, "POLO"], key=str)
+
+
+def test_multi_feature_groups_equal_sequential(spark):
+    part = spark.read.parquet(f"{SF_SMALL}/part.parquet")
+    cols = ["p_name", "p_brand", "p_type"]
+    got = fuzzy.semantic_repetitions(part, cols, 0.80).collect()
+    for c in cols:
+        counts = {r[c]: r["count"] for r in part.groupBy(c).count().collect()}
+        mine = sorted(r.similar_values for r in got if r.feature == c)
+        assert mine == sequential_groups(counts.items(), 0.80), c
+    assert [r.feature for r in got] == sorted(r.feature for r in got)  # ordered by feature, total desc
