@@ -101,14 +101,15 @@ def weighted_quantiles(counts: DataFrame, group_cols: Sequence[str], probs: Sequ
 
 def quantiles_from_slices(local: DataFrame, group_cols: Sequence[str], probs: Sequence[float],
                           aliases: Sequence[str], value_col: str = "_v",
-                          weight_col: str = "_cnt") -> DataFrame:
+                          weight_col: str = "_cnt", sizes: DataFrame | None = None) -> DataFrame:
     """Quantiles from :func:`sliced_values`.  Per-slice weight totals (one row per slice and group)
     locate the few slices holding the needed order statistics; only the rows of those slices are
     put through a running-sum window, and at most two rows per probability survive."""
     group = list(group_cols)
     w = F.col(weight_col)
     nonnull = local.where(F.col(value_col).isNotNull())
-    sizes = nonnull.groupBy("_slice", *group).agg(F.sum(w).alias("_sw"))
+    if sizes is None:  # callers that aggregate per slice anyway pass ``(_slice, group..., _sw)``
+        sizes = nonnull.groupBy("_slice", *group).agg(F.sum(w).alias("_sw"))
     prior = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     offs = sizes.select("_slice", *group, "_sw",

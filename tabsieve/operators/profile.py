@@ -40,9 +40,9 @@ def numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str = "v",
         counts = counts.unionByName(always_keys.select(*keys, F.lit(None).cast("double").alias("_v"),
                                                        F.lit(0).cast("long").alias("_cnt")))
     pos = sliced_values(counts, keys)  # the only materialised copy; every statistic reads it
-    quart = quantiles_from_slices(pos, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     v, cnt = F.col("_v"), F.col("_cnt")
-    base = pos.groupBy(*keys).agg(
+    # one pass over it gives per-slice partial statistics; the quantile step reuses their weights
+    per_slice = pos.groupBy("_slice", *keys).agg(
         F.sum(cnt).alias("_rows"),
         F.sum(F.when(v.isNotNull(), cnt).otherwise(0)).alias("non_missing"),
         F.sum(F.when(v.isNull(), cnt).otherwise(0)).alias("missing"),
@@ -50,6 +50,11 @@ def numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str = "v",
         F.sum(v * cnt).alias("_sum"),
         F.count(v).alias("unique"),
         F.sum(F.when(v == 0, cnt).otherwise(0)).alias("zero_count"))
+    sizes = per_slice.where(F.col("non_missing") > 0).select("_slice", *keys, F.col("non_missing").alias("_sw"))
+    quart = quantiles_from_slices(pos, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], sizes=sizes)
+    base = per_slice.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("_rows", "non_missing", "missing", "_sum", "unique", "zero_count")],
+        F.min("min").alias("min"), F.max("max").alias("max"))
     base = join_keys(base, quart, keys, "left").withColumn(
         "mean", F.try_divide(F.col("_sum"), F.col("non_missing").cast("double")))
     bounds = base.select(*keys, "mean",
