@@ -132,7 +132,8 @@ def explore_features(df: DataFrame, top_n_categories: int = 5, rare_threshold: i
     cols = [f for f in df.schema.fields if not f.name.startswith(INDEX_PREFIX)]
     numeric = [f.name for f in cols if is_numeric(f.dataType)]
     other = [f.name for f in cols if not is_numeric(f.dataType)
-             and (is_categorical(f.dataType) or isinstance(f.dataType, (T.DateType, T.TimestampType)))]
+             and (is_categorical(f.dataType)
+                  or isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)))]
     return {"numeric": numeric_profile(df, numeric),
             "categorical": categorical_profile(df, other, top_n_categories, rare_threshold)}
 

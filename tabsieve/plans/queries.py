@@ -687,3 +687,59 @@ def q_to_number(spark, sf):
 def q_semantic_repetitions_multi(spark, sf):
     """J1 over several features at once (each feature grouped independently), threshold 0.80."""
     return fuzzy.semantic_repetitions(table(spark, sf, "part"), ["p_name", "p_brand", "p_type"], 0.80)
+
+
+def _categorical_profile_sql(cte: str, cols: list[tuple[str, str, str]], top_n: int = 5) -> str:
+    """SQL twin of freq.categorical_profile; ``cols`` = (feature, Spark dtype, text expression)."""
+    union = "\n  UNION ALL ".join(f"SELECT '{c}' AS feature, '{t}' AS dtype, {e} AS v FROM base" for c, t, e in cols)
+    return f"""
+WITH base AS ({cte}),
+long AS ({union}),
+f AS (SELECT feature, dtype, v, count(*) AS cnt FROM long GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, v) AS rn_top,
+                row_number() OVER (PARTITION BY feature ORDER BY cnt ASC, v DESC) AS rn_low
+      FROM f WHERE v IS NOT NULL),
+tot AS (SELECT feature, dtype, sum(cnt) AS n, coalesce(sum(cnt) FILTER (WHERE v IS NULL), 0) AS miss,
+               count(v) AS uniq, count(*) FILTER (WHERE v IS NOT NULL AND cnt <= 1) AS rare
+        FROM f GROUP BY ALL),
+agg AS (SELECT feature,
+               string_agg(v || ': ' || cnt, ' | ' ORDER BY rn_top) FILTER (WHERE rn_top <= {top_n}) AS categories_preview,
+               max(v) FILTER (WHERE rn_top = 1) AS most_frequent,
+               max(cnt) FILTER (WHERE rn_top = 1) AS most_frequent_count,
+               string_agg(v || ': ' || cnt, ' | ' ORDER BY cnt, v) FILTER (WHERE rn_low <= {top_n}) AS least_frequent_preview
+        FROM r GROUP BY feature)
+SELECT tot.feature, dtype, categories_preview, most_frequent,
+       CAST(most_frequent_count AS BIGINT) AS most_frequent_count,
+       round_even(most_frequent_count::DOUBLE / n * 100, 2) AS most_frequent_pct,
+       least_frequent_preview, CAST(rare AS BIGINT) AS rare_categories,
+       CAST(miss AS BIGINT) AS missing, round_even(miss::DOUBLE / n * 100, 2) AS missing_pct,
+       CAST(n - miss AS BIGINT) AS non_missing, CAST(uniq AS BIGINT) AS "unique",
+       round_even(uniq::DOUBLE / n * 100, 2) AS unique_pct
+FROM tot LEFT JOIN agg USING (feature)
+"""
+
+
+_ORDERS_NULLED_SQL = """SELECT o_orderkey, o_custkey, o_totalprice, nullif(o_orderstatus, 'O') AS o_orderstatus,
+                               o_orderpriority, o_orderdate FROM orders"""
+
+
+def _orders_nulled(spark, sf):
+    return table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", F.nullif("o_orderstatus", F.lit("O")).alias("o_orderstatus"),
+        "o_orderpriority", "o_orderdate")
+
+
+@register("explore_features_numeric", _numeric_profile_sql(
+    _ORDERS_NULLED_SQL, [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_totalprice", "double")]))
+def q_explore_features_numeric(spark, sf):
+    """D2 via explore_features: every numeric column of a mixed table."""
+    return rounded(profile.explore_features(_orders_nulled(spark, sf))["numeric"], _NUM_COLS)
+
+
+@register("explore_features_categorical", _categorical_profile_sql(_ORDERS_NULLED_SQL, [
+    ("o_orderstatus", "string", "o_orderstatus"), ("o_orderpriority", "string", "o_orderpriority"),
+    ("o_orderdate", "timestamp_ntz", "CAST(o_orderdate AS VARCHAR)")]))
+def q_explore_features_categorical(spark, sf):
+    """D3 via explore_features: text columns and the timestamp (profiled as text, like the reference's
+    object columns)."""
+    return profile.explore_features(_orders_nulled(spark, sf))["categorical"]
