@@ -743,3 +743,30 @@ def q_explore_features_categorical(spark, sf):
     """D3 via explore_features: text columns and the timestamp (profiled as text, like the reference's
     object columns)."""
     return profile.explore_features(_orders_nulled(spark, sf))["categorical"]
+
+
+@register("csv_roundtrip", """
+SELECT c_custkey, concat(c_name, CASE WHEN c_nationkey < 5 THEN chr(10) || 'said "hi"' ELSE '' END) AS c_name,
+       CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal,
+       CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS c_balance_text
+FROM customer
+""")
+def q_csv_roundtrip(spark, sf):
+    """A1-A3: a CSV copy of ``customer`` (index column, ``NA`` tokens, quoted fields with quotes and
+    newlines) written to the shared checkpoint folder and read back with pandas semantics."""
+    import uuid
+
+    from tabsieve.session import checkpoint_dir
+    from tabsieve.sources.csv import read_csv
+    c = table(spark, sf, "customer")
+    seg = F.col("c_mktsegment")
+    out = c.select(
+        F.monotonically_increasing_id().alias("Unnamed: 0"), "c_custkey",
+        F.concat("c_name", F.when(F.col("c_nationkey") < 5, F.lit('\nsaid "hi"')).otherwise(F.lit(""))).alias("c_name"),
+        "c_nationkey", "c_acctbal",
+        F.when(seg == "HOUSEHOLD", F.lit("NA")).otherwise(seg).alias("c_mktsegment"),
+        F.when(seg == "BUILDING", F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string")).alias("c_balance_text"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    out.write.option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+    return read_csv(spark, path)
