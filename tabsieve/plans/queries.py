@@ -770,3 +770,35 @@ def q_csv_roundtrip(spark, sf):
     path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
     out.write.option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
     return read_csv(spark, path)
+
+
+@register("audit_report_roundtrip", """
+WITH v AS (SELECT 'p_brand' AS feature, p_brand AS category FROM part
+           UNION ALL SELECT 'p_type', p_type FROM part),
+f AS (SELECT feature, category, count(*) AS cnt FROM v GROUP BY 1, 2)
+SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, category) AS BIGINT) AS rank,
+       category, CAST(cnt AS BIGINT) AS count,
+       round_even(cnt::DOUBLE / sum(cnt) OVER (PARTITION BY feature) * 100, 2) AS percentage,
+       '<tr><td>' || row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, category) || '</td><td>'
+         || replace(replace(replace(replace(category, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')
+         || '</td><td>' || cnt || '</td><td>'
+         || CAST(round_even(cnt::DOUBLE / sum(cnt) OVER (PARTITION BY feature) * 100, 2) AS VARCHAR)
+         || '</td></tr>' AS html
+FROM f
+""")
+def q_audit_report_roundtrip(spark, sf):
+    """A4: the category audit written to the shared checkpoint folder (Parquet tables and HTML rows,
+    partitioned by feature) and read back, each table row next to its HTML row."""
+    import uuid
+
+    from tabsieve.session import checkpoint_dir
+    from tabsieve.sources.reports import save_category_audit
+    part = table(spark, sf, "part").select("p_brand", "p_type")
+    path = save_category_audit(freq.category_summary(part, ["p_brand", "p_type"]),
+                               freq.category_table(part, ["p_brand", "p_type"]),
+                               f"{checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}")
+    tables = spark.read.parquet(f"{path}/tables")
+    html = (spark.read.text(f"{path}/html")
+                 .select("feature", F.col("value").alias("html"),
+                         F.regexp_extract("value", "^<tr><td>([0-9]+)</td>", 1).cast("long").alias("rank")))
+    return tables.join(html, ["feature", "rank"]).select("feature", "rank", "category", "count", "percentage", "html")
