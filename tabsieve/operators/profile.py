@@ -28,12 +28,46 @@ def _features_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def approx_numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str = "v",
+                         whisker: float = 1.5, accuracy: int = 10000,
+                         always_keys: DataFrame | None = None) -> DataFrame:
+    """``numeric_stats`` with bounded-memory sketches instead of exact order statistics: one
+    aggregation over the cells (``percentile_approx`` sketches and HyperLogLog++ merge map-side, so
+    no group is ever held whole) and a second pass for the IQR outlier count.  Quantiles are within
+    ``1 / accuracy`` of the exact rank; ``unique`` is an estimate."""
+    keys = list(keys)
+    v = F.col(value_col)
+    cells = long_df.select(*keys, v.alias(value_col), F.lit(False).alias("_pad"))
+    if always_keys is not None:  # NULL padding rows: every aggregate ignores them, the counts skip them
+        cells = cells.unionByName(always_keys.select(*keys, F.lit(None).cast("double").alias(value_col),
+                                                     F.lit(True).alias("_pad")))
+    real = ~F.col("_pad")
+    base = cells.groupBy(*keys).agg(
+        F.count_if(real).alias("_rows"), F.count(v).alias("non_missing"),
+        F.count_if(v.isNull() & real).alias("missing"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("_sd"),
+        F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("_q"),
+        F.approx_count_distinct(v).alias("unique"), F.count_if(v == 0).alias("zero_count"))
+    base = base.select("*", F.get("_q", 0).alias("q1"), F.get("_q", 1).alias("median"),
+                       F.get("_q", 2).alias("q3")).drop("_q")
+    bounds = base.select(*keys, (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lo"),
+                         (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_hi"))
+    outl = join_keys(long_df.select(*keys, v.alias("_x")), bounds, keys).groupBy(*keys).agg(
+        F.count_if((F.col("_x") < F.col("_lo")) | (F.col("_x") > F.col("_hi"))).alias("outlier_count"))
+    return (join_keys(base, outl, keys, "left")
+            .withColumn("std", F.when(F.col("non_missing") > 1, F.col("_sd"))).drop("_sd"))
+
+
 def numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str = "v",
-                  whisker: float = 1.5, always_keys: DataFrame | None = None) -> DataFrame:
+                  whisker: float = 1.5, always_keys: DataFrame | None = None,
+                  exact: bool = True) -> DataFrame:
     """Per key: ``_rows, non_missing, missing, min, max, mean, median, std, q1, q3, zero_count,
     unique, outlier_count`` (IQR rule: ``v < q1 - 1.5 iqr`` or ``v > q3 + 1.5 iqr``; NULL is not an
-    outlier).  ``long_df`` holds one row per cell: ``keys..., value_col`` (NULL = missing)."""
+    outlier).  ``long_df`` holds one row per cell: ``keys..., value_col`` (NULL = missing).
+    ``exact=False`` switches to :func:`approx_numeric_stats`."""
     keys = list(keys)
+    if not exact:
+        return approx_numeric_stats(long_df, keys, value_col, whisker, always_keys=always_keys)
     counts = (long_df.select(*keys, F.col(value_col).alias("_v"))
                      .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt")))
     if always_keys is not None:  # zero-weight NULL cells: the keys exist even without data
@@ -69,7 +103,7 @@ def numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str = "v",
                       F.sqrt(F.col("_ss") / (F.col("non_missing") - 1).cast("double")))).drop("_sum", "_ss")
 
 
-def explore_target(df: DataFrame, target: str, group_col: str | None = None) -> DataFrame:
+def explore_target(df: DataFrame, target: str, group_col: str | None = None, exact: bool = True) -> DataFrame:
     """Summary of a numeric target overall (``is_total``, group ``All``) and per group value.
 
     ``group, is_total, count, missing, missing_pct, min, q1, median, mean, q3, max, std, zero_count``;
@@ -87,7 +121,7 @@ def explore_target(df: DataFrame, target: str, group_col: str | None = None) ->
     # an empty table still has its "All" row (count 0), as in the reference: a zero-weight NULL
     # cell for that key guarantees the row without changing any count
     always = df.sparkSession.createDataFrame([(True, None)], "is_total boolean, grp string")
-    st = numeric_stats(long_df, ["is_total", "grp"], always_keys=always)
+    st = numeric_stats(long_df, ["is_total", "grp"], always_keys=always, exact=exact)
     return (st.select(F.when(F.col("is_total"), F.lit("All")).otherwise(F.col("grp")).alias("group"),
                       "is_total",
                       F.col("non_missing").cast("long").alias("count"),
@@ -98,7 +132,7 @@ def explore_target(df: DataFrame, target: str, group_col: str | None = None) ->
               .orderBy(F.desc("is_total"), F.asc_nulls_last("group")))
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """D2 (+C7): one row per numeric feature, columns in the reference order.
 
     ``feature, dtype, non_missing, missing, missing_pct, min, max, mean, median, std, q1, q3,
@@ -108,7 +142,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     df = canonicalize_missing(df.select(*[F.col(f"`{c}`") for c in columns]))
     long_df = (df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
                  .unpivot([], columns, "feature", "v"))
-    st = numeric_stats(long_df, ["feature"])
+    st = numeric_stats(long_df, ["feature"], exact=exact)
     feats = _features_frame(df, columns)
     rows = F.col("_rows")
     out = feats.join(st, "feature", "left")
@@ -126,7 +160,8 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         .orderBy("ordinal").drop("ordinal"))
 
 
-def explore_features(df: DataFrame, top_n_categories: int = 5, rare_threshold: int = 1) -> dict[str, DataFrame]:
+def explore_features(df: DataFrame, top_n_categories: int = 5, rare_threshold: int = 1,
+                     exact: bool = True) -> dict[str, DataFrame]:
     """``{"numeric": D2, "categorical": D3}``; ``Unnamed:`` index columns are skipped.  Booleans are
     categorical; nested columns are in neither table."""
     cols = [f for f in df.schema.fields if not f.name.startswith(INDEX_PREFIX)]
@@ -134,7 +169,7 @@ def explore_features(df: DataFrame, top_n_categories: int = 5, rare_threshold: i
     other = [f.name for f in cols if not is_numeric(f.dataType)
              and (is_categorical(f.dataType)
                   or isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)))]
-    return {"numeric": numeric_profile(df, numeric),
+    return {"numeric": numeric_profile(df, numeric, exact=exact),
             "categorical": categorical_profile(df, other, top_n_categories, rare_threshold)}
 
 

@@ -86,3 +86,22 @@ def test_split_plan_has_no_global_sort(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan.lower()
+
+
+def test_approximate_profiles_close_to_exact(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    exact = {r.group: r for r in profile.explore_target(orders, "o_totalprice", "o_orderstatus").collect()}
+    approx = {r.group: r for r in profile.explore_target(orders, "o_totalprice", "o_orderstatus", exact=False).collect()}
+    assert exact.keys() == approx.keys()
+    for g, e in exact.items():
+        a = approx[g]
+        assert (a["count"], a.missing, a["min"], a["max"], a.zero_count) == (e["count"], e.missing, e["min"], e["max"], e.zero_count)
+        assert abs(a.mean - e.mean) < 1e-6 * abs(e.mean) and abs(a.std - e.std) < 1e-6 * e.std
+        spread = e["max"] - e["min"]
+        for q in ("q1", "median", "q3"):
+            assert abs(a[q] - e[q]) <= 0.002 * spread
+    empty = spark.createDataFrame([], "v double, g string")
+    row = profile.explore_target(empty, "v", "g", exact=False).collect()
+    assert [(r.group, r["count"], r.missing) for r in row] == [("All", 0, 0)]
+    num = profile.numeric_profile(orders, ["o_totalprice"], exact=False).collect()[0]
+    assert num.non_missing == 15000 and abs(num.unique - 15000) < 15000 * 0.05
