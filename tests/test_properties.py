@@ -111,3 +111,20 @@ def test_top_n_uses_window_group_limit(spark):
     df = freq.top_n_other(part, ["p_brand"], top_n=3)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aÁb-_ Rosa", max_size=6)), min_size=1, max_size=20))
+def test_semantic_mapping_idempotent(spark, values):
+    from tabsieve.operators import cleaning
+    cmap = {"rosa": ["rosa", "Rósa"], "otros": ["otro", "a b"]}
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c string")
+    once = cleaning.apply_semantic_mapping(df, "c", cmap)
+    twice = cleaning.apply_semantic_mapping(once, "c", cmap)
+    a = {r.i: r.c for r in once.collect()}
+    b = {r.i: r.c for r in twice.collect()}
+    variants = cleaning.invert_category_map(cmap)
+    for i in a:
+        assert a[i] is not None  # J5 never yields NULL
+        if a[i] not in variants:  # unmapped values are a fixed point (I1 is idempotent)
+            assert b[i] == a[i]
