@@ -47,7 +47,8 @@ def get_spark(master: str | None = None, app_name: str = "tabsieve", **conf: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when nothing is configured (local tests) a fresh scratch folder is created and set.
+    Only in local mode with nothing configured (tests) is a fresh scratch folder created and set; on a
+    cluster a missing setting is an error, never a machine-local folder.
     """
     try:
         sc = spark.sparkContext
@@ -60,6 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared, fault-tolerant folder "
+                           "(HDFS / object store) for this cluster; a machine-local folder is not usable")
     scratch = tempfile.mkdtemp(prefix="tabsieve-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
