@@ -37,3 +37,20 @@ def test_query_without_oracle_runs(spark, name):
 def test_entry_smoke(spark):
     df = entry_mod.entry(spark)
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("conf", [{"spark.sql.shuffle.partitions": "200"},
+                                  {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "13"}])
+def test_results_do_not_depend_on_partitioning(spark, con, conf):
+    """Slice-based operators (ranks, quantiles, split) give the same answer for other partition counts
+    and without AQE."""
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for name in ["category_table", "explore_target", "stratified_split", "histogram", "quantile_bins"]:
+            problems = compare(entry_mod.queries()[name](spark, SF_SMALL), con, ORACLES[name])
+            assert not problems, (name, conf, problems)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
