@@ -85,7 +85,8 @@ def histogram_by_group(df: DataFrame, value_col: str, group_col: str, bins: int
 def _long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     df = canonicalize_missing(df)
     typed = df.select(*[to_number(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in columns])
-    return typed.unpivot([], list(columns), "feature", "v").where(F.col("v").isNotNull())
+    return (typed.unpivot([], [F.col(f"`{c}`") for c in columns], "feature", "v")
+                 .where(F.col("v").isNotNull()))
 
 
 def percentile_trim(df: DataFrame, column: str, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
@@ -164,4 +165,4 @@ def missing_by_group(df: DataFrame, year_col: str, target_col: str) -> DataFrame
               .agg(F.count(F.lit(1)).alias("total"),
                    F.count_if("_m").alias("missing"),
                    (F.avg(F.col("_m").cast("double")) * 100.0).alias("missing_pct"))
-              .orderBy(year_col))
+              .orderBy(F.col(f"`{year_col}`")))

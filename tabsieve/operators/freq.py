@@ -43,7 +43,7 @@ def long_values(df: DataFrame, columns: Sequence[str], value_name: str = "catego
     """``(feature, value)`` for every cell of ``columns`` (nulls kept), values as text."""
     df = canonicalize_missing(df.select(*[F.col(f"`{c}`") for c in columns]))
     text = df.select(*[as_text(df, c).alias(c) for c in columns])
-    return text.unpivot([], list(columns), "feature", value_name)
+    return text.unpivot([], [F.col(f"`{c}`") for c in columns], "feature", value_name)
 
 
 def frequency_table(df: DataFrame, columns: Sequence[str] | None = None,

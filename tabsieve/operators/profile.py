@@ -141,7 +141,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact:
         f.name for f in df.schema.fields if is_numeric(f.dataType) and not f.name.startswith(INDEX_PREFIX)]
     df = canonicalize_missing(df.select(*[F.col(f"`{c}`") for c in columns]))
     long_df = (df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-                 .unpivot([], columns, "feature", "v"))
+                 .unpivot([], [F.col(f"`{c}`") for c in columns], "feature", "v"))
     st = numeric_stats(long_df, ["feature"], exact=exact)
     feats = _features_frame(df, columns)
     rows = F.col("_rows")
@@ -269,7 +269,8 @@ def _distinct_per_column(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         if not members:
             continue
         typed = df.select(*[_as_family(df, c).alias(c) for c in members])
-        counts = (typed.unpivot([], members, "feature", "v").groupBy("feature", "v")
+        counts = (typed.unpivot([], [F.col(f"`{c}`") for c in members], "feature", "v")
+                       .groupBy("feature", "v")
                        .agg(F.count(F.lit(1)).alias("_c"))
                        .groupBy("feature").agg(F.count("v").alias("_u"), F.sum("_c").alias("_rows")))
         parts = counts if parts is None else parts.unionByName(counts)
