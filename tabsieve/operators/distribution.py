@@ -153,6 +153,21 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str], group_col: str | None =
                         "whisker_low", "whisker_high", F.col("fliers").cast("long").alias("fliers"))
 
 
+def boxplot_fliers(df: DataFrame, column: str, group_col: str | None = None, whis: float = 1.5) -> DataFrame:
+    """The rows whose ``column`` lies outside ``whis * IQR`` of its quartiles (per ``group_col``
+    when given; NULL values and groups dropped) -- a filtered DataFrame, never collected.  The
+    quartiles come from the distinct table (one row per group) joined back to the rows."""
+    x = to_number(F.col(f"`{column}`"), df.schema[column].dataType)
+    g = as_text(df, group_col) if group_col else F.lit("")
+    keyed = df.withColumn("_g", g).withColumn("_x", x).where(F.col("_x").isNotNull() & F.col("_g").isNotNull())
+    local = _distinct_values(keyed.select(F.col("_g").alias("group"), F.col("_x").alias("v")), ["group"])
+    quart = quantiles_from_slices(local, ["group"], [0.25, 0.75], ["_q1", "_q3"])
+    iqr = F.col("_q3") - F.col("_q1")
+    return (keyed.join(quart.withColumnRenamed("group", "_g"), "_g")
+                 .where((F.col("_x") < F.col("_q1") - whis * iqr) | (F.col("_x") > F.col("_q3") + whis * iqr))
+                 .drop("_g", "_x", "_q1", "_q3"))
+
+
 def missing_by_group(df: DataFrame, year_col: str, target_col: str) -> DataFrame:
     """Per integer year (text coerced, NULL/non-numeric dropped, truncated toward zero)
     ``total, missing, missing_pct`` of ``target_col`` (percent, not rounded), ascending."""

@@ -22,9 +22,10 @@ from tabsieve.functions.missing import canonicalize_missing
 class OneHotModel:
     columns: list[str]
     categories: dict[str, list] = field(default_factory=dict)
+    separator: str = ""  # the reference joins name and category with nothing; a separator avoids collisions
 
     def output_names(self) -> dict[str, list[str]]:
-        return {c: [f"{c}{cat}" for cat in self.categories[c]] for c in self.columns}
+        return {c: [f"{c}{self.separator}{cat}" for cat in self.categories[c]] for c in self.columns}
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``col == category`` as 0/1 per learned category (NULL and unseen -> all zeros); the
@@ -53,7 +54,8 @@ def _typed(value: str, dtype) -> object:
     return value
 
 
-def fit_one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = 1000) -> OneHotModel:
+def fit_one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = 1000,
+                separator: str = "") -> OneHotModel:
     """Sorted distinct non-null categories per column.  One scan (unpivot), one distinct, and a
     collect that is bounded in the job itself: at most ``max_categories + 1`` values per column reach
     the driver, so an oversized vocabulary is refused without ever being collected."""
@@ -73,7 +75,7 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = 100
                          "use StringIndexer + OneHotEncoder (sparse vectors) instead")
     categories = {c: sorted(_typed(v, df.schema[c].dataType) for v in found[f"c{i}"])
                   for i, c in enumerate(columns)}
-    return OneHotModel(columns, categories)
+    return OneHotModel(columns, categories, separator)
 
 
 def one_hot_encoding(df: DataFrame, columns: Sequence[str], train: bool = True,

@@ -802,3 +802,15 @@ def q_audit_report_roundtrip(spark, sf):
                  .select("feature", F.col("value").alias("html"),
                          F.regexp_extract("value", "^<tr><td>([0-9]+)</td>", 1).cast("long").alias("rank")))
     return tables.join(html, ["feature", "rank"]).select("feature", "rank", "category", "count", "percentage", "html")
+
+
+@register("boxplot_fliers", """
+WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+           FROM events GROUP BY event_type)
+SELECT e.event_id, e.event_type, e.value FROM events e JOIN q USING (event_type)
+WHERE e.value < q1 - 1.5 * (q3 - q1) OR e.value > q3 + 1.5 * (q3 - q1)
+""")
+def q_boxplot_fliers(spark, sf):
+    """The outlying rows themselves (per event type), as a filtered DataFrame."""
+    ev = table(spark, sf, "events").select("event_id", "event_type", "value")
+    return distribution.boxplot_fliers(ev, "value", "event_type")

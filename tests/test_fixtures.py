@@ -191,3 +191,21 @@ def test_split_without_key_uses_whole_row(spark):
 def test_categorical_profile_in_table_order(spark):
     df = spark.createDataFrame([("x", "y", True)], "z string, a string, m boolean")
     assert [r.feature for r in freq.categorical_profile(df).collect()] == ["z", "a", "m"]
+
+
+def test_one_hot_separator_avoids_collision(spark):
+    df = spark.createDataFrame([("bc", "c"), ("x", "y")], "a string, ab string")
+    import pytest as _pytest
+    with _pytest.raises(ValueError):
+        encoding.fit_one_hot(df, ["a", "ab"]).transform(df.withColumn("abc", F.lit(1)))
+    model = encoding.fit_one_hot(df, ["a", "ab"], separator="=")
+    assert model.transform(df).columns == ["a=bc", "a=x", "ab=c", "ab=y"]
+
+
+def test_boxplot_fliers_match_counts(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    counts = {r.group: r.fliers for r in distribution.boxplot_stats(ev, ["value"], "event_type", ["value"]).collect()}
+    rows = distribution.boxplot_fliers(ev, "value", "event_type")
+    got = {r.event_type: r["count"] for r in rows.groupBy("event_type").count().collect()}
+    assert got == {k: v for k, v in counts.items() if v}
+    assert rows.columns == ev.columns
