@@ -19,6 +19,9 @@ from tabsieve.functions.missing import NA_TOKENS, null_tokens, py_strip
 
 _INDEX_NAME = re.compile(r"^(_c\d+|Unnamed:.*)$")
 _INT_TEXT = r"^[+-]?[0-9]+$"
+# The spellings pandas' CSV reader turns into booleans.
+TRUE_TOKENS = ("True", "TRUE", "true")
+FALSE_TOKENS = ("False", "FALSE", "false")
 _FLOAT_TEXT = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
 
 
@@ -28,8 +31,9 @@ def index_columns(df: DataFrame) -> list[str]:
 
 
 def refine_types(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """Cast string columns whose non-null values are all integers (-> bigint) or all numbers
-    (-> double), as pandas' inference does after NA tokens are removed.  One aggregate pass."""
+    """Cast string columns whose non-null values are all integers (-> bigint), all numbers
+    (-> double) or all boolean spellings (-> boolean), as pandas' inference does after NA tokens are
+    removed.  One aggregate pass."""
     cols = list(columns) if columns is not None else [
         f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not cols:
@@ -38,7 +42,8 @@ def refine_types(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     for i, c in enumerate(cols):
         t = py_strip(F.col(f"`{c}`"))
         aggs += [F.count(t).alias(f"n{i}"), F.count_if(t.rlike(_INT_TEXT)).alias(f"i{i}"),
-                 F.count_if(t.rlike(_FLOAT_TEXT)).alias(f"f{i}")]
+                 F.count_if(t.rlike(_FLOAT_TEXT)).alias(f"f{i}"),
+                 F.count_if(t.isin(list(TRUE_TOKENS + FALSE_TOKENS))).alias(f"b{i}")]
     stats = df.agg(*aggs).collect()[0]  # one row of counts
     exprs = []
     for f in df.schema.fields:
@@ -50,6 +55,9 @@ def refine_types(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
                 c = py_strip(c).try_cast("long")
             elif n and stats[f"f{i}"] == n:
                 c = py_strip(c).try_cast("double")
+            elif n and stats[f"b{i}"] == n:
+                t = py_strip(c)
+                c = F.when(t.isin(list(TRUE_TOKENS)), F.lit(True)).when(t.isin(list(FALSE_TOKENS)), F.lit(False))
         exprs.append(c.alias(f.name))
     return df.select(*exprs)
 

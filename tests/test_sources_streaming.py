@@ -15,11 +15,12 @@ def test_csv_pandas_semantics(spark):
     folder = tempfile.mkdtemp(prefix="tabsieve-csv-", dir="/tmp")
     path = os.path.join(folder, "t.csv")
     with open(path, "w", encoding="utf-8") as fh:
-        fh.write(',a,b,\n0,NA,"q ""in"" q",1\n1,2,"line\nbreak",x\n2,3.5,plain,\n')
+        fh.write(',a,b,,flag\n0,NA,"q ""in"" q",1,True\n1,2,"line\nbreak",x,FALSE\n2,3.5,plain,,\n')
     df = read_csv(spark, path)
-    assert df.columns == ["a", "b"]
+    assert df.columns == ["a", "b", "flag"]
+    assert dict(df.dtypes)["flag"] == "boolean"
     rows = df.orderBy("b").collect()
-    assert shape(df) == (3, 2)
+    assert shape(df) == (3, 3)
     assert dict(df.dtypes)["a"] == "double"
     assert {r.b for r in rows} == {'q "in" q', "line\nbreak", "plain"}
     assert sorted([r.a for r in rows], key=lambda v: (v is None, v)) == [2.0, 3.5, None]
@@ -41,7 +42,9 @@ def test_stream_equals_batch(spark):
     batch = spark.read.parquet(f"{src}/labels.parquet")
     steps = [lambda d: d.withColumn("flag", F.when(F.col("quality") == 1, "Sí").otherwise("no")),
              lambda d: cleaning.encode_binary(d, "flag"),
-             lambda d: cleaning.range_filter(d, {"toxic": (None, 0)})]
+             lambda d: cleaning.range_filter(d, {"toxic": (None, 0)}),
+             lambda d: d.withColumn("tag", F.when(F.col("quality") == 1, "Bueno_Á").otherwise("malo")),
+             lambda d: cleaning.apply_semantic_mapping(d, "tag", {"good": ["bueno a"]})]
     stream = apply_steps(read_parquet_stream(spark, src, batch.schema, "labels.parquet"), steps)
     out = tempfile.mkdtemp(prefix="tabsieve-stream-", dir="/tmp") + "/o"
     q = write_parquet_stream(stream, out, checkpoint=out + "_ckpt")
