@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 
 from tabsieve._ship import ship_by_value
 
+from tabsieve.functions.labels import NORMALISED_MISSING as MISSING_TOKEN
 from tabsieve.functions.missing import PY_WS_CLASS, py_strip
 
-MISSING_TOKEN = "missing"
 _ASCII = "^[\\x00-\\x7F]*$"
 _NON_ALNUM = re.compile(r"[^a-z0-9 ]")
 _WS = re.compile(r"\s+")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsieve.functions.labels import NA_BIN as NA_LABEL
+from tabsieve.functions.labels import OTHER_CATEGORY as OTHER_LABEL
+from tabsieve.functions.labels import PRICE_BIN_JOIN
+from tabsieve.functions.labels import UNKNOWN_STRATUM as UNKNOWN_LABEL
 from tabsieve.functions.missing import to_number
 from tabsieve.operators.freq import as_text
 from tabsieve.operators.ordering import linspace_probs, value_counts_by_group, weighted_quantiles
 
-NA_LABEL = "<NA>"
-OTHER_LABEL = "Other"
-UNKNOWN_LABEL = "Unknown"
-
 
 def quantile_edges(df: DataFrame, column: str, n_bins: int) -> list[float]:
     """Distinct linear-interpolated quantile edges at ``linspace(0, 1, n_bins + 1)`` (a one-row,
@@ -68,5 +68,5 @@ def brand_price_strata(df: DataFrame, brand_col: str, price_col: str, n_price_bi
     with fewer than ``min_count`` rows become ``Other``."""
     binned = quantile_bins(df, price_col, n_price_bins, out_col="_bin")
     brand = F.coalesce(as_text(binned, brand_col), F.lit(UNKNOWN_LABEL))
-    labelled = binned.withColumn(out_col, F.concat(brand, F.lit("_price_bin_"), F.col("_bin"))).drop("_bin")
+    labelled = binned.withColumn(out_col, F.concat(brand, F.lit(PRICE_BIN_JOIN), F.col("_bin"))).drop("_bin")
     return collapse_rare(labelled, out_col, min_count)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsieve.functions.labels import LIST_SEPARATOR, MISSING_CATEGORY, OTHER_CATEGORY, PREVIEW_PAIR
 from tabsieve.functions.missing import canonicalize_missing, is_categorical, pct
 from tabsieve.operators.ordering import ordered_positions
 
@@ -66,7 +67,7 @@ def category_table(df: DataFrame, categorical_columns_: Sequence[str] | None = N
     NULL becomes ``Missing``; rank 1..k by count desc, category asc; percentage of the feature total.
     The full rank uses :func:`ordered_positions`, so a feature with a huge vocabulary is ranked by many
     tasks; the per-feature totals are a one-row-per-feature table."""
-    freq = frequency_table(df, categorical_columns_, null_label="Missing")
+    freq = frequency_table(df, categorical_columns_, null_label=MISSING_CATEGORY)
     ranked = ordered_positions(freq, ["feature"], [F.desc("count"), F.asc("category")], pos_col="rank")
     totals = ranked.groupBy("feature").agg(F.sum("count").alias("_total"))  # from the checkpoint
     return (ranked.join(totals, "feature")
@@ -107,14 +108,14 @@ def top_n_other(df: DataFrame, categorical_columns_: Sequence[str] | None = None
     cols = [c for c in cols if c not in ignored and not c.startswith(INDEX_PREFIX)]
     if not cols:
         raise ValueError("No categorical columns found.")
-    freq = frequency_table(df, cols, null_label="Missing")
+    freq = frequency_table(df, cols, null_label=MISSING_CATEGORY)
     w = Window.partitionBy("feature").orderBy(F.desc("count"), F.asc("category"))
     top = freq.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top_n)
     stats = freq.groupBy("feature").agg(F.sum("count").alias("_total"),
                                         F.count(F.lit(1)).alias("_k"))
     top_sum = top.groupBy("feature").agg(F.sum("count").alias("_top"))
     other = (stats.join(top_sum, "feature").where(F.col("_k") > top_n)
-                  .select("feature", F.lit("Other").alias("category"),
+                  .select("feature", F.lit(OTHER_CATEGORY).alias("category"),
                           (F.col("_total") - F.col("_top")).alias("count"),
                           F.lit(True).alias("is_rollup")))
     return (top.select("feature", "category", "count", F.lit(False).alias("is_rollup"))
@@ -126,8 +127,8 @@ def top_n_other(df: DataFrame, categorical_columns_: Sequence[str] | None = None
 def _preview(items: Column) -> Column:
     """``"cat: n | cat: n"`` from an array of ``struct(k, category, count)`` sorted by ``k``."""
     return F.array_join(F.transform(F.array_sort(items),
-                                    lambda x: F.concat(x["category"], F.lit(": "),
-                                                       x["count"].cast("string"))), " | ")
+                                    lambda x: F.concat(x["category"], F.lit(PREVIEW_PAIR),
+                                                       x["count"].cast("string"))), LIST_SEPARATOR)
 
 
 def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 5,

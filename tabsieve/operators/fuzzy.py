@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsieve.functions.labels import LIST_SEPARATOR
 from tabsieve.functions.missing import py_strip
 from tabsieve.functions.similarity import py_round3, similarity_at_least
 from tabsieve.functions.text import normalize_category, normalize_text
@@ -156,8 +157,8 @@ def semantic_repetitions(df: DataFrame, columns: Sequence[str], similarity_thres
     rows = groups.join(vocab, ["feature", "rank"])
     out = rows.groupBy("feature", "leader").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "category"))),
-                                 lambda x: x["category"]), " | ").alias("similar_values"),
-        F.array_join(F.array_sort(F.collect_set("norm")), " | ").alias("normalized_values"),
+                                 lambda x: x["category"]), LIST_SEPARATOR).alias("similar_values"),
+        F.array_join(F.array_sort(F.collect_set("norm")), LIST_SEPARATOR).alias("normalized_values"),
         F.sum("count").cast("long").alias("total_count"),
         F.count(F.lit(1)).cast("long").alias("n_values_grouped"))
     return (out.select(*[f.name for f in _GROUP_SCHEMA.fields])

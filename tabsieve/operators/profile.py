@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsieve.functions.labels import ALL_GROUP
 from tabsieve.functions.missing import canonicalize_missing, is_categorical, is_numeric, pct, to_number
 from tabsieve.operators.freq import INDEX_PREFIX, as_text, categorical_profile, frequency_table
 from tabsieve.operators.ordering import join_keys, quantiles_from_slices, sliced_values
@@ -122,7 +123,7 @@ def explore_target(df: DataFrame, target: str, group_col: str | None = None, exa
     # cell for that key guarantees the row without changing any count
     always = df.sparkSession.createDataFrame([(True, None)], "is_total boolean, grp string")
     st = numeric_stats(long_df, ["is_total", "grp"], always_keys=always, exact=exact)
-    return (st.select(F.when(F.col("is_total"), F.lit("All")).otherwise(F.col("grp")).alias("group"),
+    return (st.select(F.when(F.col("is_total"), F.lit(ALL_GROUP)).otherwise(F.col("grp")).alias("group"),
                       "is_total",
                       F.col("non_missing").cast("long").alias("count"),
                       F.col("missing").cast("long").alias("missing"),
