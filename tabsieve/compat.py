@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsieve.functions.similarity import similarity
@@ -42,6 +42,16 @@ def build_category_summary(df: DataFrame, categorical_columns: Sequence[str] | N
     return freq.category_summary(df, categorical_columns)
 
 
+def format_value_counts(freq_table: DataFrame, max_items: int) -> DataFrame:
+    """D4 on a frequency table ``(feature, category, count)``: per feature the ``"cat: n | ..."``
+    preview of its ``max_items`` most frequent categories (count desc, category asc)."""
+    w = Window.partitionBy("feature").orderBy(F.desc("count"), F.asc("category"))
+    top = (freq_table.where(F.col("category").isNotNull())
+                     .withColumn("k", F.row_number().over(w)).where(F.col("k") <= max_items))
+    return top.groupBy("feature").agg(
+        freq._preview(F.collect_list(F.struct("k", "category", "count"))).alias("preview"))
+
+
 # ---- profiling
 def explore_target(df: DataFrame, target: str, currency: str | None = None) -> DataFrame:
     return profile.explore_target(df, target, currency)
@@ -126,6 +136,12 @@ def one_hot_encoding(df: DataFrame, categorical_cols: Sequence[str], train: bool
 
 
 # ---- binning and splitting
+def safe_index(split_df: DataFrame, part: str, split_col: str = "split") -> DataFrame:
+    """Rows of one split part (``"train"`` / ``"validation"``); Spark rows have no positions, so
+    a part is selected by its label instead of by index arrays."""
+    return split_df.where(F.col(split_col) == part).drop(split_col)
+
+
 def split_stratum_indices(n: Column, train_size: float = 0.80) -> Column:
     """Number of train rows of a stratum of ``n`` rows (the first ``round(n * train_size)``)."""
     return splitting.split_sizes(n, train_size)

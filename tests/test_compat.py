@@ -24,3 +24,15 @@ def test_reference_workflow(spark):
     assert compat.find_semantic_repetitions(part, ["p_name"], 0.8).count() == 11
     strata = compat.make_brand_price_strata(part, "p_brand", "p_retailprice", 4, 20)
     assert strata.where(F.col("stratum") == "Other").count() >= 0
+
+
+def test_preview_and_safe_index(spark):
+    from tabsieve.operators import freq
+    df = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "c string")
+    row = compat.format_value_counts(freq.frequency_table(df, ["c"]), 1).collect()[0]
+    assert (row.feature, row.preview) == ("c", "a: 2")
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    split = compat.train_val_split_stratified  # noqa: F841
+    from tabsieve.operators import splitting
+    s = splitting.stratified_split(orders, "o_orderpriority", ["o_orderkey"])
+    assert compat.safe_index(s, "train").count() + compat.safe_index(s, "validation").count() == 15000
