@@ -52,6 +52,8 @@ def frequency_table(df: DataFrame, columns: Sequence[str] | None = None,
     """``F(feature, category, count)``.  ``null_label`` replaces NULL (and merges with a real value
     of that text); ``dropna`` drops NULL; otherwise NULL is its own category."""
     columns = list(columns) if columns is not None else categorical_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, category string, count bigint")
     values = long_values(df, columns)
     cat = F.col("category")
     if null_label is not None:
@@ -131,6 +133,13 @@ def _preview(items: Column) -> Column:
                                                        x["count"].cast("string"))), LIST_SEPARATOR)
 
 
+CATEGORICAL_PROFILE_SCHEMA = (
+    "feature string, dtype string, categories_preview string, most_frequent string, "
+    "most_frequent_count bigint, most_frequent_pct double, least_frequent_preview string, "
+    "rare_categories bigint, missing bigint, missing_pct double, non_missing bigint, unique bigint, "
+    "unique_pct double")
+
+
 def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 5,
                         rare_threshold: int = 1) -> DataFrame:
     """D3 (+D4, D11): one row per categorical feature.
@@ -141,6 +150,8 @@ def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None, top
     the last ``top_n`` of that order shown by count asc, category asc."""
     columns = list(columns) if columns is not None else [
         c for c in categorical_columns(df) if not c.startswith(INDEX_PREFIX)]
+    if not columns:
+        return df.sparkSession.createDataFrame([], CATEGORICAL_PROFILE_SCHEMA)
     dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     freq = frequency_table(df, columns)
     nonnull = freq.where(F.col("category").isNotNull())

@@ -133,6 +133,12 @@ def explore_target(df: DataFrame, target: str, group_col: str | None = None, exa
               .orderBy(F.desc("is_total"), F.asc_nulls_last("group")))
 
 
+NUMERIC_PROFILE_SCHEMA = (
+    "feature string, dtype string, non_missing bigint, missing bigint, missing_pct double, min double, "
+    "max double, mean double, median double, std double, q1 double, q3 double, zero_count bigint, "
+    "outlier_count bigint, outlier_pct double, unique bigint, unique_pct double")
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """D2 (+C7): one row per numeric feature, columns in the reference order.
 
@@ -140,6 +146,8 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact:
     zero_count, outlier_count, outlier_pct, unique, unique_pct``; percentages over all rows."""
     columns = list(columns) if columns is not None else [
         f.name for f in df.schema.fields if is_numeric(f.dataType) and not f.name.startswith(INDEX_PREFIX)]
+    if not columns:
+        return df.sparkSession.createDataFrame([], NUMERIC_PROFILE_SCHEMA)
     df = canonicalize_missing(df.select(*[F.col(f"`{c}`") for c in columns]))
     long_df = (df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
                  .unpivot([], [F.col(f"`{c}`") for c in columns], "feature", "v"))

@@ -814,3 +814,12 @@ def q_boxplot_fliers(spark, sf):
     """The outlying rows themselves (per event type), as a filtered DataFrame."""
     ev = table(spark, sf, "events").select("event_id", "event_type", "value")
     return distribution.boxplot_fliers(ev, "value", "event_type")
+
+
+@register("explore_documents", _categorical_profile_sql(
+    "SELECT text, lang, source FROM documents",
+    [("text", "string", "text"), ("lang", "string", "lang"), ("source", "string", "source")]))
+def q_explore_documents(spark, sf):
+    """D3/D4 over whole texts: the most/least frequent documents are previewed in full."""
+    d = table(spark, sf, "documents").select("text", "lang", "source")
+    return profile.explore_features(d)["categorical"]

@@ -105,3 +105,14 @@ def test_approximate_profiles_close_to_exact(spark):
     assert [(r.group, r["count"], r.missing) for r in row] == [("All", 0, 0)]
     num = profile.numeric_profile(orders, ["o_totalprice"], exact=False).collect()[0]
     assert num.non_missing == 15000 and abs(num.unique - 15000) < 15000 * 0.05
+
+
+def test_profiles_without_columns_of_a_kind(spark):
+    text_only = spark.createDataFrame([("a",)], "t string")
+    num_only = spark.createDataFrame([(1.0,)], "x double")
+    feats = profile.explore_features(text_only)
+    assert feats["numeric"].count() == 0 and feats["categorical"].count() == 1
+    assert "outlier_pct" in feats["numeric"].columns
+    feats = profile.explore_features(num_only)
+    assert feats["categorical"].count() == 0 and feats["numeric"].count() == 1
+    assert "least_frequent_preview" in feats["categorical"].columns
