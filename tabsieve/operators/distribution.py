@@ -78,7 +78,7 @@ def histogram_by_group(df: DataFrame, value_col: str, group_col: str, bins: int
                 .where(F.col("group").isNotNull() & F.col("v").isNotNull()))
     local = _distinct_values(values, ["group"])
     hist = _histogram(local, ["group"], bins)
-    med = quantiles_from_slices(local, ["group"], [0.5], ["median"])
+    med = quantiles_from_slices(local, ["group"], [0.5], ["median"], mean_of_middle=["median"])
     return join_keys(hist, med, ["group"]).select("group", "bin", "bin_start", "bin_end", "count", "median")
 
 
@@ -110,7 +110,8 @@ def raw_distributions(df: DataFrame, columns: Sequence[str], bins: int = 35,
     cols = [c for c in columns if c in df.columns]
     values = _long_numeric(df.select(*[F.col(f"`{c}`") for c in cols]), cols)
     local = _distinct_values(values, ["feature"])
-    q = quantiles_from_slices(local, ["feature"], [0.01, 0.5, 0.99], ["_plo", "median", "_phi"])
+    q = quantiles_from_slices(local, ["feature"], [0.01, 0.5, 0.99], ["_plo", "median", "_phi"],
+                              mean_of_middle=["median"])
     trimmed = local
     if use_percentile_range:
         trimmed = (join_keys(local, q.select("feature", "_plo", "_phi"), ["feature"])

@@ -88,23 +88,29 @@ def value_counts_by_group(df: DataFrame, group_cols: Sequence[str], value: Colum
 
 def weighted_quantiles(counts: DataFrame, group_cols: Sequence[str], probs: Sequence[float],
                        aliases: Sequence[str], value_col: str = "_v",
-                       weight_col: str = "_cnt") -> DataFrame:
+                       weight_col: str = "_cnt", mean_of_middle: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy/pandas ``quantile`` default) from a distinct
     ``(group, value, weight)`` table.  One row per group with one column per probability."""
     group = list(group_cols)
     if not group:
         return (weighted_quantiles(counts.withColumn("_all", F.lit(0)), ["_all"], probs, aliases,
-                                   value_col, weight_col).drop("_all"))
+                                   value_col, weight_col, mean_of_middle).drop("_all"))
     local = sliced_values(counts, group, value_col)
-    return quantiles_from_slices(local, group, probs, aliases, value_col, weight_col)
+    return quantiles_from_slices(local, group, probs, aliases, value_col, weight_col,
+                                 mean_of_middle=mean_of_middle)
 
 
 def quantiles_from_slices(local: DataFrame, group_cols: Sequence[str], probs: Sequence[float],
                           aliases: Sequence[str], value_col: str = "_v",
-                          weight_col: str = "_cnt", sizes: DataFrame | None = None) -> DataFrame:
+                          weight_col: str = "_cnt", sizes: DataFrame | None = None,
+                          mean_of_middle: Sequence[str] = ()) -> DataFrame:
     """Quantiles from :func:`sliced_values`.  Per-slice weight totals (one row per slice and group)
     locate the few slices holding the needed order statistics; only the rows of those slices are
-    put through a running-sum window, and at most two rows per probability survive."""
+    put through a running-sum window, and at most two rows per probability survive.
+
+    Arithmetic follows pandas bit for bit: ``Series.quantile(q)`` hands ``q * 100`` to numpy, which
+    divides by 100 again and uses the index ``(n - 1) * q`` with its two-sided linear interpolation;
+    aliases in ``mean_of_middle`` follow ``Series.median()`` instead (mean of the two middle values)."""
     group = list(group_cols)
     w = F.col(weight_col)
     nonnull = local.where(F.col(value_col).isNotNull())
@@ -115,13 +121,14 @@ def quantiles_from_slices(local: DataFrame, group_cols: Sequence[str], probs: Se
     offs = sizes.select("_slice", *group, "_sw",
                         F.coalesce(F.sum("_sw").over(prior), F.lit(0)).alias("_before"),
                         F.sum("_sw").over(whole).alias("_n"))
-    n1 = F.col("_n") - 1
+    n1 = (F.col("_n") - 1).cast("double")
+    pandas_q = [(float(p) * 100.0) / 100.0 for p in probs]  # the q numpy sees after pandas' "* 100"
     targets = F.array(*[
         F.struct(F.lit(i).alias("i"),
-                 F.floor(n1 * F.lit(float(p))).alias("lo"),
-                 F.ceil(n1 * F.lit(float(p))).alias("hi"),
-                 (n1 * F.lit(float(p)) - F.floor(n1 * F.lit(float(p)))).alias("t"))
-        for i, p in enumerate(probs)])
+                 F.floor(n1 * F.lit(q)).alias("lo"),
+                 F.ceil(n1 * F.lit(q)).alias("hi"),
+                 (n1 * F.lit(q) - F.floor(n1 * F.lit(q))).alias("t"))
+        for i, q in enumerate(pandas_q)])
     in_slice = lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("_sw"))
     needed = (offs.where(F.exists(targets, lambda x: in_slice(x["lo"]) | in_slice(x["hi"])))
                   .select("_slice", *group, "_before", targets.alias("_targets")))
@@ -145,9 +152,12 @@ def quantiles_from_slices(local: DataFrame, group_cols: Sequence[str], probs: Se
     out = []
     for i, alias in enumerate(aliases):
         a, b, t = F.col(f"_a{i}._v"), F.col(f"_b{i}._v"), F.col(f"_t{i}")
-        # numpy's two-sided linear interpolation (monotone in t).
-        out.append(F.when(a == b, a).when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t))
-                    .otherwise(a + (b - a) * t).alias(alias))
+        # numpy's two-sided linear interpolation (monotone in t); median(): mean of the middle two
+        value = F.when(a == b, a)
+        if alias in mean_of_middle:
+            value = value.when(t == 0.5, (a + b) / 2.0)
+        out.append(value.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t))
+                        .otherwise(a + (b - a) * t).alias(alias))
     return picked.select(*group, *out)
 
 

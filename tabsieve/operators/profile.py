@@ -86,7 +86,8 @@ def numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str = "v",
         F.count(v).alias("unique"),
         F.sum(F.when(v == 0, cnt).otherwise(0)).alias("zero_count"))
     sizes = per_slice.where(F.col("non_missing") > 0).select("_slice", *keys, F.col("non_missing").alias("_sw"))
-    quart = quantiles_from_slices(pos, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], sizes=sizes)
+    quart = quantiles_from_slices(pos, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], sizes=sizes,
+                                  mean_of_middle=["median"])
     base = per_slice.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("_rows", "non_missing", "missing", "_sum", "unique", "zero_count")],
         F.min("min").alias("min"), F.max("max").alias("max"))
