@@ -209,3 +209,18 @@ def test_boxplot_fliers_match_counts(spark):
     got = {r.event_type: r["count"] for r in rows.groupBy("event_type").count().collect()}
     assert got == {k: v for k, v in counts.items() if v}
     assert rows.columns == ev.columns
+
+
+def test_pct_equals_numpy_round_on_many_ratios(spark):
+    import random
+
+    import numpy as np
+    rnd = random.Random(11)
+    pairs = []
+    for _ in range(20000):
+        n = rnd.randint(1, 10**6)
+        pairs.append((rnd.randint(0, n), n))
+    df = spark.createDataFrame(pairs, "c long, n long")
+    got = [r[0] for r in df.select(pct(F.col("c"), F.col("n"))).collect()]
+    expected = [float(np.round((np.int64(c) / np.int64(n)) * 100, 2)) for c, n in pairs]
+    assert got == expected
