@@ -25,6 +25,7 @@ _PY_WS_EDGES = f"(?U)^{PY_WS_CLASS}+|{PY_WS_CLASS}+$"
 
 # Strings pandas.to_numeric accepts (after trimming): decimal / scientific notation and infinities.
 _NUMERIC_TEXT = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
+_INFINITY_TEXT = r"(?i)^[+-]?inf(inity)?$"  # only these spell an infinity; 1e999 overflows to NULL
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
@@ -75,7 +76,9 @@ def to_number(c: Column | str, dtype: T.DataType | None = None) -> Column:
     """``pandas.to_numeric(errors="coerce")`` as a column expression returning DOUBLE.
 
     Numeric input is cast (NaN -> NULL). Text is trimmed and must look like a decimal number or an
-    infinity; ``1d``/``1f`` (accepted by a bare Spark cast), hex, ``1_000`` and ``1,000`` become NULL.
+    infinity; ``1d``/``1f`` (accepted by a bare Spark cast), hex, ``1_000``, ``1,000`` and literals that
+    overflow a double (``1e999``) become NULL.  Values are correctly rounded; pandas' fast parser can
+    differ in the last bit for exponents beyond about 1e22.
     """
     col = F.col(c) if isinstance(c, str) else c
     if dtype is not None and not isinstance(dtype, T.StringType):
@@ -85,7 +88,9 @@ def to_number(c: Column | str, dtype: T.DataType | None = None) -> Column:
             return F.nanvl(col.cast("double"), F.lit(None).cast("double"))
         return F.lit(None).cast("double")
     text = py_strip(col.cast("string"))
-    return F.when(text.rlike(_NUMERIC_TEXT), text.try_cast("double")).cast("double")
+    parsed = text.try_cast("double")
+    overflow = (F.abs(parsed) == F.lit(float("inf"))) & ~text.rlike(_INFINITY_TEXT)
+    return F.when(text.rlike(_NUMERIC_TEXT) & ~overflow, parsed).cast("double")
 
 
 def pct(num: Column, den: Column, scale: int = 2) -> Column:

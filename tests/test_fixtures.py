@@ -224,3 +224,9 @@ def test_pct_equals_numpy_round_on_many_ratios(spark):
     got = [r[0] for r in df.select(pct(F.col("c"), F.col("n"))).collect()]
     expected = [float(np.round((np.int64(c) / np.int64(n)) * 100, 2)) for c, n in pairs]
     assert got == expected
+
+
+def test_to_number_overflow_is_null(spark):
+    df = spark.createDataFrame([("1e999",), ("-2E400",), ("inf",), ("-Infinity",), ("1e308",)], "s string")
+    got = [r[0] for r in df.select(to_number(F.col("s"))).collect()]
+    assert got[:2] == [None, None] and got[2] == float("inf") and got[3] == float("-inf") and got[4] == 1e308
