@@ -230,3 +230,19 @@ def test_to_number_overflow_is_null(spark):
     df = spark.createDataFrame([("1e999",), ("-2E400",), ("inf",), ("-Infinity",), ("1e308",)], "s string")
     got = [r[0] for r in df.select(to_number(F.col("s"))).collect()]
     assert got[:2] == [None, None] and got[2] == float("inf") and got[3] == float("-inf") and got[4] == 1e308
+
+
+def test_ascii_fast_paths_equal_python_for_every_ascii_char(spark):
+    from tabsieve.functions.text import (normalize_category, normalize_category_value, normalize_text,
+                                         normalize_text_value)
+    texts = []
+    for code in range(128):
+        ch = chr(code)
+        texts += [ch, f"A{ch}b", f" {ch}{ch}x_Y-z{ch} "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", normalize_category(F.col("t")).alias("c"), normalize_text(F.col("t")).alias("n")) \
+             .orderBy("i").collect()
+    for r in rows:
+        t = texts[r.i]
+        assert r.c == normalize_category_value(t), repr(t)
+        assert r.n == normalize_text_value(t), repr(t)
