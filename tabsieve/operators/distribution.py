@@ -122,11 +122,28 @@ def raw_distributions(df: DataFrame, columns: Sequence[str], bins: int = 35,
             .select("feature", "bin", "bin_start", "bin_end", "count", "median"))
 
 
+def _box_whiskers(local: DataFrame, keys: list[str], whis: float) -> DataFrame:
+    """Per key ``n, q1, median, q3, whisker_low, whisker_high`` with Matplotlib's rule: the whiskers
+    are the most extreme values within ``whis * IQR`` of the quartiles, clamped to the quartile when
+    that value lies on the wrong side of it (quartiles are interpolated)."""
+    quart = quantiles_from_slices(local, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    iqr = F.col("q3") - F.col("q1")
+    lo, hi = F.col("q1") - whis * iqr, F.col("q3") + whis * iqr
+    v, cnt = F.col("_v"), F.col("_cnt")
+    raw = join_keys(local, quart, keys).groupBy(*keys, "q1", "median", "q3").agg(
+        F.sum(cnt).alias("n"), F.min(F.when(v >= lo, v)).alias("_wl"), F.max(F.when(v <= hi, v)).alias("_wh"))
+    return raw.select(*keys, "n", "q1", "median", "q3",
+                      F.when(F.col("_wl").isNull() | (F.col("_wl") > F.col("q1")), F.col("q1"))
+                       .otherwise(F.col("_wl")).alias("whisker_low"),
+                      F.when(F.col("_wh").isNull() | (F.col("_wh") < F.col("q3")), F.col("q3"))
+                       .otherwise(F.col("_wh")).alias("whisker_high"))
+
+
 def boxplot_stats(df: DataFrame, columns: Sequence[str], group_col: str | None = None,
                   grouped_columns: Sequence[str] = (), whis: float = 1.5) -> DataFrame:
     """Box-plot statistics per numeric column; columns in ``grouped_columns`` are split by
-    ``group_col`` (rows with a NULL group dropped).  Whiskers are the most extreme values within
-    ``whis * IQR`` of the quartiles (Matplotlib's default).
+    ``group_col`` (rows with a NULL group dropped).  Quartiles as ``numpy.percentile``, whiskers and
+    fliers (values beyond the whiskers) as Matplotlib computes them.
     ``feature, group, n, q1, median, q3, whisker_low, whisker_high, fliers``.  One scan."""
     cols = [c for c in columns if c in df.columns]
     grouped = [c for c in cols if group_col is not None and c in grouped_columns and group_col in df.columns]
@@ -141,32 +158,27 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str], group_col: str | None =
                 .drop("_grouped"))
     keys = ["feature", "group"]
     local = _distinct_values(values, keys)
-    quart = quantiles_from_slices(local, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    iqr = F.col("q3") - F.col("q1")
-    lo, hi = F.col("q1") - whis * iqr, F.col("q3") + whis * iqr
+    box = _box_whiskers(local, keys, whis)
     v, cnt = F.col("_v"), F.col("_cnt")
-    stats = join_keys(local, quart, keys).groupBy(*keys, "q1", "median", "q3").agg(
-        F.sum(cnt).alias("n"),
-        F.min(F.when(v >= lo, v)).alias("whisker_low"),
-        F.max(F.when(v <= hi, v)).alias("whisker_high"),
-        F.sum(F.when((v < lo) | (v > hi), cnt).otherwise(0)).alias("fliers"))
-    return stats.select("feature", "group", F.col("n").cast("long").alias("n"), "q1", "median", "q3",
-                        "whisker_low", "whisker_high", F.col("fliers").cast("long").alias("fliers"))
+    fliers = join_keys(local, box.select(*keys, "whisker_low", "whisker_high"), keys).groupBy(*keys).agg(
+        F.sum(F.when((v < F.col("whisker_low")) | (v > F.col("whisker_high")), cnt).otherwise(0)).alias("fliers"))
+    return join_keys(box, fliers, keys).select(
+        "feature", "group", F.col("n").cast("long").alias("n"), "q1", "median", "q3",
+        "whisker_low", "whisker_high", F.col("fliers").cast("long").alias("fliers"))
 
 
 def boxplot_fliers(df: DataFrame, column: str, group_col: str | None = None, whis: float = 1.5) -> DataFrame:
-    """The rows whose ``column`` lies outside ``whis * IQR`` of its quartiles (per ``group_col``
-    when given; NULL values and groups dropped) -- a filtered DataFrame, never collected.  The
-    quartiles come from the distinct table (one row per group) joined back to the rows."""
+    """The rows whose ``column`` lies beyond the box-plot whiskers (per ``group_col`` when
+    given; NULL values and groups dropped) -- a filtered DataFrame, never collected.  The whiskers
+    come from the distinct table (one row per group) joined back to the rows."""
     x = to_number(F.col(f"`{column}`"), df.schema[column].dataType)
     g = as_text(df, group_col) if group_col else F.lit("")
     keyed = df.withColumn("_g", g).withColumn("_x", x).where(F.col("_x").isNotNull() & F.col("_g").isNotNull())
     local = _distinct_values(keyed.select(F.col("_g").alias("group"), F.col("_x").alias("v")), ["group"])
-    quart = quantiles_from_slices(local, ["group"], [0.25, 0.75], ["_q1", "_q3"])
-    iqr = F.col("_q3") - F.col("_q1")
-    return (keyed.join(quart.withColumnRenamed("group", "_g"), "_g")
-                 .where((F.col("_x") < F.col("_q1") - whis * iqr) | (F.col("_x") > F.col("_q3") + whis * iqr))
-                 .drop("_g", "_x", "_q1", "_q3"))
+    box = _box_whiskers(local, ["group"], whis).select(F.col("group").alias("_g"), "whisker_low", "whisker_high")
+    return (keyed.join(box, "_g")
+                 .where((F.col("_x") < F.col("whisker_low")) | (F.col("_x") > F.col("whisker_high")))
+                 .drop("_g", "_x", "whisker_low", "whisker_high"))
 
 
 def missing_by_group(df: DataFrame, year_col: str, target_col: str) -> DataFrame:

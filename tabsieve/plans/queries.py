@@ -510,14 +510,21 @@ def q_percentile_trim(spark, sf):
 WITH v AS (SELECT 'value' AS feature, event_type AS grp, value AS v FROM events
            UNION ALL SELECT 'user_id', NULL, CAST(user_id AS DOUBLE) FROM events),
 q AS (SELECT feature, grp, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
-             quantile_cont(v, 0.75) AS q3 FROM v GROUP BY ALL)
-SELECT feature, q.grp AS "group", CAST(count(*) AS BIGINT) AS n, round_even(q1, 6) AS q1,
+             quantile_cont(v, 0.75) AS q3 FROM v GROUP BY ALL),
+w AS (SELECT feature, q.grp, q1, median, q3, count(*) AS n,
+             min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)) AS wl,
+             max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)) AS wh
+      FROM v JOIN q USING (feature) WHERE v.grp IS NOT DISTINCT FROM q.grp
+      GROUP BY feature, q.grp, q1, median, q3),
+b AS (SELECT feature, grp, n, q1, median, q3,
+             CASE WHEN wl IS NULL OR wl > q1 THEN q1 ELSE wl END AS whisker_low,
+             CASE WHEN wh IS NULL OR wh < q3 THEN q3 ELSE wh END AS whisker_high FROM w)
+SELECT b.feature, b.grp AS "group", CAST(b.n AS BIGINT) AS n, round_even(q1, 6) AS q1,
        round_even(median, 6) AS median, round_even(q3, 6) AS q3,
-       round_even(min(v) FILTER (WHERE v >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low,
-       round_even(max(v) FILTER (WHERE v <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
-       CAST(count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS fliers
-FROM v JOIN q USING (feature) WHERE v.grp IS NOT DISTINCT FROM q.grp
-GROUP BY feature, q.grp, q1, median, q3
+       round_even(whisker_low, 6) AS whisker_low, round_even(whisker_high, 6) AS whisker_high,
+       CAST(count(*) FILTER (WHERE v.v < whisker_low OR v.v > whisker_high) AS BIGINT) AS fliers
+FROM v JOIN b ON v.feature = b.feature AND v.grp IS NOT DISTINCT FROM b.grp
+GROUP BY ALL
 """)
 def q_boxplot_stats(spark, sf):
     e = table(spark, sf, "events")
@@ -806,9 +813,14 @@ def q_audit_report_roundtrip(spark, sf):
 
 @register("boxplot_fliers", """
 WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
-           FROM events GROUP BY event_type)
-SELECT e.event_id, e.event_type, e.value FROM events e JOIN q USING (event_type)
-WHERE e.value < q1 - 1.5 * (q3 - q1) OR e.value > q3 + 1.5 * (q3 - q1)
+           FROM events GROUP BY event_type),
+w AS (SELECT event_type, q1, q3, min(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1)) AS wl,
+             max(value) FILTER (WHERE value <= q3 + 1.5 * (q3 - q1)) AS wh
+      FROM events JOIN q USING (event_type) GROUP BY ALL),
+b AS (SELECT event_type, CASE WHEN wl IS NULL OR wl > q1 THEN q1 ELSE wl END AS lo,
+             CASE WHEN wh IS NULL OR wh < q3 THEN q3 ELSE wh END AS hi FROM w)
+SELECT e.event_id, e.event_type, e.value FROM events e JOIN b USING (event_type)
+WHERE e.value < lo OR e.value > hi
 """)
 def q_boxplot_fliers(spark, sf):
     """The outlying rows themselves (per event type), as a filtered DataFrame."""

@@ -246,3 +246,12 @@ def test_ascii_fast_paths_equal_python_for_every_ascii_char(spark):
         t = texts[r.i]
         assert r.c == normalize_category_value(t), repr(t)
         assert r.n == normalize_text_value(t), repr(t)
+
+
+def test_boxplot_whisker_clamped_to_quartile(spark):
+    # q1 interpolates to 75 between 0 and 100; the lowest value inside the fence (100) lies above q1,
+    # so the whisker is drawn at q1 and 0 is the only flier (Matplotlib's boxplot_stats rule)
+    df = spark.createDataFrame([(0.0,), (100.0,), (101.0,), (101.0,)], "x double")
+    r = distribution.boxplot_stats(df, ["x"]).collect()[0]
+    assert (r.q1, r.q3, r.whisker_low, r.whisker_high, r.fliers) == (75.0, 101.0, 75.0, 101.0, 1)
+    assert [x.x for x in distribution.boxplot_fliers(df, "x").collect()] == [0.0]
