@@ -53,3 +53,16 @@ def test_stream_equals_batch(spark):
     expected = apply_steps(batch, steps)
     assert got.count() == expected.count()
     assert got.exceptAll(expected.select(*got.columns)).count() == 0
+
+
+def test_stream_default_checkpoint_is_under_shared_folder(spark):
+    from tabsieve.session import checkpoint_dir
+    src = "/root/testdata/sf0.01"
+    schema = spark.read.parquet(f"{src}/labels.parquet").schema
+    stream = read_parquet_stream(spark, src, schema, "labels.parquet")
+    out = tempfile.mkdtemp(prefix="tabsieve-stream-", dir="/tmp") + "/o"
+    q = write_parquet_stream(stream, out)  # checkpoint defaults to spark.checkpoint.dir/streams/...
+    q.awaitTermination(120)
+    assert spark.read.parquet(out).count() == spark.read.parquet(f"{src}/labels.parquet").count()
+    base = checkpoint_dir(spark).replace("file:", "")
+    assert os.path.isdir(os.path.join(base, "streams"))
