@@ -164,3 +164,31 @@ def test_to_number_equals_pandas(spark, texts):
             assert a is None, (t, a, b)
         else:
             assert a == b, (t, a, b)
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float), small_floats.map(lambda x: round(x, 1))),
+                min_size=1, max_size=60))
+def test_numeric_profile_equals_pandas(spark, values):
+    from tabsieve.operators import profile
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    r = profile.numeric_profile(df, ["x"]).collect()[0]
+    s = pd.Series(values, dtype="float64")
+    nn = s.dropna()
+    n = len(s)
+    assert (r.non_missing, r.missing, r.unique, r.zero_count) == (int(s.count()), int(s.isna().sum()),
+                                                                  int(s.nunique()), int((s == 0).sum()))
+    assert r.missing_pct == round(s.isna().sum() / n * 100, 2)
+    if len(nn):
+        q1, q3 = nn.quantile(0.25), nn.quantile(0.75)
+        iqr = q3 - q1
+        outliers = int(((s < q1 - 1.5 * iqr) | (s > q3 + 1.5 * iqr)).sum())
+        assert (r["min"], r["max"], r.q1, r.q3, r.median) == (nn.min(), nn.max(), q1, q3, nn.median())
+        assert r.outlier_count == outliers and r.outlier_pct == round(outliers / n * 100, 2)
+        assert abs(r.mean - nn.mean()) <= 1e-9 * max(1.0, abs(nn.mean()))
+        if len(nn) > 1:
+            assert abs(r.std - nn.std()) <= 1e-9 * max(1.0, nn.std())
+        else:
+            assert r.std is None
+    else:
+        assert r["min"] is None and r.median is None and r.outlier_count == 0
