@@ -192,3 +192,24 @@ def test_numeric_profile_equals_pandas(spark, values):
             assert r.std is None
     else:
         assert r["min"] is None and r.median is None and r.outlier_count == 0
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d", "e", "f"])), min_size=1, max_size=60),
+       st.integers(1, 3))
+def test_categorical_profile_equals_pandas(spark, values, rare):
+    df = spark.createDataFrame([(v,) for v in values], "c string")
+    r = freq.categorical_profile(df, ["c"], top_n=3, rare_threshold=rare).collect()[0]
+    s = pd.Series(values, dtype=object)
+    vc = s.value_counts(dropna=True)
+    n = len(s)
+    assert (r.missing, r.non_missing, r.unique) == (int(s.isna().sum()), int(s.count()), int(s.nunique()))
+    assert r.unique_pct == round(s.nunique() / n * 100, 2)
+    assert r.rare_categories == int((vc <= rare).sum())
+    if len(vc):
+        assert r.most_frequent_count == int(vc.iloc[0])
+        assert r.most_frequent_pct == round(vc.iloc[0] / n * 100, 2)
+        if (vc == vc.iloc[0]).sum() == 1:  # no tie at the top (pandas breaks ties by first appearance)
+            assert r.most_frequent == vc.index[0]
+    else:
+        assert r.most_frequent is None and r.categories_preview is None
