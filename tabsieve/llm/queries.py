@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe
+from tabsieve.llm import bpe, langid
 from tabsieve.llm.neardup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def held_out(id_col: str = "doc_id"):
+    """True for the quarter of ids that models never learn from; false for a missing id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> langid.LanguageModel:
+    return langid.fit(docs.where(F.col("doc_id").isNotNull() & ~held_out()), key=F.col("doc_id"))
+
+
+@query("op1_language_mixture")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "__lang.lang_pred", "__lang.score",
+                        "__lang.languages", "__lang.n_letters")
