@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, langid
+from tabsieve.llm import bpe, langid, pii
 from tabsieve.llm.neardup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(docs.select("doc_id", "text"), language_model(docs))
     return found.select("doc_id", held_out().alias("held_out"), "__lang.lang_pred", "__lang.score",
                         "__lang.languages", "__lang.n_letters")
+
+
+@query("op4_semi_markov_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs))
+    kind = F.array(*map(F.lit, pii.KINDS))
+
+    def joined(column: str):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(
+            ":", F.element_at(kind, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("__pii.base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined("__pii.base").cast("binary"), 256).alias("base_sha256"),
+                        joined("__pii.found").alias("spans"))
