@@ -57,6 +57,22 @@ def replace_columns(df: DataFrame, struct: str, fields: list[str]) -> DataFrame:
     return df.select(*kept, *[F.col(f"{struct}.{f}").alias(f) for f in fields])
 
 
+#: rows of a lookup table that may be broadcast (a few megabytes); counted before each use
+BROADCAST_ROWS = 50_000
+SALTS = 32
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Left join of ``left`` to one row per ``key`` of ``right``.  Up to ``BROADCAST_ROWS`` counted rows are
+    broadcast; beyond that each lookup row is repeated per salt, and a hot key's rows go to ``SALTS``
+    partitions by a hash of ``spread``."""
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, "left")
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+            .join(salted, [key, "__salt"], "left").drop("__salt"))
+
+
 def texts(column: pa.Array):
     """The strings of an Arrow column one at a time, so a batch is never held twice as Python objects."""
     for value in column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, langid, pii
+from tabsieve.llm import bpe, langid, mixing, pii
 from tabsieve.llm.neardup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
               for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined("__pii.base").cast("binary"), 256).alias("base_sha256"),
                         joined("__pii.found").alias("spans"))
+
+
+#: powers of the token shares that the margins are raked to: hot sources and languages give way
+MIX_TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def mix_margins() -> dict:
+    """Topic by marker words: the given documents have no topic column."""
+    text = F.lower("text")
+    topic = (F.when(text.rlike("licen[sc]e|rights reserved"), "legal").when(text.rlike(r"[^ ]@[^ ]|\+[0-9]"), "contact")
+             .when(text.contains(" | "), "table").otherwise("prose"))
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mixing.sample(docs, mix_margins(), F.regexp_count("text", F.lit(_WORDS)), MIX_TARGETS, ["doc_id", "text"])
+
+
+@query("op2_raked_mixture")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixed(docs).select("doc_id", "source", "lang", mix_margins()["topic"].alias("topic"),
+                              F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("n_tokens"),
+                              "weight", "probability", "kept")
