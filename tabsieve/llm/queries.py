@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, langid, mixing, pii
+from tabsieve.llm import bpe, langid, mixing, pii, warc
 from tabsieve.llm.neardup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs).select("doc_id", "source", "lang", mix_margins()["topic"].alias("topic"),
                               F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("n_tokens"),
                               "weight", "probability", "kept")
+
+
+#: base32 of SHA-1, five bits a digit
+_WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY sha1(b)) AS top FROM p),
+g AS (SELECT page_id, n, top, [('0x' || h[1 + 10 * k:10 + 10 * k])::BIGINT for k in range(0, 4)] AS parts FROM d)
+SELECT page_id, n AS payload_bytes,
+  array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> (35 - 5 * i)) & 31)::INT, 1)
+    for i in range(0, 8)], '') for x in parts], '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, true AS intact
+FROM g
+"""
+
+
+@query("op9_warc_round_trip", _WARC_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return warc.read_records(index, folder).select(
+        F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type",
+        "refers_to", "intact")
