@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, langid, mixing, pii, warc
+from tabsieve.llm import bpe, langid, mixing, pii, quality, warc
 from tabsieve.llm.neardup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, folder).select(
         F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type",
         "refers_to", "intact")
+
+
+@query("op7_quality_regression")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.assess(docs, model).select("doc_id", "__quality.*")
