@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, langid, mixing, pii, quality, warc
+from tabsieve.llm import bpe, langid, licenses, mixing, pii, quality, urls, warc
 from tabsieve.llm.neardup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,41 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.assess(docs, model).select("doc_id", "__quality.*")
+
+
+@query("op3_license_templates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    fields = [F.col(f"__license.{c}") for c in ("n_words", "n_base", "first_word", "last_word")]
+    return found.select("doc_id", *fields, F.array_join("__license.base_labels", ",").alias("base_labels"),
+                        F.array_join("__license.labels", ",").alias("labels"), "__license.score")
+
+
+#: fixed values: the rules of the URL query
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+_URL_SQL = r"""
+WITH RECURSIVE u AS (
+  SELECT DISTINCT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS q FROM u),
+rules(rhost, rpath, own) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+  ('org', '/fr/', 'allow')),
+o AS (SELECT url, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(own, length(rhost || rpath)) AS own
+  FROM h LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL),
+c AS (SELECT url, regexp_replace(host, '^(www|m|amp)\.', '') || regexp_replace(path, '/+$', '')
+    || regexp_replace(regexp_replace(regexp_replace(q, '([?&])((utm_[a-z]+|ref|fbclid|gclid)=[^&#]*&?)+', '\1', 'g'),
+         '[?&]$', ''), '[?&]$', '') AS form, host FROM h),
+g AS (SELECT form, bool_or(own = 'allow') AS allowed, bool_or(own = 'block') AS blocked FROM c JOIN o USING (url)
+  WHERE c.host <> '' AND own IS NOT NULL GROUP BY form)
+SELECT page_id, o.host, o.path, o.rule,
+  coalesce(o.own, CASE WHEN g.blocked AND NOT g.allowed THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p JOIN o ON p.url IS NOT DISTINCT FROM o.url JOIN c ON p.url IS NOT DISTINCT FROM c.url
+LEFT JOIN g ON g.form = c.form AND c.host <> ''
+"""
+
+
+@query("op5_redirect_url_filter", _URL_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.filter_urls(table(spark, sf_dir, "pages"), rules, "page_id", "url", "html")
