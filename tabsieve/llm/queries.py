@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, langid, licenses, mixing, pii, quality, urls, warc
+from tabsieve.llm import bpe, hamming, langid, licenses, mixing, pii, quality, urls, warc
 from tabsieve.llm.neardup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,19 @@ LEFT JOIN g ON g.form = c.form AND c.host <> ''
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules, "page_id", "url", "html")
+
+
+_TOPK_SQL = """
+WITH c AS (SELECT vec_id, [x > 0 for x in embedding] AS code FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id,
+        list_sum([CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END for p in list_zip(q.code, r.code)])::INTEGER AS distance
+      FROM c q JOIN c r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INTEGER AS rank FROM d)
+SELECT query_id, rank, neighbor_id, distance FROM n WHERE rank <= 10
+"""
+
+
+@query("op6_multi_index_hashing", _TOPK_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
