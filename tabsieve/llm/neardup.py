@@ -6,11 +6,13 @@ text with fewer words has its whole sequence as the one shingle.
 
 How links stay complete without all pairs.  Texts with equal words are one node.  In a band bucket of
 two nodes the one pair is checked.  In a larger bucket every node is first checked against one leader;
-then only pairs of nodes that are *still in different components* are checked, and only if two exact
-bounds allow a link: the set sizes, and the numbers of shingles that no other bucketed text has
-(``u``).  Such shingles lie outside every intersection, so with ``a = n - u``
-``|x & y| <= min(a_x, a_y)`` and ``|x | y| >= u_x + u_y + max(a_x, a_y)``.  A pair inside one component
-cannot change a component, so leaving it out loses nothing.
+then only pairs of nodes that are *still in different components* are checked, and only if three exact
+bounds allow a link: the set sizes, the numbers of shingles that no other bucketed text has, and a map
+of which hash cells a set occupies.  A shingle of the first kind (``u`` of them) lies outside every
+intersection, so with ``a = n - u`` ``|x & y| <= min(a_x, a_y)`` and ``|x | y| >= u_x + u_y +
+max(a_x, a_y)``.  A cell that x occupies and y does not holds a shingle of x that y has not, so
+``|x & y| <= n_x - (cells of x without y)``.  A pair inside one component cannot change a component, so
+leaving it out loses nothing.
 
 With 240 minima in 40 bands of 6, a pair at similarity 0.85 misses every band with probability 6e-9,
 and at 0.8 with 5e-6; the signature estimate is only used to drop pairs more than five standard
@@ -38,6 +40,7 @@ BANDS, ROWS = 40, 6
 MINIMA = BANDS * ROWS
 #: how far below the threshold the signature estimate may be (over 5 standard deviations at 0.8)
 ESTIMATE_MARGIN = 0.14
+CELL_WORDS = 16  # 64-bit words of the map of occupied hash cells
 _BLOCK = 1024  # shingles hashed at a time: the minima's working set stays in cache for any length
 
 
@@ -73,6 +76,13 @@ def shingle_set(words: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def occupied_cells(shingles: np.ndarray) -> np.ndarray:
+    """A bit per hash cell that holds a shingle, as ``CELL_WORDS`` words."""
+    flags = np.zeros(64 * CELL_WORDS, bool)
+    flags[(shingles % np.uint64(64 * CELL_WORDS)).astype(np.int64)] = True
+    return np.packbits(flags).view(np.int64)
+
+
 def minima_of(shingles: np.ndarray) -> np.ndarray:
     """``MINIMA`` minima of the universal hashes ``a * x + b`` over the set, a block at a time."""
     folded = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -115,10 +125,13 @@ def _sketcher(size: int):
 
 
 def _set_maker(size: int):
-    @F.arrow_udf("binary")
+    @F.arrow_udf("shingles binary, cells array<long>")
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([shingle_set(words_of(t), size).tobytes() for t in texts(batch)], pa.binary())
+            sets = [shingle_set(words_of(t), size) for t in texts(batch)]
+            yield pa.StructArray.from_arrays(
+                [pa.array([x.tobytes() for x in sets], pa.binary()),
+                 pa.array([occupied_cells(x) for x in sets], pa.list_(pa.int64()))], names=["shingles", "cells"])
     return make
 
 
@@ -155,6 +168,16 @@ def _bound_allows(percent: int):
     return _sizes_allow(percent) & (100 * inter >= percent * union)
 
 
+def _cells_allow(percent: int):
+    """The pair's best possible similarity given the hash cells that only one of the sets occupies."""
+    def alone(x: str, y: str):
+        words = [F.bit_count(F.col(f"cells_{x}")[k].bitwiseAND(F.bitwise_not(F.col(f"cells_{y}")[k])))
+                 for k in range(CELL_WORDS)]
+        return sum(words[1:], words[0])
+    inter = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+    return _linked(percent, inter, F.col("n_a"), F.col("n_b"))
+
+
 def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links: signature estimate first, then the full sets."""
     for side in "ab":
@@ -196,9 +219,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sigs = (named.select("digest", "sig").join(nodes.join(members, "node"), "digest")
             .dropDuplicates(["digest"]).select("node", "sig"))
     text_of = (rows.where("id is not null").join(members, rows.id == members.node, "left_semi"))
-    sets = materialise(text_of.withColumn("shingles", _set_maker(size).asNondeterministic()("text"))
-                       .select(F.col("id").alias("node"), F.expr("length(shingles) / 8").cast("long").alias("n"),
-                               "shingles").where("n > 0").dropDuplicates(["node", "shingles"]), "neardup-sets")
+    sets = materialise(with_struct(text_of, _set_maker(size), [F.col("text")])
+                       .select(F.col("id").alias("node"), "__r.*")
+                       .withColumn("n", F.expr("length(shingles) div 8")).where("n > 0")
+                       .dropDuplicates(["node", "shingles"]), "neardup-sets")
     sigs = materialise(sigs, "neardup-signatures")
 
     # buckets of two: their one pair
@@ -232,11 +256,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = (crowd.join(parts, "node", "left")
               .withColumn("part", F.coalesce("component", "node")).drop("component"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(mixed, "key")
-    sides = [open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "u", "part")], F.col("node").alias(s))
-             for s in "ab"]
-    apart = (sides[0].join(sides[1], "key").where("a < b and part_a <> part_b").where(_bound_allows(percent))
-             .select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    open_ = (placed.join(mixed, "key").join(sets.select("node", F.col("n").alias("n_set"), "cells"), "node")
+             .where("n = n_set"))
+    sides = [open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "u", "part", "cells")],
+                          F.col("node").alias(s)) for s in "ab"]
+    apart = (sides[0].join(sides[1], "key").where("a < b and part_a <> part_b")
+             .where(_bound_allows(percent)).where(_cells_allow(percent)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
     links = links.unionByName(_confirmed(apart, sigs, sets, percent)).checkpoint()
 
     named_parts = (nodes.join(connected_components(links), "node", "left")
