@@ -89,8 +89,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(column, lambda x: F.concat_ws(
             ":", F.element_at(kind, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("__pii.base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(pii.KINDS)]
+    def of_kind(k: int):
+        return F.filter("__pii.base", lambda x: x["kind"] == k)
+
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined("__pii.base").cast("binary"), 256).alias("base_sha256"),
                         joined("__pii.found").alias("spans"))
 
