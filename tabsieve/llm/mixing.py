@@ -39,6 +39,8 @@ def shares(tokens: dict[str, float], wanted: float | dict[str, float]) -> dict[s
 
 
 def _factor(values: dict[str, float], column: Column) -> Column:
+    if not values:
+        return F.lit(0.0)
     table = F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(v))])
     return F.coalesce(table[column], F.lit(0.0))
 
