@@ -1,45 +1,45 @@
-"""Reference-style entry points.
+"""The reference's function names.
 
-The same function names and argument order as the pandas workflow this package replaces, adapted to
-Spark: a DataFrame plus column names instead of free-standing Series (rows have no positions in
-Spark, so a target or stratum is always a column of the same frame).  Chart functions return the
-aggregate behind the chart instead of drawing it.  Every function is a thin call into the operators.
+Where only the name differs, the name is bound to the operator; a function stands here only where the
+arguments differ.  Data is a DataFrame plus column names instead of free-standing Series (rows have no
+positions in Spark, so a target or stratum is a column of the same frame), and chart functions return
+the aggregate behind the chart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsieve.functions.similarity import similarity
-from tabsieve.functions.text import normalize_category, normalize_text as _normalize_text
+from tabsieve.functions import similarity as _similarity
+from tabsieve.functions import text as _text
 from tabsieve.operators import binning, cleaning, distribution, encoding, freq, fuzzy, profile, splitting
 from tabsieve.sources import csv as _csv
 from tabsieve.sources import reports as _reports
 
-
-# ---- sources / sinks
-def load_dataset(spark: SparkSession, path: str, **options) -> DataFrame:
-    return _csv.read_csv(spark, path, **options)
-
-
-def save_category_audit_report(category_summary: DataFrame, category_table: DataFrame, output_path: str) -> str:
-    return _reports.save_category_audit(category_summary, category_table, output_path)
-
-
-# ---- category audit
-def get_categorical_columns(df: DataFrame, ignored_columns: Sequence[str] | None = None) -> list[str]:
-    return freq.categorical_columns(df, ignored_columns)
-
-
-def build_category_table(df: DataFrame, categorical_columns: Sequence[str] | None = None) -> DataFrame:
-    return freq.category_table(df, categorical_columns)
-
-
-def build_category_summary(df: DataFrame, categorical_columns: Sequence[str] | None = None) -> DataFrame:
-    return freq.category_summary(df, categorical_columns)
+load_dataset = _csv.read_csv
+save_category_audit_report = _reports.save_category_audit
+get_categorical_columns = freq.categorical_columns
+build_category_table, build_category_summary = freq.category_table, freq.category_summary
+plot_categorical_counts = freq.top_n_other
+explore_target, explore_features = profile.explore_target, profile.explore_features
+duplicate_rows_summary, get_constant_columns = profile.duplicate_rows, profile.constant_columns
+missing_values_summary = plot_missing_values = profile.missing_summary
+unique_values_summary = plot_unique_values = profile.unique_summary
+normalize_category_text, normalize_text, text_similarity = (_text.normalize_category, _text.normalize_text,
+                                                            _similarity.similarity)
+find_semantic_repetitions, suggest_category_mapping = fuzzy.semantic_repetitions, fuzzy.suggest_category_mapping
+apply_category_mapping, apply_semantic_mapping = cleaning.apply_category_mapping, cleaning.apply_semantic_mapping
+invert_category_map, drop_irrelevant_columns = cleaning.inverted_category_map, cleaning.drop_columns
+remove_invalid_values, convert_peso_prices_to_usd = cleaning.remove_invalid_values, cleaning.convert_currency
+encode_camera_retroceso, one_hot_encoding = cleaning.encode_binary, encoding.one_hot_encoding
+split_stratum_indices, make_price_bins = splitting.split_sizes, binning.quantile_bins
+make_brand_price_strata = binning.brand_price_strata
+plot_price_distribution_by_currency = distribution.histogram_by_group
+plot_raw_numeric_distributions = distribution.raw_distributions
+plot_camera_missing_by_year = distribution.missing_by_group
 
 
 def format_value_counts(freq_table: DataFrame, max_items: int) -> DataFrame:
@@ -52,158 +52,26 @@ def format_value_counts(freq_table: DataFrame, max_items: int) -> DataFrame:
         freq._preview(F.collect_list(F.struct("k", "category", "count"))).alias("preview"))
 
 
-# ---- profiling
-def explore_target(df: DataFrame, target: str, currency: str | None = None) -> DataFrame:
-    return profile.explore_target(df, target, currency)
-
-
-def explore_features(df: DataFrame, top_n_categories: int = 5, rare_threshold: int = 1) -> dict[str, DataFrame]:
-    return profile.explore_features(df, top_n_categories, rare_threshold)
-
-
-def duplicate_rows_summary(df: DataFrame) -> DataFrame:
-    return profile.duplicate_rows(df)
-
-
-def missing_values_summary(df: DataFrame) -> DataFrame:
-    return profile.missing_summary(df)
-
-
-def unique_values_summary(df: DataFrame) -> DataFrame:
-    return profile.unique_summary(df)
-
-
-def get_constant_columns(df: DataFrame) -> DataFrame:
-    return profile.constant_columns(df)
-
-
-# ---- text and similarity
-def normalize_category_text(value: Column) -> Column:
-    return normalize_category(value.cast("string"))
-
-
-def normalize_text(value: Column) -> Column:
-    return _normalize_text(value.cast("string"))
-
-
-def text_similarity(first_value: Column, second_value: Column) -> Column:
-    return similarity(first_value, second_value)
-
-
-def find_semantic_repetitions(df: DataFrame, columns: Sequence[str], similarity_threshold: float = 0.7) -> DataFrame:
-    return fuzzy.semantic_repetitions(df, columns, similarity_threshold)
-
-
-def suggest_category_mapping(df: DataFrame, column: str, threshold: float = 0.85) -> DataFrame:
-    return fuzzy.suggest_category_mapping(df, column, threshold)
-
-
-def apply_category_mapping(df: DataFrame, column: str, mapping_table: DataFrame,
-                           manual_mapping: Mapping[str, str] | None = None) -> DataFrame:
-    return cleaning.apply_category_mapping(df, column, mapping_table, manual_mapping)
-
-
-# ---- cleaning and encoding
-def drop_irrelevant_columns(df: DataFrame, columns_to_drop: Iterable[str]) -> DataFrame:
-    return cleaning.drop_columns(df, columns_to_drop)
-
-
-def remove_invalid_values(df: DataFrame, year_col: str, doors_col: str, max_year: float = 2025,
-                          max_doors: float = 5) -> DataFrame:
-    return cleaning.remove_invalid_values(df, year_col, doors_col, max_year, max_doors)
-
-
-def convert_peso_prices_to_usd(df: DataFrame, price_col: str, currency_col: str, peso_symbol: str = "$",
-                               exchange_rate: float = cleaning.DEFAULT_EXCHANGE_RATE) -> DataFrame:
-    return cleaning.convert_currency(df, price_col, currency_col, peso_symbol, exchange_rate)
-
-
-def invert_category_map(category_map: Mapping[str, Iterable[str]]) -> dict[str, str]:
-    return cleaning.invert_category_map(category_map)
-
-
-def apply_semantic_mapping(df: DataFrame, column: str, category_map: Mapping[str, Iterable[str]]) -> DataFrame:
-    return cleaning.apply_semantic_mapping(df, column, category_map)
-
-
-def encode_camera_retroceso(df: DataFrame, col: str) -> DataFrame:
-    return cleaning.encode_binary(df, col)
-
-
-def one_hot_encoding(df: DataFrame, categorical_cols: Sequence[str], train: bool = True,
-                     categories_map: encoding.OneHotModel | None = None):
-    return encoding.one_hot_encoding(df, categorical_cols, train, categories_map)
-
-
-# ---- binning and splitting
 def safe_index(split_df: DataFrame, part: str, split_col: str = "split") -> DataFrame:
-    """Rows of one split part (``"train"`` / ``"validation"``); Spark rows have no positions, so
-    a part is selected by its label instead of by index arrays."""
+    """Rows of one split part (``"train"`` / ``"validation"``), selected by label instead of by index arrays."""
     return split_df.where(F.col(split_col) == part).drop(split_col)
 
 
-def split_stratum_indices(n: Column, train_size: float = 0.80) -> Column:
-    """Number of train rows of a stratum of ``n`` rows (the first ``round(n * train_size)``)."""
-    return splitting.split_sizes(n, train_size)
-
-
-def make_price_bins(df: DataFrame, price_col: str, n_bins: int = 5, out_col: str = "price_bin") -> DataFrame:
-    return binning.quantile_bins(df, price_col, n_bins, out_col)
-
-
-def make_brand_price_strata(df: DataFrame, brand_column: str, price_col: str, n_price_bins: int = 4,
-                            min_count: int = 10, out_col: str = "stratum") -> DataFrame:
-    return binning.brand_price_strata(df, brand_column, price_col, n_price_bins, min_count, out_col)
-
-
 def train_val_split_stratified(df: DataFrame, target: str, stratify_by: str, key_cols: Sequence[str],
                                train_size: float = 0.80, random_state: int = 42):
-    """``((X_train, y_train), (X_val, y_val))``; every part keeps ``key_cols`` so X and y re-align
-    by join (Spark rows have no positions)."""
+    """``((X_train, y_train), (X_val, y_val))``; every part keeps ``key_cols`` so X and y re-align by join."""
     split = splitting.stratified_split(df, stratify_by, key_cols, train_size, random_state)
-    keys = list(key_cols)
-    features = [c for c in df.columns if c != target]
-    parts = []
-    for part in (splitting.train_part(split), splitting.validation_part(split)):
-        x = part.select(*[F.col(f"`{c}`") for c in features])
-        y = part.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, target])])
-        parts.append((x, y))
-    return parts[0], parts[1]
-
-
-# ---- chart aggregates (the data each chart shows)
-def plot_missing_values(df: DataFrame, top_n: int | None = None) -> DataFrame:
-    return profile.missing_summary(df, top_n)
-
-
-def plot_unique_values(df: DataFrame, top_n: int | None = None) -> DataFrame:
-    return profile.unique_summary(df, top_n)
+    labels = list(dict.fromkeys([*key_cols, target]))
+    return tuple((part.drop(target), part.select(*[F.col(f"`{c}`") for c in labels]))
+                 for part in (splitting.train_part(split), splitting.validation_part(split)))
 
 
 def plot_currency_counts(df: DataFrame, currency_col: str) -> DataFrame:
+    """Counts of a column with its missing values."""
     return freq.value_counts(df, currency_col, dropna=False)
 
 
-def plot_price_distribution_by_currency(df: DataFrame, price_col: str, currency_col: str, bins: int = 40) -> DataFrame:
-    return distribution.histogram_by_group(df, price_col, currency_col, bins)
-
-
-def plot_raw_numeric_distributions(df: DataFrame, numeric_cols: Sequence[str], bins: int = 35,
-                                   use_percentile_range: bool = True,
-                                   integer_columns: Sequence[str] = ()) -> DataFrame:
-    return distribution.raw_distributions(df, numeric_cols, bins, use_percentile_range, integer_columns)
-
-
 def plot_preliminary_outliers(df: DataFrame, numeric_cols: Sequence[str], currency_col: str | None = None,
                               price_col: str | None = None) -> DataFrame:
-    grouped = [price_col] if price_col else []
-    return distribution.boxplot_stats(df, numeric_cols, currency_col, grouped)
-
-
-def plot_camera_missing_by_year(df: DataFrame, year_col: str, camera_col: str) -> DataFrame:
-    return distribution.missing_by_group(df, year_col, camera_col)
-
-
-def plot_categorical_counts(df: DataFrame, categorical_columns: Sequence[str] | None = None,
-                            ignored_columns: Sequence[str] | None = None, top_n: int = 10) -> DataFrame:
-    return freq.top_n_other(df, categorical_columns, ignored_columns, top_n)
+    """Box-plot statistics, the price split by currency."""
+    return distribution.boxplot_stats(df, numeric_cols, currency_col, [price_col] if price_col else [])

@@ -2,8 +2,7 @@
 
 The ratio is not symmetric, so argument order is part of the contract.  The thresholded variant
 first applies difflib's own upper bounds (``real_quick_ratio`` then ``quick_ratio``) and only runs
-the full matcher when they pass, returning NULL otherwise (never a pair that could reach the
-threshold)."""
+the full matcher when they pass; below the threshold it returns NULL."""
 
 from __future__ import annotations
 
@@ -25,27 +24,18 @@ def _ratio_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _ratio_at_least_batch(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
+def _score_batch(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.DataFrame:
     out = []
-    for x, y, th in zip(a, b, t):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        m = SequenceMatcher(None, x, y)
-        if m.real_quick_ratio() < th or m.quick_ratio() < th:
-            out.append(None)
-        else:
-            out.append(m.ratio())
-    return pd.Series(out, dtype="float64")
-
-
-def _round3_batch(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None or v != v else round(float(v), 3)).astype("float64")
+    for x, y, low in zip(a, b, t):
+        m = None if x is None or y is None else SequenceMatcher(None, x, y)
+        score = None if m is None or m.real_quick_ratio() < low or m.quick_ratio() < low else m.ratio()
+        out.append((None, None) if score is None or score < low else (score, round(score, 3)))
+    return pd.DataFrame(out, columns=["score", "rounded"], dtype="float64")
 
 
 _ratio_udf = F.pandas_udf(_ratio_batch, T.DoubleType())
-_ratio_at_least_udf = F.pandas_udf(_ratio_at_least_batch, T.DoubleType())
-_round3_udf = F.pandas_udf(_round3_batch, T.DoubleType())
+_score_udf = F.pandas_udf(_score_batch, T.StructType([T.StructField("score", T.DoubleType()),
+                                                      T.StructField("rounded", T.DoubleType())]))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -53,14 +43,11 @@ def similarity(a: Column, b: Column) -> Column:
     return _ratio_udf(a, b)
 
 
-def similarity_at_least(a: Column, b: Column, threshold: float) -> Column:
-    """The ratio when it can reach ``threshold`` (difflib's bounds checked first), else NULL."""
-    return _ratio_at_least_udf(a, b, F.lit(float(threshold)))
-
-
-def py_round3(c: Column) -> Column:
-    """Python ``round(x, 3)`` (exact binary value, half-even) for reporting scores."""
-    return _round3_udf(c)
+def scored_at_least(a: Column, b: Column, threshold: float) -> Column:
+    """Struct of ``score`` (the ratio if it is ``threshold`` or more, else NULL; difflib's bounds are checked
+    first) and ``rounded`` (Python ``round(score, 3)``).  Non-deterministic for the optimiser, so a filter on
+    the score stays above it and the matcher runs once per pair."""
+    return _score_udf.asNondeterministic()(a, b, F.lit(float(threshold)))
 
 
 ship_by_value(__name__)

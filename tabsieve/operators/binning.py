@@ -11,6 +11,7 @@ from tabsieve.functions.labels import PRICE_BIN_JOIN
 from tabsieve.functions.labels import UNKNOWN_STRATUM as UNKNOWN_LABEL
 from tabsieve.functions.missing import to_number
 from tabsieve.operators.freq import as_text
+from tabsieve.operators.lookup import lookup
 from tabsieve.operators.ordering import linspace_probs, value_counts_by_group, weighted_quantiles
 
 
@@ -52,14 +53,13 @@ def collapse_rare(df: DataFrame, column: str, min_count: int, other: str = OTHER
     """D20 / E4 (N1): values seen fewer than ``min_count`` times become ``other``.
 
     Counting is a grouped count (partial aggregation, so a huge value is one row per task); only the
-    rare values are joined back -- AQE broadcasts that table when it is measured small."""
+    rare values are joined back, by a size-checked lookup."""
     out_col = out_col or column
     c = F.col(f"`{column}`")
     rare = (df.groupBy(c.alias("_val")).agg(F.count(F.lit(1)).alias("_n"))
               .where(F.col("_n") < min_count).select("_val", F.lit(True).alias("_rare")))
-    joined = df.join(rare, c.eqNullSafe(F.col("_val")), "left")
-    return (joined.withColumn(out_col, F.when(F.col("_rare"), F.lit(other)).otherwise(c))
-                  .drop("_val", "_rare"))
+    joined = lookup(df, c, rare, "_val", F.struct(*[F.col(f"`{n}`") for n in df.columns]))
+    return joined.withColumn(out_col, F.when(F.col("_rare"), F.lit(other)).otherwise(c)).drop("_rare")
 
 
 def brand_price_strata(df: DataFrame, brand_col: str, price_col: str, n_price_bins: int = 4,

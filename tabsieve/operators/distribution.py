@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.missing import canonicalize_missing, to_number
 from tabsieve.operators.freq import as_text
+from tabsieve.operators.lookup import lookup
 from tabsieve.operators.ordering import (join_keys, quantiles_from_slices, sliced_values,
                                          value_counts_by_group, weighted_quantiles)
 
@@ -170,13 +171,14 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str], group_col: str | None =
 def boxplot_fliers(df: DataFrame, column: str, group_col: str | None = None, whis: float = 1.5) -> DataFrame:
     """The rows whose ``column`` lies beyond the box-plot whiskers (per ``group_col`` when
     given; NULL values and groups dropped) -- a filtered DataFrame, never collected.  The whiskers
-    come from the distinct table (one row per group) joined back to the rows."""
+    come from the distinct table (one row per group) and reach the rows by a size-checked lookup."""
     x = to_number(F.col(f"`{column}`"), df.schema[column].dataType)
     g = as_text(df, group_col) if group_col else F.lit("")
     keyed = df.withColumn("_g", g).withColumn("_x", x).where(F.col("_x").isNotNull() & F.col("_g").isNotNull())
     local = _distinct_values(keyed.select(F.col("_g").alias("group"), F.col("_x").alias("v")), ["group"])
     box = _box_whiskers(local, ["group"], whis).select(F.col("group").alias("_g"), "whisker_low", "whisker_high")
-    return (keyed.join(box, "_g")
+    box = box.withColumnRenamed("_g", "_of")
+    return (lookup(keyed, F.col("_g"), box, "_of", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
                  .where((F.col("_x") < F.col("whisker_low")) | (F.col("_x") > F.col("whisker_high")))
                  .drop("_g", "_x", "whisker_low", "whisker_high"))
 

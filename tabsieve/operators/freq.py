@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tabsieve.functions.labels import LIST_SEPARATOR, MISSING_CATEGORY, OTHER_CATEGORY, PREVIEW_PAIR
 from tabsieve.functions.missing import canonicalize_missing, is_categorical, pct
 from tabsieve.operators.ordering import ordered_positions
+from tabsieve.session import checkpoint_dir
 
 INDEX_PREFIX = "Unnamed:"
 
@@ -30,13 +31,14 @@ def categorical_columns(df: DataFrame, ignored_columns: Sequence[str] | None = N
 
 
 def as_text(df: DataFrame, name: str) -> Column:
-    """Value as the text pandas would print (``astype(str)``): booleans as ``True``/``False``."""
+    """Value as the text pandas would print (``astype(str)``): booleans as ``True``/``False``; NaN, like NULL,
+    is missing and stays NULL."""
     c = F.col(f"`{name}`")
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.BooleanType):
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.when(c == 0, F.lit(0.0)).otherwise(c).cast("string")  # -0.0 and 0.0 are equal
+        return F.when(c == 0, F.lit(0.0)).when(~F.isnan(c), c).cast("string")  # -0.0 and 0.0 are equal
     return c.cast("string")
 
 
@@ -116,9 +118,9 @@ def top_n_other(df: DataFrame, categorical_columns_: Sequence[str] | None = None
     stats = freq.groupBy("feature").agg(F.sum("count").alias("_total"),
                                         F.count(F.lit(1)).alias("_k"))
     top_sum = top.groupBy("feature").agg(F.sum("count").alias("_top"))
-    other = (stats.join(top_sum, "feature").where(F.col("_k") > top_n)
+    other = (stats.join(top_sum, "feature", "left").where(F.col("_k") > top_n)  # top_n = 0: all is the rest
                   .select("feature", F.lit(OTHER_CATEGORY).alias("category"),
-                          (F.col("_total") - F.col("_top")).alias("count"),
+                          (F.col("_total") - F.coalesce("_top", F.lit(0))).alias("count"),
                           F.lit(True).alias("is_rollup")))
     return (top.select("feature", "category", "count", F.lit(False).alias("is_rollup"))
                .unionByName(other)
@@ -153,7 +155,8 @@ def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None, top
     if not columns:
         return df.sparkSession.createDataFrame([], CATEGORICAL_PROFILE_SCHEMA)
     dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    freq = frequency_table(df, columns)
+    checkpoint_dir(df.sparkSession)
+    freq = frequency_table(df, columns).checkpoint()  # one scan: filters below are not pushed into a second
     nonnull = freq.where(F.col("category").isNotNull())
     stats = freq.groupBy("feature").agg(
         F.sum("count").alias("_rows"),

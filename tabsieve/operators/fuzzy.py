@@ -3,20 +3,25 @@
 Input is the frequency table of each feature (distinct values, after a partial/final aggregation),
 never the raw rows.
 
-Candidate pairs are generated *exactly* by prefix filtering (Vernica, Carey, Li, SIGMOD 2010):
-difflib's ratio ``2M / (la + lb)`` is bounded by the multiset overlap of the two strings, and a ratio
-``>= t`` needs ``la, lb`` within a factor ``(2 - t) / t`` of each other.  Writing each string as the set
-of tokens ``char#occurrence`` ordered by global rarity, two strings that can reach ``t`` must share a
-token among the first ``la - ceil(t * la / (2 - t)) + 1`` tokens of each.  The candidate join is an
-equi-join on ``(feature, token)`` -- no Cartesian product, no nested loop, no cap -- and every surviving
-pair is scored by the difflib UDF.
+Candidate pairs are exact.  difflib's matched characters form a common subsequence, so a ratio
+``2M / (la + lb) >= t`` leaves at most ``d = floor((1 - t)(la + lb))`` characters of the two strings unmatched.
+
+* ``t >= 0.75``: the shorter string is cut into ``d + 1`` segments.  Each unmatched character spoils one
+  segment at most, so one segment stands in the longer string, moved by no more than the characters
+  dropped and added before it.  Segments and substrings meet in an equi-join on (feature, length, d,
+  segment number, segment).
+* below that, segments get too short to select.  Strings are sets of tokens ``char#occurrence`` ordered by
+  rarity; prefixes longer by ``SHARED - 1`` than the usual prefix filter's must share ``SHARED`` tokens.
+
+The pairs are then tested for character overlap on token arrays, and only what passes is scored, once,
+by difflib.
 
 J1's sequential greedy loop equals the lexicographically-first maximal independent set of the
 directed graph ``earlier -> later`` (edge when ``ratio(leader, other) >= t``).  It is computed in
 rounds over the edge table: a node with a leader predecessor becomes a member, a node whose
 predecessors are all members becomes a leader; every round decides at least the lowest undecided
-node.  Each round's status table is cut with a reliable ``checkpoint()``; exceeding ``max_rounds``
-raises instead of returning a partial answer.
+node, so the rounds end by themselves.  Each round's status table is cut with a reliable
+``checkpoint()``.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import types as T
 
 from tabsieve.functions.labels import LIST_SEPARATOR
 from tabsieve.functions.missing import py_strip
-from tabsieve.functions.similarity import py_round3, similarity_at_least
+from tabsieve.functions.similarity import scored_at_least
 from tabsieve.functions.text import normalize_category, normalize_text
 from tabsieve.operators.freq import as_text, long_values
 from tabsieve.operators.ordering import ordered_positions
@@ -38,6 +43,8 @@ from tabsieve.session import checkpoint_dir
 
 _EMPTY_TOKEN = "\u0000"
 _EPS = 1e-9
+SEGMENT_FROM = 0.75
+SHARED = 3
 
 
 def vocabulary(df: DataFrame, columns: Sequence[str], normalizer, strip: bool = False) -> DataFrame:
@@ -55,51 +62,90 @@ def vocabulary(df: DataFrame, columns: Sequence[str], normalizer, strip: bool =
                          ).withColumn("len", F.length("norm"))
 
 
-def prefix_length(length: Column, threshold: float) -> Column:
-    """Tokens a string of ``length`` characters must index so no pair reaching ``threshold`` is lost."""
-    need = F.ceil(length.cast("double") * F.lit(threshold / (2.0 - threshold)) - F.lit(_EPS))
-    return F.greatest(F.lit(1), length - F.greatest(need, F.lit(0)) + 1)
+def _tokens(norm: Column) -> Column:
+    """``char#occurrence`` for every character: two strings' arrays intersect in as many tokens as they have
+    characters in common."""
+    chars = F.regexp_extract_all(norm, F.lit("(?s)(.)"), 1)
+    return F.transform(chars, lambda c, i: F.concat(c, F.lit("#"), F.size(F.filter(
+        F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+
+
+def _least_partner(length: Column, threshold: float) -> Column:
+    """Length of the shortest partner that can reach ``threshold``; also the least overlap with any partner."""
+    return F.ceil(length.cast("double") * F.lit(threshold / (2.0 - threshold)) - F.lit(_EPS)).cast("int")
+
+
+def _unmatched(la: Column, lb: Column, threshold: float) -> Column:
+    return F.floor((la + lb).cast("double") * F.lit(1.0 - threshold) + F.lit(_EPS)).cast("int")
+
+
+def _segment_pairs(vocab: DataFrame, threshold: float) -> DataFrame:
+    v = vocab.where(F.col("len") > 0).select("feature", "rank", "norm", "len")
+    begin = F.floor(F.col("k") * F.col("la") / (F.col("d") + 1)).cast("int")
+    width = F.floor((F.col("k") + 1) * F.col("la") / (F.col("d") + 1)).cast("int") - begin
+    longest = F.floor(F.col("len").cast("double") * F.lit((2.0 - threshold) / threshold) + F.lit(_EPS)).cast("int")
+    cut = (v.withColumn("la", F.col("len"))
+            .withColumn("d", F.explode(F.array_distinct(F.transform(
+                F.sequence(F.col("len"), longest), lambda lb: _unmatched(F.col("len"), lb, threshold)))))
+            .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("d"))))
+            .select("feature", F.col("rank").alias("ra"), "la", "d", "k", F.substring("norm", begin + 1, width).alias("seg")))
+    spare = F.col("len") - F.col("la")
+    first = F.greatest(F.lit(0), F.col("begin") - F.floor((F.col("d") - spare) / 2).cast("int"))
+    last = F.least(F.col("len") - F.col("width"), F.col("begin") + F.floor((F.col("d") + spare) / 2).cast("int"))
+    parts = (v.withColumn("la", F.explode(F.sequence(_least_partner(F.col("len"), threshold), F.col("len"))))
+              .withColumn("d", _unmatched(F.col("la"), F.col("len"), threshold))
+              .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("d"))))
+              .withColumn("begin", begin).withColumn("width", width).withColumn("first", first).withColumn("last", last)
+              .where("first <= last").withColumn("at", F.explode(F.sequence(F.col("first"), F.col("last"))))
+              .select("feature", F.col("rank").alias("rb"), F.col("len").alias("lb"), "la", "d", "k",
+                      F.substring("norm", F.col("at") + 1, F.col("width")).alias("seg")).distinct())
+    met = cut.join(parts, ["feature", "la", "d", "k", "seg"]).where("la < lb or ra < rb").where("ra <> rb")
+    empties = vocab.where(F.col("len") == 0).select("feature", F.col("rank").alias("rb"))
+    first_empty = empties.groupBy("feature").agg(F.min("rb").alias("ra"))  # the first stands for all pairs of them
+    return (met.select("feature", F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).distinct()
+            .unionByName(first_empty.join(empties, "feature").where("ra < rb")
+                         .select("feature", F.col("ra").alias("r1"), F.col("rb").alias("r2"))))
+
+
+def _prefix_pairs(vocab: DataFrame, threshold: float) -> DataFrame:
+    tokens = vocab.select("feature", "rank", "len", F.explode(
+        F.when(F.col("len") == 0, F.array(F.lit(_EMPTY_TOKEN))).otherwise(_tokens(F.col("norm")))).alias("tok"))
+    rarity = tokens.groupBy("feature", "tok").agg(F.count(F.lit(1)).alias("_df"))
+    order = Window.partitionBy("feature", "rank").orderBy("_df", "tok")
+    length = F.col("len") - _least_partner(F.col("len"), threshold) + SHARED
+    prefix = (tokens.join(rarity, ["feature", "tok"]).withColumn("_i", F.row_number().over(order))
+                    .where(F.col("_i") <= F.greatest(length, F.lit(1))).select("feature", "rank", "len", "tok"))
+    a = prefix.select("feature", "tok", F.col("rank").alias("r1"), F.col("len").alias("l1"))
+    b = prefix.select("feature", "tok", F.col("rank").alias("r2"), F.col("len").alias("l2"))
+    both = F.col("l1") + F.col("l2")
+    overlap = F.ceil(both.cast("double") * F.lit(threshold / 2.0) - F.lit(_EPS))
+    return (a.join(b, ["feature", "tok"]).where("r1 < r2")
+             .where(2.0 * F.least("l1", "l2") >= F.lit(threshold) * both - F.lit(_EPS))
+             .groupBy("feature", "r1", "r2", "l1", "l2").agg(F.count(F.lit(1)).alias("_shared"))
+             .where(F.col("_shared") >= F.greatest(F.lit(1), F.least(F.lit(SHARED), overlap))).select("feature", "r1", "r2"))
 
 
 def candidate_pairs(vocab: DataFrame, threshold: float) -> DataFrame:
     """``feature, r1, r2`` (r1 < r2) for every pair that can have ratio >= threshold in either
-    direction (the bounds are symmetric)."""
+    direction (the bounds are symmetric).  Values with an empty normal form equal only each other."""
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]; t <= 0 would make every pair a candidate")
-    chars = vocab.select("feature", "rank", "len",
-                         F.posexplode(F.regexp_extract_all(F.col("norm"), F.lit("(?s)(.)"), 1)).alias("pos", "ch"))
-    occ_w = Window.partitionBy("feature", "rank", "ch").orderBy("pos")
-    tokens = chars.select("feature", "rank", "len",
-                          F.concat(F.col("ch"), F.lit("#"), F.row_number().over(occ_w).cast("string")).alias("tok"))
-    empties = vocab.where(F.col("len") == 0).select("feature", "rank", "len", F.lit(_EMPTY_TOKEN).alias("tok"))
-    tokens = tokens.unionByName(empties)
-    tok_freq = tokens.groupBy("feature", "tok").agg(F.count(F.lit(1)).alias("_df"))
-    order_w = Window.partitionBy("feature", "rank").orderBy("_df", "tok")
-    prefix = (tokens.join(tok_freq, ["feature", "tok"])
-                    .withColumn("_i", F.row_number().over(order_w))
-                    .where(F.col("_i") <= prefix_length(F.col("len"), threshold))
-                    .select("feature", "rank", "tok"))
-    a = prefix.select("feature", "tok", F.col("rank").alias("r1"))
-    b = prefix.select("feature", "tok", F.col("rank").alias("r2"))
-    return a.join(b, ["feature", "tok"]).where(F.col("r1") < F.col("r2")).select("feature", "r1", "r2").distinct()
+    return _segment_pairs(vocab, threshold) if threshold >= SEGMENT_FROM else _prefix_pairs(vocab, threshold)
 
 
 def scored_edges(vocab: DataFrame, threshold: float, earlier_first: bool) -> DataFrame:
-    """``feature, r1, r2, score`` with ``score >= threshold``; ``earlier_first`` scores
+    """``feature, r1, r2, score, rounded`` with ``score >= threshold``; ``earlier_first`` scores
     ``ratio(norm[r1], norm[r2])`` (J1), otherwise ``ratio(norm[r2], norm[r1])`` (J2)."""
-    pairs = candidate_pairs(vocab, threshold)
-    left = vocab.select("feature", F.col("rank").alias("r1"), F.col("norm").alias("n1"), F.col("len").alias("l1"))
-    right = vocab.select("feature", F.col("rank").alias("r2"), F.col("norm").alias("n2"), F.col("len").alias("l2"))
-    p = (pairs.join(left, ["feature", "r1"]).join(right, ["feature", "r2"])
-              .where(2.0 * F.least("l1", "l2") >= F.lit(threshold) * (F.col("l1") + F.col("l2"))
-                     - F.lit(_EPS)))
-    score = (similarity_at_least(F.col("n1"), F.col("n2"), threshold) if earlier_first
-             else similarity_at_least(F.col("n2"), F.col("n1"), threshold))
-    return (p.select("feature", "r1", "r2", score.alias("score"))
-             .where(F.col("score") >= F.lit(threshold)))
-
-
-def greedy_leaders(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    sides = [vocab.select("feature", F.col("rank").alias(f"r{k}"), F.col("norm").alias(f"n{k}"), F.col("len").alias(f"l{k}"),
+                          _tokens(F.col("norm")).alias(f"t{k}")) for k in (1, 2)]
+    p = candidate_pairs(vocab, threshold).join(sides[0], ["feature", "r1"]).join(sides[1], ["feature", "r2"])
+    p = p.where(2.0 * F.size(F.array_intersect("t1", "t2")) >= F.lit(threshold) * (F.col("l1") + F.col("l2")) - F.lit(_EPS))
+    first, second = ("n1", "n2") if earlier_first else ("n2", "n1")
+    return (p.withColumn("_s", scored_at_least(F.col(first), F.col(second), threshold))
+             .select("feature", "r1", "r2", "_s.score", "_s.rounded").where(F.col("score").isNotNull()))
+
+
+def greedy_leaders(edges: DataFrame) -> DataFrame:
     """``feature, rank, leader`` for every node that has an incoming edge or is a leader with an
     out-edge: the group leader of each node under the sequential greedy rule (leaders map to
     themselves)."""
@@ -109,7 +155,7 @@ def greedy_leaders(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     nodes = (e.select("feature", F.col("r1").alias("rank")).union(e.select("feature", F.col("r2").alias("rank")))
               .distinct())
     status = nodes.withColumn("st", F.lit("U")).checkpoint(eager=True)
-    for _ in range(max_rounds):
+    while True:  # every round decides at least the lowest undecided node
         und = status.where(F.col("st") == "U").select("feature", F.col("rank").alias("r2"))
         if und.isEmpty():
             break
@@ -126,9 +172,6 @@ def greedy_leaders(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         status = (status.join(decided_now, ["feature", "rank"], "left")
                         .select("feature", "rank", F.coalesce("_new", "st").alias("st"))
                         .checkpoint(eager=True))
-    else:
-        if not status.where(F.col("st") == "U").isEmpty():
-            raise RuntimeError(f"greedy grouping did not converge in {max_rounds} rounds")
     leaders = status.where(F.col("st") == "L").select("feature", F.col("rank").alias("r1"))
     members = (e.join(leaders, ["feature", "r1"])
                 .join(status.where(F.col("st") == "M").select("feature", F.col("rank").alias("r2")), ["feature", "r2"])
@@ -144,8 +187,7 @@ _GROUP_SCHEMA = T.StructType([
     T.StructField("n_values_grouped", T.LongType())])
 
 
-def semantic_repetitions(df: DataFrame, columns: Sequence[str], similarity_threshold: float = 0.7,
-                         max_rounds: int = 100) -> DataFrame:
+def semantic_repetitions(df: DataFrame, columns: Sequence[str], similarity_threshold: float = 0.7) -> DataFrame:
     """Groups (of two or more) of near-identical values per feature.
 
     ``feature, similar_values`` (leader first, then rank order, ``" | "``), ``normalized_values``
@@ -153,7 +195,7 @@ def semantic_repetitions(df: DataFrame, columns: Sequence[str], similarity_thres
     empty frame of that schema when there is no group."""
     vocab = vocabulary(df, columns, normalize_category)
     edges = scored_edges(vocab, similarity_threshold, earlier_first=True)
-    groups = greedy_leaders(edges, max_rounds)
+    groups = greedy_leaders(edges)
     rows = groups.join(vocab, ["feature", "rank"])
     out = rows.groupBy("feature", "leader").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "category"))),
@@ -173,7 +215,7 @@ def suggest_category_mapping(df: DataFrame, column: str, threshold: float = 0.85
     vocab = vocabulary(df, [column], normalize_text, strip=True)
     edges = scored_edges(vocab, threshold, earlier_first=False)
     best = (edges.groupBy("feature", F.col("r2").alias("rank"))
-                 .agg(F.max_by(F.struct(F.col("r1").alias("cand"), F.col("score").alias("score")),
+                 .agg(F.max_by(F.struct(F.col("r1").alias("cand"), "rounded"),
                                F.struct(F.col("score"), -F.col("r1"))).alias("_best")))
     cand = vocab.select("feature", F.col("rank").alias("_cand"), F.col("category").alias("_cat2"),
                         F.col("count").alias("_cnt2"))
@@ -186,7 +228,7 @@ def suggest_category_mapping(df: DataFrame, column: str, threshold: float = 0.85
         F.col("count").alias("original_count"),
         F.when(mapped, F.col("_cat2")).otherwise(F.col("category")).alias("suggested_category"),
         F.when(mapped, F.col("_cnt2")).otherwise(F.col("count")).alias("suggested_count"),
-        F.when(mapped, py_round3(F.col("_best.score"))).otherwise(F.lit(1.0)).alias("similarity"),
+        F.when(mapped, F.col("_best.rounded")).otherwise(F.lit(1.0)).alias("similarity"),
         F.when(mapped, F.lit("map")).otherwise(F.lit("keep")).alias("action"),
         F.col("rank").alias("_rank")).orderBy("_rank").drop("_rank")
 

@@ -4,7 +4,8 @@ Order inside a stratum is ``md5(key | seed)`` (then the key): deterministic acro
 reproducible in any SQL engine.  Per stratum the first ``round_half_even(n * train_size)`` rows go to
 train.  No window sorts a whole stratum: rows are counted per (stratum, 20-bit hash bucket) -- a tiny
 table -- which locates the single boundary bucket holding the cut; every other row is decided by a
-comparison, and only the boundary bucket (about 2^-20 of its stratum) is ranked.
+comparison, and only the boundary bucket (about 2^-20 of its stratum) is ranked.  The boundaries reach the
+rows by a size-checked lookup, so rows are not shuffled by stratum.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tabsieve.functions.missing import half_even_count
 from tabsieve.operators.binning import UNKNOWN_LABEL
 from tabsieve.operators.freq import as_text
+from tabsieve.operators.lookup import lookup
 
 TRAIN, VALIDATION = "train", "validation"
 _BUCKET_HEX = 5  # 2^20 buckets per stratum
@@ -53,7 +55,7 @@ def stratified_split(df: DataFrame, stratify_by: str | Column, key_cols: Sequenc
     boundary = (cum.where((F.col("_k") > F.col("_end") - F.col("_c")) & (F.col("_k") <= F.col("_end")))
                    .select("_stratum", F.col("_b").alias("_bstar"),
                            (F.col("_k") - (F.col("_end") - F.col("_c"))).alias("_krem")))
-    marked = d.join(boundary, "_stratum", "left")
+    marked = lookup(d, F.col("_stratum"), boundary.withColumnRenamed("_stratum", "_of"), "_of", F.col("_h"))
     bstar = F.coalesce(F.col("_bstar"), F.lit(-1))  # k == 0: every row to validation
     decided = (marked.where(F.col("_b") != bstar)
                      .withColumn(split_col, F.when(F.col("_b") < bstar, F.lit(TRAIN)).otherwise(F.lit(VALIDATION))))

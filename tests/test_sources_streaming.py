@@ -1,8 +1,12 @@
 """CSV source round trip (A1-A3), report sink (A4) and the streaming use of row-level operators."""
 
 import os
+import re
+import subprocess
+import sys
 import tempfile
 
+from conftest import ROOT
 from pyspark.sql import functions as F
 
 from tabsieve.operators import cleaning, freq
@@ -55,14 +59,24 @@ def test_stream_equals_batch(spark):
     assert got.exceptAll(expected.select(*got.columns)).count() == 0
 
 
-def test_stream_default_checkpoint_is_under_shared_folder(spark):
-    from tabsieve.session import checkpoint_dir
-    src = "/root/testdata/sf0.01"
-    schema = spark.read.parquet(f"{src}/labels.parquet").schema
-    stream = read_parquet_stream(spark, src, schema, "labels.parquet")
-    out = tempfile.mkdtemp(prefix="tabsieve-stream-", dir="/tmp") + "/o"
-    q = write_parquet_stream(stream, out)  # checkpoint defaults to spark.checkpoint.dir/streams/...
-    q.awaitTermination(120)
-    assert spark.read.parquet(out).count() == spark.read.parquet(f"{src}/labels.parquet").count()
-    base = checkpoint_dir(spark).replace("file:", "")
-    assert os.path.isdir(os.path.join(base, "streams"))
+def test_stream_default_checkpoint_survives_a_restart(spark, tmp_path):
+    """Two processes: the second finds the first one's checkpoint and appends only what is new."""
+    script = """
+import sys
+from pyspark.sql import SparkSession
+from tabsieve.streaming.cleaning_stream import read_parquet_stream, stream_checkpoint, write_parquet_stream
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", sys.argv[3]).getOrCreate())
+stream = read_parquet_stream(spark, sys.argv[1], spark.read.parquet(sys.argv[1]).schema)
+write_parquet_stream(stream, sys.argv[2]).awaitTermination(120)
+print("CHECKPOINT", stream_checkpoint(spark, sys.argv[2]), spark.read.parquet(sys.argv[2]).count())
+"""
+    source, out, shared = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "shared")
+    found = []
+    for k in range(2):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(source)
+        done = subprocess.run([sys.executable, "-c", script, source, out, shared], capture_output=True, text=True,
+                              timeout=200, cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT, "PYTHONHASHSEED": str(k + 1)})
+        found.append(re.search("CHECKPOINT (.*) (.*)", done.stdout).groups())
+    assert found[0][0] == found[1][0] and found[0][0].startswith(shared)
+    assert [int(n) for _, n in found] == [10, 20]
