@@ -27,13 +27,15 @@ from tabsieve._ship import ship_by_value
 from tabsieve.llm.common import texts
 
 NONE = np.int64(2**62)
-#: distinct pieces kept per Python worker (about 100 MB); the table is emptied when full
-KEPT_PIECES = 400_000
+#: distinct pieces kept per Python worker (about 50 MB); the table is emptied when full
+KEPT_PIECES = 200_000
 #: rows merged together hold at most this many tree leaves (the working set stays in cache)
 _LEAVES = 1 << 16
 #: wider pieces are merged one at a time: a numpy call per merge would cost more than the merge
 _ALONE = 1 << 10
-_TEXT_CHARS = 2_000_000
+#: characters encoded, and ids decoded, at a time (one text at least); results leave the worker as often
+_TEXT_CHARS = 1_000_000
+_IDS = 500_000
 
 
 class Vocabulary:
@@ -209,7 +211,6 @@ def _encoder(vocabulary: Vocabulary, pattern: str):
         split = regex.compile(pattern).findall
         known: dict[str, bytes] = {}  # piece to its packed ids
         for batch in batches:
-            chunks, sizes = [], []
             for group in _groups(batch):
                 found = [split(text) for text in group]
                 if len(known) > KEPT_PIECES:
@@ -217,13 +218,10 @@ def _encoder(vocabulary: Vocabulary, pattern: str):
                 new = list({p for pieces in found for p in pieces if p not in known})
                 coded = encode_pieces([p.encode("utf-8", "surrogatepass") for p in new], vocabulary)
                 known.update((p, np.array(ids, np.int32).tobytes()) for p, ids in zip(new, coded))
-                for pieces in found:
-                    chunks.append(b"".join(map(known.__getitem__, pieces)))
-                    sizes.append(len(chunks[-1]) // 4)
-            offsets = np.zeros(len(sizes) + 1, np.int32)
-            np.cumsum(sizes, out=offsets[1:])
-            flat = np.frombuffer(b"".join(chunks), np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                packed = [b"".join(map(known.__getitem__, pieces)) for pieces in found]
+                offsets = np.zeros(len(packed) + 1, np.int32)
+                np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
     return encode
 
 
@@ -234,8 +232,14 @@ def _decoder(vocabulary: Vocabulary):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pa.array(tokens, pa.binary())
         for batch in batches:
-            parts = pa.ListArray.from_arrays(batch.offsets, table.take(batch.values))
-            yield pc.binary_join(parts, pa.scalar(b"", pa.binary())).cast(pa.binary())
+            ends = batch.offsets.to_numpy()
+            at = 0
+            while at < len(batch):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + _IDS, "right")) - 1)
+                part = batch.slice(at, to - at)
+                parts = pa.ListArray.from_arrays(pa.array(ends[at:to + 1] - ends[at]), table.take(part.flatten()))
+                yield pc.binary_join(parts, pa.scalar(b"", pa.binary())).cast(pa.binary())
+                at = to
     return decode
 
 
