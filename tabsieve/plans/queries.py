@@ -547,17 +547,83 @@ def q_missing_by_year(spark, sf):
 # ------------------------------------------------------------------------------------------- fuzzy
 # Iterative / difflib-based: no SQL oracle (rows-only check by the driver); tests/test_fuzzy.py checks
 # them against the sequential reference algorithm on fixtures and the golden values of FIXTURES.md.
-@register("semantic_repetitions")
+def _ratio_sql(features: dict[str, str], norm: str, threshold: float, first: str) -> str:
+    """CTEs up to ``e(feature, r1, r2, score)``: matching blocks by recursion on the longest common run, earliest
+    first, of each pair of values.  ``first`` is the side (``x`` the more frequent, ``y``) that is matched against the
+    other."""
+    second = "y" if first == "x" else "x"
+    union = " UNION ALL ".join(f"SELECT '{f}' AS feature, {e} AS category FROM part" for f, e in features.items())
+    return f"""
+WITH RECURSIVE f AS (SELECT feature, category, count(*) AS cnt FROM ({union}) WHERE category IS NOT NULL GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, category) AS rank, {norm} AS norm FROM f),
+p AS (SELECT x.feature, x.rank AS r1, y.rank AS r2, {first}.norm AS a, {second}.norm AS b FROM v x JOIN v y
+      ON x.feature = y.feature AND x.rank < y.rank),
+cells AS (SELECT p.*, unnest(range(1, length(a) + 1)) AS i FROM p),
+runs AS (SELECT feature, r1, r2, i, j, list_max([n for n in range(1, least(length(a) - i, length(b) - j) + 2)
+                                                if substr(a, i, n) = substr(b, j, n)]) AS k
+         FROM (SELECT *, unnest(range(1, length(b) + 1)) AS j FROM cells) WHERE substr(a, i, 1) = substr(b, j, 1)),
+seg AS (
+  SELECT feature, r1, r2, 1::BIGINT AS alo, length(a) + 1 AS ahi, 1::BIGINT AS blo, length(b) + 1 AS bhi FROM p
+  UNION ALL
+  SELECT feature, r1, r2, part.alo, part.ahi, part.blo, part.bhi FROM (
+    SELECT feature, r1, r2, unnest([{{'alo': alo, 'ahi': m.i, 'blo': blo, 'bhi': m.j}},
+                                    {{'alo': m.i + m.k, 'ahi': ahi, 'blo': m.j + m.k, 'bhi': bhi}}]) AS part
+    FROM (SELECT s.*, r.m FROM seg s JOIN LATERAL (
+            SELECT arg_max({{'i': i, 'j': j, 'k': least(k, s.ahi - i, s.bhi - j)}}, [least(k, s.ahi - i, s.bhi - j), -i, -j]) AS m
+            FROM runs q WHERE q.feature = s.feature AND q.r1 = s.r1 AND q.r2 = s.r2
+              AND q.i >= s.alo AND q.i < s.ahi AND q.j >= s.blo AND q.j < s.bhi) r ON r.m IS NOT NULL))
+  WHERE part.alo < part.ahi AND part.blo < part.bhi),
+matched AS (SELECT feature, r1, r2, sum(best) AS m FROM (
+    SELECT s.feature, s.r1, s.r2, max(least(k, s.ahi - i, s.bhi - j)) AS best
+    FROM seg s JOIN runs q ON q.feature = s.feature AND q.r1 = s.r1 AND q.r2 = s.r2
+      AND q.i >= s.alo AND q.i < s.ahi AND q.j >= s.blo AND q.j < s.bhi
+    GROUP BY s.feature, s.r1, s.r2, s.alo, s.ahi, s.blo, s.bhi) GROUP BY ALL),
+e AS (SELECT feature, r1, r2, 2.0::DOUBLE * m / (length(a) + length(b)) AS score FROM p JOIN matched USING (feature, r1, r2)
+      WHERE 2.0::DOUBLE * m / (length(a) + length(b)) >= {threshold})"""
+
+
+def _groups_sql(features: list[str], threshold: float) -> str:
+    norm = "trim(regexp_replace(replace(replace(strip_accents(lower(category)), '_', ' '), '-', ' '), '\\s+', ' ', 'g'))"
+    return _ratio_sql({f: f for f in features}, norm, threshold, "x") + """,
+before AS (SELECT feature, r2, list(r1) AS known FROM e GROUP BY ALL),
+walk AS (SELECT feature, max(rank) AS n, 0::BIGINT AS step, []::BIGINT[] AS leaders FROM v GROUP BY feature
+  UNION ALL
+  SELECT w.feature, n, step + 1, CASE WHEN list_has_any(leaders, coalesce(known, []::BIGINT[])) THEN leaders
+                               ELSE list_append(leaders, step + 1) END
+  FROM walk w LEFT JOIN before b ON b.feature = w.feature AND b.r2 = w.step + 1 WHERE step < n),
+led AS (SELECT feature, unnest(leaders) AS leader FROM walk WHERE step = n),
+member AS (SELECT feature, leader AS rank, leader FROM led UNION ALL
+  SELECT e.feature, e.r2, min(e.r1) FROM e JOIN led l ON l.feature = e.feature AND l.leader = e.r1
+  WHERE NOT EXISTS (SELECT 1 FROM led x WHERE x.feature = e.feature AND x.leader = e.r2) GROUP BY ALL)
+SELECT feature, string_agg(category, ' | ' ORDER BY rank) AS similar_values,
+       array_to_string(list_sort(list_distinct(list(norm))), ' | ') AS normalized_values,
+       sum(cnt)::BIGINT AS total_count, count(*) AS n_values_grouped
+FROM member JOIN v USING (feature, rank) GROUP BY feature, leader HAVING count(*) > 1"""
+
+
+_SUGGEST_SQL = _ratio_sql(
+    {"p_name": "trim(p_name)"},
+    "trim(regexp_replace(strip_accents(lower(category)), '[^a-z0-9]+', ' ', 'g'))", 0.85, "y") + """,
+best AS (SELECT r2, arg_max({'r1': r1, 'score': score}, [score, -r1]) AS b FROM e GROUP BY r2),
+s AS (SELECT v.category AS original_category, v.cnt AS original_count, coalesce(c.category, v.category) AS suggested_category,
+             coalesce(c.cnt, v.cnt) AS suggested_count, coalesce(round_even(b.score, 3), 1.0::DOUBLE) AS similarity,
+             CASE WHEN b IS NULL THEN 'keep' ELSE 'map' END AS action
+      FROM v LEFT JOIN best ON best.r2 = v.rank LEFT JOIN v c ON c.rank = b.r1)"""
+
+
+@register("semantic_repetitions", _groups_sql(["p_name"], 0.80))
 def q_semantic_repetitions(spark, sf):
     return fuzzy.semantic_repetitions(table(spark, sf, "part"), ["p_name"], similarity_threshold=0.80)
 
 
-@register("suggest_mapping")
+@register("suggest_mapping", _SUGGEST_SQL + "\nSELECT * FROM s")
 def q_suggest_mapping(spark, sf):
     return fuzzy.suggest_category_mapping(table(spark, sf, "part"), "p_name", threshold=0.85)
 
 
-@register("apply_mapping")
+@register("apply_mapping", _SUGGEST_SQL + """
+SELECT p_partkey, CASE WHEN trim(p_name) = 'red plate' THEN 'plate' ELSE coalesce(suggested_category, p_name) END AS p_name
+FROM part LEFT JOIN s ON s.original_category = trim(p_name)""")
 def q_apply_mapping(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name")
     mapping = fuzzy.suggest_category_mapping(part, "p_name", threshold=0.85)
@@ -640,9 +706,9 @@ def q_explore_categorical_events(spark, sf):
     return profile.categorical_profile(table(spark, sf, "events"), ["event_type"], top_n=2)
 
 
-@register("suggest_mapping_mapped")
+@register("suggest_mapping_mapped", _SUGGEST_SQL + "\nSELECT * FROM s WHERE action = 'map'")
 def q_suggest_mapping_mapped(spark, sf):
-    """C4: only the suggestions whose action is ``map`` (no SQL oracle: difflib scores)."""
+    """C4: only the suggestions whose action is ``map`` (scores as difflib's)."""
     return fuzzy.mapped_only(fuzzy.suggest_category_mapping(table(spark, sf, "part"), "p_name", 0.85))
 
 
@@ -690,7 +756,7 @@ def q_to_number(spark, sf):
     return o.select("o_orderkey", to_number(t).alias("price"))
 
 
-@register("semantic_repetitions_multi")
+@register("semantic_repetitions_multi", _groups_sql(["p_name", "p_brand", "p_type"], 0.80))
 def q_semantic_repetitions_multi(spark, sf):
     """J1 over several features at once (each feature grouped independently), threshold 0.80."""
     return fuzzy.semantic_repetitions(table(spark, sf, "part"), ["p_name", "p_brand", "p_type"], 0.80)
