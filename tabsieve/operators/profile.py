@@ -185,10 +185,15 @@ def explore_features(df: DataFrame, top_n_categories: int = 5, rare_threshold: i
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``total_rows, duplicate_rows`` (rows after the first of each group of equal rows; NULL and
-    NaN equal themselves).  One grouped count over all columns, partial-aggregated map-side."""
+    NaN equal themselves).  One grouped count, partial-aggregated map-side; strings over 64
+    characters are grouped by length and SHA-256, so no long text is shuffled."""
     cols = list(columns) if columns is not None else df.columns
-    groups = canonicalize_missing(df.select(*[F.col(f"`{c}`") for c in cols])).groupBy(
-        *[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_cnt"))
+    rows = canonicalize_missing(df.select(*[F.col(f"`{c}`") for c in cols]))
+    keys = [F.when(F.length(f"`{c}`") <= 64, F.col(f"`{c}`")).otherwise(F.sha2(F.col(f"`{c}`").cast("binary"), 256)).alias(c)
+            if isinstance(df.schema[c].dataType, T.StringType) else F.col(f"`{c}`") for c in cols]
+    longs = [F.length(f"`{c}`").alias(f"_length{k}") for k, c in enumerate(cols)
+             if isinstance(df.schema[c].dataType, T.StringType)]
+    groups = rows.groupBy(*keys, *longs).agg(F.count(F.lit(1)).alias("_cnt"))
     return groups.agg(F.coalesce(F.sum("_cnt"), F.lit(0)).cast("long").alias("total_rows"),
                       F.coalesce(F.sum(F.col("_cnt") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
@@ -289,9 +294,19 @@ def _distinct_per_column(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def constant_columns(df: DataFrame) -> DataFrame:
     """``column, unique_value`` for columns with at most one distinct non-null value (value NULL
-    when the column is all NULL), in table order.  One pass: ``min <=> max`` per column, no distinct."""
+    when the column is all NULL), in table order.  ``min <=> max`` per column, no distinct.  Strings take part
+    as 64-bit hashes, which keeps the one-row aggregate a hash aggregate; only columns whose hash is
+    constant are read again, as strings."""
     df = canonicalize_missing(df)
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    strings = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    if strings:
+        hashed = [F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(f"`{c}`")) for c in strings]
+        seen = df.agg(*[x for k, h in enumerate(hashed) for x in (F.min(h).alias(f"l{k}"), F.max(h).alias(f"h{k}"))]).first()
+        varied = {c for k, c in enumerate(strings) if seen[f"l{k}"] != seen[f"h{k}"]}
+        fields = [f for f in fields if f.name not in varied]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column string, unique_value string")
     aggs = []
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")

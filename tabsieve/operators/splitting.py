@@ -19,6 +19,7 @@ from tabsieve.functions.missing import half_even_count
 from tabsieve.operators.binning import UNKNOWN_LABEL
 from tabsieve.operators.freq import as_text
 from tabsieve.operators.lookup import lookup
+from tabsieve.operators.ordering import ordered_positions
 
 TRAIN, VALIDATION = "train", "validation"
 _BUCKET_HEX = 5  # 2^20 buckets per stratum
@@ -81,3 +82,9 @@ def validation_part(split_df: DataFrame, split_col: str = "split") -> DataFrame:
 def shuffled(df: DataFrame, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
     """A seeded reproducible order (row order is not part of a Spark result otherwise)."""
     return df.orderBy(F.md5(F.concat_ws("|", *[as_text(df, k) for k in key_cols], F.lit(f"{seed}|shuffle"))))
+
+
+def shuffled_places(df: DataFrame, key_cols: Sequence[str], seed: int = 42, place_col: str = "place") -> DataFrame:
+    """G9 with the order as data: the row's place in the order of :func:`shuffled`, numbered by many tasks."""
+    keyed = df.withColumn("_shuffle", F.md5(F.concat_ws("|", *[as_text(df, k) for k in key_cols], F.lit(f"{seed}|shuffle"))))
+    return ordered_positions(keyed, [], ["_shuffle"], pos_col=place_col).drop("_shuffle")

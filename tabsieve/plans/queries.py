@@ -828,9 +828,7 @@ FROM customer
 def q_csv_roundtrip(spark, sf):
     """A1-A3: a CSV copy of ``customer`` (index column, ``NA`` tokens, quoted fields with quotes and
     newlines) written to the shared checkpoint folder and read back with pandas semantics."""
-    import uuid
-
-    from tabsieve.session import checkpoint_dir
+    from tabsieve.session import scratch_folder
     from tabsieve.sources.csv import read_csv
     c = table(spark, sf, "customer")
     seg = F.col("c_mktsegment")
@@ -840,9 +838,9 @@ def q_csv_roundtrip(spark, sf):
         "c_nationkey", "c_acctbal",
         F.when(seg == "HOUSEHOLD", F.lit("NA")).otherwise(seg).alias("c_mktsegment"),
         F.when(seg == "BUILDING", F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string")).alias("c_balance_text"))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "csv")
     out.write.option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
-    return read_csv(spark, path)
+    return read_csv(spark, path, multi_line=True)
 
 
 @register("audit_report_roundtrip", """
@@ -862,14 +860,12 @@ FROM f
 def q_audit_report_roundtrip(spark, sf):
     """A4: the category audit written to the shared checkpoint folder (Parquet tables and HTML rows,
     partitioned by feature) and read back, each table row next to its HTML row."""
-    import uuid
-
-    from tabsieve.session import checkpoint_dir
+    from tabsieve.session import scratch_folder
     from tabsieve.sources.reports import save_category_audit
     part = table(spark, sf, "part").select("p_brand", "p_type")
     path = save_category_audit(freq.category_summary(part, ["p_brand", "p_type"]),
                                freq.category_table(part, ["p_brand", "p_type"]),
-                               f"{checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}")
+                               scratch_folder(spark, "report"))
     tables = spark.read.parquet(f"{path}/tables")
     html = (spark.read.text(f"{path}/html")
                  .select("feature", F.col("value").alias("html"),
@@ -901,3 +897,144 @@ def q_explore_documents(spark, sf):
     """D3/D4 over whole texts: the most/least frequent documents are previewed in full."""
     d = table(spark, sf, "documents").select("text", "lang", "source")
     return profile.explore_features(d)["categorical"]
+
+
+@register("audit_report_document", """
+WITH v AS (SELECT 'p_brand' AS feature, p_brand AS category FROM part
+           UNION ALL SELECT 'p_type', p_type FROM part),
+f AS (SELECT feature, category, count(*) AS cnt FROM v GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, category) AS rank,
+             round_even(cnt::DOUBLE / sum(cnt) OVER (PARTITION BY feature) * 100, 2) AS pct FROM f),
+u AS (SELECT feature, count(*) AS n FROM f GROUP BY 1),
+s AS (SELECT *, row_number() OVER (ORDER BY n DESC, feature) AS pos FROM u),
+l AS (
+  SELECT 0 AS a, 0 AS b, 0::BIGINT AS c, '<!DOCTYPE html><html><head><meta charset=''utf-8''></head><body><h1>Categories</h1>' AS line
+  UNION ALL SELECT 0, 0, 1, '<table><tr><th>feature</th><th>unique_categories</th></tr>'
+  UNION ALL SELECT 1, pos, 0, '<tr><td>' || feature || '</td><td>' || n || '</td></tr>' FROM s
+  UNION ALL SELECT 2, 0, 0, '</table>'
+  UNION ALL SELECT 3, pos, -1, '<h2>' || feature || '</h2><table><tr><th>rank</th><th>category</th><th>count</th><th>percentage</th></tr>' FROM s
+  UNION ALL SELECT 3, pos, rank, '<tr><td>' || rank || '</td><td>' || category || '</td><td>' || cnt || '</td><td>' || pct || '</td></tr>'
+    FROM r JOIN s USING (feature)
+  UNION ALL SELECT 3, pos, 4611686018427387904, '</table>' FROM s
+  UNION ALL SELECT 4, 0, 0, '</body></html>')
+SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS line_number, line FROM l
+""")
+def q_audit_report_document(spark, sf):
+    """A4: the readable report, written and read back with the place of each line in its one file."""
+    from tabsieve.session import scratch_folder
+    from tabsieve.sources.reports import save_category_audit
+    part = table(spark, sf, "part").select("p_brand", "p_type")
+    path = save_category_audit(freq.category_summary(part, ["p_brand", "p_type"]),
+                               freq.category_table(part, ["p_brand", "p_type"]), scratch_folder(spark, "report"))
+    return (spark.read.text(f"{path}/report", wholetext=True)
+            .select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("line_number", "line"))
+            .select(F.col("line_number").cast("long").alias("line_number"), "line"))
+
+
+@register("csv_with_index", """
+SELECT c_custkey AS "Unnamed: 0", c_custkey, c_name, c_acctbal FROM customer
+""")
+def q_csv_with_index(spark, sf):
+    """A2: a CSV copy of ``customer`` read raw, its index column kept."""
+    from tabsieve.session import scratch_folder
+    from tabsieve.sources.csv import read_csv
+    path = scratch_folder(spark, "csv")
+    (table(spark, sf, "customer").select(F.col("c_custkey").alias("Unnamed: 0"), "c_custkey", "c_name", "c_acctbal")
+     .write.option("header", True).csv(path))
+    return read_csv(spark, path, drop_index_columns=False)
+
+
+@register("preview_customers", "SELECT * FROM customer ORDER BY c_custkey LIMIT 5")
+def q_preview_customers(spark, sf):
+    """A5: the first rows in a stated order (the limit is the feature)."""
+    from tabsieve.sources.csv import preview
+    return preview(table(spark, sf, "customer"), 5, ["c_custkey"])
+
+
+@register("table_shape", """
+SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS n_rows, 6::BIGINT AS n_columns UNION ALL
+SELECT 'customer', (SELECT count(*) FROM customer), 5 UNION ALL
+SELECT 'documents', (SELECT count(*) FROM documents), 5
+""")
+def q_table_shape(spark, sf):
+    """A5: rows and columns of three tables."""
+    from tabsieve.sources.csv import shape
+    found = [(name, *shape(table(spark, sf, name))) for name in ("orders", "customer", "documents")]
+    return spark.createDataFrame(found, "table_name string, n_rows long, n_columns long")
+
+
+@register("default_categorical_columns", """
+SELECT feature, count(*) AS unique_categories FROM (
+  SELECT DISTINCT 'o_orderstatus' AS feature, o_orderstatus AS v FROM orders
+  UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders) GROUP BY feature
+""")
+def q_default_categorical_columns(spark, sf):
+    """B1: the string columns that the schema names, summarised without a column list."""
+    return freq.category_summary(table(spark, sf, "orders"))
+
+
+@register("split_target", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders
+""")
+def q_split_target(spark, sf):
+    """The features without the target."""
+    return cleaning.split_target(table(spark, sf, "orders").drop("o_orderdate"), "o_totalprice")[0]
+
+
+@register("split_target_only", "SELECT o_totalprice FROM orders")
+def q_split_target_only(spark, sf):
+    """The target alone."""
+    return cleaning.split_target(table(spark, sf, "orders"), "o_totalprice")[1]
+
+
+@register("shuffled_orders", """
+SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5(concat_ws('|', o_orderkey::VARCHAR, '42|shuffle'))) AS place FROM orders
+""")
+def q_shuffled_orders(spark, sf):
+    """The place of every row in the seeded order."""
+    return splitting.shuffled_places(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 42)
+
+
+@register("text_similarity", _ratio_sql({"p_name": "p_name"}, "lower(trim(category))", 0.0, "x") + """
+SELECT x.category AS first, y.category AS second, score AS similarity FROM e
+JOIN v x ON x.rank = e.r1 JOIN v y ON y.rank = e.r2 WHERE split_part(x.category, ' ', 1) = split_part(y.category, ' ', 1)
+""")
+def q_text_similarity(spark, sf):
+    """The ratio of every two part names with the same first word, the more frequent one first."""
+    from tabsieve.functions.similarity import similarity
+    from tabsieve.functions.text import normalize_category
+    names = (fuzzy.vocabulary(table(spark, sf, "part"), ["p_name"], normalize_category)
+             .select("rank", "category", "norm", F.substring_index("category", " ", 1).alias("word")))
+    x, y = (names.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("rank", "category", "norm")]) for s in "xy")
+    return (x.join(y, "word").where("rank_x < rank_y")
+            .select(F.col("category_x").alias("first"), F.col("category_y").alias("second"),
+                    similarity(F.col("norm_x"), F.col("norm_y")).alias("similarity")))
+
+
+@register("one_hot_sparse", """
+WITH w AS (SELECT DISTINCT 0 AS k, o_orderpriority AS c FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT'
+           UNION SELECT DISTINCT 1, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT'),
+p AS (SELECT *, row_number() OVER (ORDER BY k, c) - 1 AS position FROM w)
+SELECT o_orderkey, array_to_string(list_sort(list_filter([a.position, b.position], lambda x: x IS NOT NULL)), ',') AS positions
+FROM orders LEFT JOIN p a ON a.k = 0 AND a.c = o_orderpriority LEFT JOIN p b ON b.k = 1 AND b.c = o_orderstatus
+""")
+def q_one_hot_sparse(spark, sf):
+    """B6 / B7 without a vocabulary limit: positions learned on a part that lacks some categories."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    learned = encoding.fit_vocabulary(o.where("o_orderstatus <> 'F' and o_orderpriority <> '1-URGENT'"),
+                                      ["o_orderpriority", "o_orderstatus"])
+    coded = encoding.one_hot_sparse(o, learned, ["o_orderpriority", "o_orderstatus"])
+    return coded.select("o_orderkey", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@register("missing_number_groups", """
+WITH b AS (SELECT event_type, CASE WHEN user_id % 7 = 0 THEN NULL ELSE (user_id % 5)::DOUBLE END AS g, value FROM events)
+SELECT coalesce(CAST(g AS VARCHAR), 'none') AS grp, count(*) AS n FROM b WHERE g IS NULL OR g >= 1 GROUP BY 1
+""")
+def q_missing_number_groups(spark, sf):
+    """NaN policy: NaN group keys are missing ones, and a lower bound drops NaN like a comparison in pandas."""
+    e = table(spark, sf, "events")
+    nan = e.withColumn("g", F.when(F.col("user_id") % 7 == 0, F.lit(float("nan"))).otherwise((F.col("user_id") % 5).cast("double")))
+    bounded = cleaning.range_filter(nan, {"g": (1, None)}).unionByName(nan.where(F.isnan("g")))
+    text = bounded.select(F.coalesce(freq.as_text(bounded, "g"), F.lit("none")).alias("grp"))
+    return text.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))

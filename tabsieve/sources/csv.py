@@ -64,12 +64,12 @@ def refine_types(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              drop_index_columns: bool = True, na_tokens: Iterable[str] = NA_TOKENS,
-             infer_types: bool = True, multi_line: bool = True) -> DataFrame:
-    """A1/A2/A3: header row, quoted fields with doubled quotes and embedded newlines, pandas NA tokens
-    as NULL, and (without an explicit ``schema``) numeric columns recognised after the NA pass.
+             infer_types: bool = True, multi_line: bool = False) -> DataFrame:
+    """A1/A2/A3: header row, quoted fields with doubled quotes, pandas NA tokens as NULL, and (without an
+    explicit ``schema``) numeric columns recognised after the NA pass.
 
-    ``multi_line`` keeps embedded newlines inside quoted fields (as pandas does) but makes each file a
-    single split; set it to False for large files without such fields so Spark can split them."""
+    ``multi_line`` allows line breaks inside quoted fields, as pandas does; each file is then read by one
+    task, so it is only for files that hold such fields and are small by nature."""
     reader = (spark.read.option("header", True).option("escape", '"').option("quote", '"')
                    .option("multiLine", multi_line).option("mode", "PERMISSIVE"))
     if schema is not None:

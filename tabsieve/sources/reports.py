@@ -2,12 +2,14 @@
 
 Tables are written as data (Parquet, partitioned by feature) and the HTML fragments are built as
 column expressions (values escaped with ``replace`` of ``& < > "``) and written with the text sink,
-one folder per feature, ranks in order inside each file.  Page styling is not reproduced.
+one folder per feature, ranks in order inside each file.  ``report/`` is the readable document: the
+summary first, then per feature (in the summary's order) a heading and its table.  Page styling is not
+reproduced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,10 +24,41 @@ def _cell(c: Column) -> Column:
     return F.concat(F.lit("<td>"), F.coalesce(html_escape(c), F.lit("")), F.lit("</td>"))
 
 
+#: category rows up to which the document is one file; longer ones are files in order
+ONE_FILE_ROWS = 200_000
+
+
+def _line(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _heads(*names: str) -> str:
+    return "<table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>"
+
+
+def report_lines(summary: DataFrame, table: DataFrame) -> DataFrame:
+    """``section, feature_at, rank, line``: the document's lines with their order."""
+    spark = summary.sparkSession
+    order = summary.select("feature", "unique_categories", F.row_number().over(  # one row per feature
+        Window.orderBy(F.desc("unique_categories"), F.asc("feature"))).alias("feature_at"))
+    fixed = spark.createDataFrame([(0, 0, "<!DOCTYPE html><html><head><meta charset='utf-8'></head><body><h1>Categories</h1>"),
+                                   (0, 1, _heads("feature", "unique_categories")), (2, 0, "</table>"), (4, 0, "</body></html>")],
+                                  "section int, rank long, line string").withColumn("feature_at", F.lit(0))
+    rows = order.select(F.lit(1).alias("section"), "feature_at", F.lit(0).cast("long").alias("rank"), _line(
+        "<tr>", _cell(F.col("feature")), _cell(F.col("unique_categories")), "</tr>").alias("line"))
+    begin = order.select(F.lit(3).alias("section"), "feature_at", F.lit(-1).cast("long").alias("rank"), _line(
+        "<h2>", html_escape(F.col("feature")), "</h2>", _heads("rank", "category", "count", "percentage")).alias("line"))
+    end = order.select(F.lit(3).alias("section"), "feature_at", F.lit(2**62).alias("rank"), F.lit("</table>").alias("line"))
+    body = table.join(order.select("feature", "feature_at"), "feature").select(
+        F.lit(3).alias("section"), "feature_at", "rank", _line("<tr>", *[_cell(F.col(c)) for c in (
+            "rank", "category", "count", "percentage")], "</tr>").alias("line"))
+    return fixed.unionByName(rows).unionByName(begin).unionByName(body).unionByName(end)
+
+
 def save_category_audit(summary: DataFrame, table: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Write ``summary`` (feature, unique_categories) and ``table`` (feature, rank, category, count,
     percentage) under ``path``: ``summary/`` and ``tables/`` as Parquet, ``html/feature=<f>/`` as
-    ``<tr>`` rows.  Returns ``path``."""
+    ``<tr>`` rows, ``report/`` as one document.  Returns ``path``."""
     base = path.rstrip("/")
     summary.write.mode(mode).parquet(f"{base}/summary")
     (table.repartitionByRange("feature", "rank").sortWithinPartitions("feature", "rank")
@@ -35,4 +68,8 @@ def save_category_audit(summary: DataFrame, table: DataFrame, path: str, mode: s
         _cell(F.col("percentage")), F.lit("</tr>")).alias("value"))
     (rows.repartitionByRange("feature", "rank").sortWithinPartitions("feature", "rank")
          .select("feature", "value").write.mode(mode).partitionBy("feature").text(f"{base}/html"))
+    lines = report_lines(summary, table)
+    keys = ["section", "feature_at", "rank"]
+    ordered = (lines.coalesce(1).sortWithinPartitions(*keys) if table.count() <= ONE_FILE_ROWS else lines.orderBy(*keys))
+    ordered.select(F.col("line").alias("value")).write.mode(mode).text(f"{base}/report")
     return base
