@@ -40,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that sources, languages and topics have their target shares of the tokens."""
-    return queries.mixed(docs).where("kept").select(*docs.columns)
+    return queries.mixed(queries.mix_columns(docs), ["doc_id", "text"]).where("kept").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsieve.llm import bpe, hamming, langid, licenses, mixing, pii, quality, urls, warc
+from tabsieve.llm.common import materialise
 from tabsieve.llm.neardup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,24 +103,28 @@ MIX_TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def mix_margins() -> dict:
-    """Topic by marker words: the given documents have no topic column."""
-    text = F.lower("text")
-    topic = (F.when(text.rlike("licen[sc]e|rights reserved"), "legal").when(text.rlike(r"[^ ]@[^ ]|\+[0-9]"), "contact")
+def mix_columns(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__topic`` (by marker words: the given documents have no topic column) and ``__words``."""
+    text = F.col("text")
+    topic = (F.when(text.rlike("[Ll]icen[sc]e|[Rr]ights reserved"), "legal")
+             .when((text.contains("@") & text.rlike("[^ ]@[^ ]")) | (text.contains("+") & text.rlike(r"\+[0-9]")), "contact")
              .when(text.contains(" | "), "table").otherwise("prose"))
-    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
+    return docs.withColumn("__topic", topic).withColumn("__words", F.regexp_count("text", F.lit(_WORDS)).cast("long"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    return mixing.sample(docs, mix_margins(), F.regexp_count("text", F.lit(_WORDS)), MIX_TARGETS, ["doc_id", "text"])
+def mixed(docs: DataFrame, key: list[str]) -> DataFrame:
+    """``docs`` (with the columns of ``mix_columns``) and their weights, probabilities and decisions."""
+    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("__topic")}
+    return mixing.sample(docs, margins, F.col("__words"), MIX_TARGETS, key)
 
 
 @query("op2_raked_mixture")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixed(docs).select("doc_id", "source", "lang", mix_margins()["topic"].alias("topic"),
-                              F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("n_tokens"),
-                              "weight", "probability", "kept")
+    docs = mix_columns(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    read = materialise(docs.drop("text"), "mixture-documents")  # texts are read once
+    return mixed(read, ["doc_id", "__words"]).select(
+        "doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__words").alias("n_tokens"),
+        "weight", "probability", "kept")
 
 
 #: base32 of SHA-1, five bits a digit
