@@ -12,16 +12,15 @@ from tabsieve.functions.labels import UNKNOWN_STRATUM as UNKNOWN_LABEL
 from tabsieve.functions.missing import to_number
 from tabsieve.operators.freq import as_text
 from tabsieve.operators.lookup import lookup
-from tabsieve.operators.ordering import linspace_probs, value_counts_by_group, weighted_quantiles
+from tabsieve.operators.ordering import exact_quantiles, linspace_probs
 
 
 def quantile_edges(df: DataFrame, column: str, n_bins: int) -> list[float]:
     """Distinct linear-interpolated quantile edges at ``linspace(0, 1, n_bins + 1)`` (a one-row,
     ``n_bins + 1``-value statistic, the only thing collected)."""
     x = to_number(F.col(f"`{column}`"), df.schema[column].dataType)
-    counts = value_counts_by_group(df, [], x)
     aliases = [f"e{i}" for i in range(n_bins + 1)]
-    row = weighted_quantiles(counts, [], linspace_probs(n_bins), aliases).collect()
+    row = exact_quantiles(df.select(x.alias("v")), [], "v", linspace_probs(n_bins), aliases).collect()
     if not row:
         return []
     return sorted({row[0][a] for a in aliases if row[0][a] is not None})

@@ -1,9 +1,8 @@
 """Aggregates behind the reference's charts.
 
-The source is scanned once into a distinct ``(key, value, count)`` table (partial aggregation
-collapses repeated values map-side), materialised once; histogram bins are weighted counts of a
-computed bin index over that table, and the per-group ranges/quantiles are one row per group joined
-back (AQE broadcasts them when measured small).  Empty bins are emitted from ``sequence(0, bins - 1)`` of the
+Every figure is a pruned pass over the source that is aggregated before its shuffle: ranges and quantile
+brackets first, then counts of a computed bin index or of the values inside the brackets.  The per-group
+ranges/quantiles are one row per group joined back (AQE broadcasts them when measured small).  Empty bins are emitted from ``sequence(0, bins - 1)`` of the
 per-group table, so the result has exactly ``bins`` rows per group.
 """
 
@@ -17,8 +16,7 @@ from pyspark.sql import functions as F
 from tabsieve.functions.missing import canonicalize_missing, to_number
 from tabsieve.operators.freq import as_text
 from tabsieve.operators.lookup import lookup
-from tabsieve.operators.ordering import (join_keys, quantiles_from_slices, sliced_values,
-                                         value_counts_by_group, weighted_quantiles)
+from tabsieve.operators.ordering import exact_quantiles, join_keys
 
 
 def numpy_bin(x: Column, lo: Column, hi: Column, bins: Column | int) -> Column:
@@ -36,11 +34,9 @@ def numpy_bin(x: Column, lo: Column, hi: Column, bins: Column | int) -> Column:
     return F.when((x >= edge(idx2 + 1)) & (idx2 != nb - 1), idx2 + 1).otherwise(idx2)
 
 
-def _distinct_values(values: DataFrame, keys: list[str]) -> DataFrame:
-    """The one scan: ``values(keys..., v)`` -> distinct ``(keys..., _v, _cnt)`` range-sliced and
-    materialised (:func:`sliced_values`); every statistic below reads this table, not the source."""
-    counts = value_counts_by_group(values, keys, F.col("v"))
-    return sliced_values(counts, keys, "_v")
+def _cells(values: DataFrame, keys: list[str]) -> DataFrame:
+    """``values(keys..., v)`` as ``(keys..., _v, _cnt)`` with NULL left out; read again by each pass."""
+    return values.where(F.col("v").isNotNull()).select(*keys, F.col("v").alias("_v"), F.lit(1).cast("long").alias("_cnt"))
 
 
 def _histogram(local: DataFrame, keys: list[str], bins: int, integer_mode: Column | None = None) -> DataFrame:
@@ -77,9 +73,9 @@ def histogram_by_group(df: DataFrame, value_col: str, group_col: str, bins: int
     x = to_number(F.col(f"`{value_col}`"), df.schema[value_col].dataType)
     values = (df.select(as_text(df, group_col).alias("group"), x.alias("v"))
                 .where(F.col("group").isNotNull() & F.col("v").isNotNull()))
-    local = _distinct_values(values, ["group"])
+    local = _cells(values, ["group"])
     hist = _histogram(local, ["group"], bins)
-    med = quantiles_from_slices(local, ["group"], [0.5], ["median"], mean_of_middle=["median"])
+    med = exact_quantiles(local, ["group"], "_v", [0.5], ["median"], ["median"])
     return join_keys(hist, med, ["group"]).select("group", "bin", "bin_start", "bin_end", "count", "median")
 
 
@@ -94,8 +90,7 @@ def percentile_trim(df: DataFrame, column: str, lower: float = 0.01, upper: floa
     """Rows whose value lies in ``[p_lower, p_upper]`` (inclusive; NULL dropped).  The two limits
     are a one-row statistic; the rows themselves are filtered where they are."""
     x = to_number(F.col(f"`{column}`"), df.schema[column].dataType)
-    counts = value_counts_by_group(df, [], x)
-    lim = weighted_quantiles(counts, [], [lower, upper], ["_plo", "_phi"]).collect()
+    lim = exact_quantiles(df.select(x.alias("v")), [], "v", [lower, upper], ["_plo", "_phi"]).collect()
     if not lim or lim[0]["_plo"] is None:
         return df.where(F.lit(False))
     return df.where(x.between(F.lit(lim[0]["_plo"]), F.lit(lim[0]["_phi"])))
@@ -110,9 +105,8 @@ def raw_distributions(df: DataFrame, columns: Sequence[str], bins: int = 35,
     ``feature, bin, bin_start, bin_end, count, median``.  One scan of the source."""
     cols = [c for c in columns if c in df.columns]
     values = _long_numeric(df.select(*[F.col(f"`{c}`") for c in cols]), cols)
-    local = _distinct_values(values, ["feature"])
-    q = quantiles_from_slices(local, ["feature"], [0.01, 0.5, 0.99], ["_plo", "median", "_phi"],
-                              mean_of_middle=["median"])
+    local = _cells(values, ["feature"])
+    q = exact_quantiles(local, ["feature"], "_v", [0.01, 0.5, 0.99], ["_plo", "median", "_phi"], ["median"])
     trimmed = local
     if use_percentile_range:
         trimmed = (join_keys(local, q.select("feature", "_plo", "_phi"), ["feature"])
@@ -127,7 +121,7 @@ def _box_whiskers(local: DataFrame, keys: list[str], whis: float) -> DataFrame:
     """Per key ``n, q1, median, q3, whisker_low, whisker_high`` with Matplotlib's rule: the whiskers
     are the most extreme values within ``whis * IQR`` of the quartiles, clamped to the quartile when
     that value lies on the wrong side of it (quartiles are interpolated)."""
-    quart = quantiles_from_slices(local, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    quart = exact_quantiles(local, keys, "_v", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - whis * iqr, F.col("q3") + whis * iqr
     v, cnt = F.col("_v"), F.col("_cnt")
@@ -158,7 +152,7 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str], group_col: str | None =
                 .where(F.col("v").isNotNull() & (~F.col("_grouped") | F.col("group").isNotNull()))
                 .drop("_grouped"))
     keys = ["feature", "group"]
-    local = _distinct_values(values, keys)
+    local = _cells(values, keys)
     box = _box_whiskers(local, keys, whis)
     v, cnt = F.col("_v"), F.col("_cnt")
     fliers = join_keys(local, box.select(*keys, "whisker_low", "whisker_high"), keys).groupBy(*keys).agg(
@@ -171,11 +165,11 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str], group_col: str | None =
 def boxplot_fliers(df: DataFrame, column: str, group_col: str | None = None, whis: float = 1.5) -> DataFrame:
     """The rows whose ``column`` lies beyond the box-plot whiskers (per ``group_col`` when
     given; NULL values and groups dropped) -- a filtered DataFrame, never collected.  The whiskers
-    come from the distinct table (one row per group) and reach the rows by a size-checked lookup."""
+    are one row per group and reach the rows by a size-checked lookup."""
     x = to_number(F.col(f"`{column}`"), df.schema[column].dataType)
     g = as_text(df, group_col) if group_col else F.lit("")
     keyed = df.withColumn("_g", g).withColumn("_x", x).where(F.col("_x").isNotNull() & F.col("_g").isNotNull())
-    local = _distinct_values(keyed.select(F.col("_g").alias("group"), F.col("_x").alias("v")), ["group"])
+    local = _cells(keyed.select(F.col("_g").alias("group"), F.col("_x").alias("v")), ["group"])
     box = _box_whiskers(local, ["group"], whis).select(F.col("group").alias("_g"), "whisker_low", "whisker_high")
     box = box.withColumnRenamed("_g", "_of")
     return (lookup(keyed, F.col("_g"), box, "_of", F.struct(*[F.col(f"`{c}`") for c in df.columns]))

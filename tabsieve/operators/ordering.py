@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsieve.operators.lookup import BROADCAST_ROWS
 from tabsieve.session import checkpoint_dir
 
 
@@ -161,6 +162,56 @@ def quantiles_from_slices(local: DataFrame, group_cols: Sequence[str], probs: Se
     return picked.select(*group, *out)
 
 
+#: sketch size of the brackets; a group of at most so many values keeps them all
+BRACKET_ACCURACY = 10_000
+_MARGIN = 3.0 / BRACKET_ACCURACY
+
+
+def bracket_aggregate(value: Column, probs: Sequence[float]) -> Column:
+    """One mergeable sketch that encloses the order statistics of ``probs``: its rank error is at most one part in
+    ``BRACKET_ACCURACY``, and the limits lie three such parts to either side."""
+    limits = [min(1.0, max(0.0, float(q) + side * _MARGIN)) for q in probs for side in (-1, 1)]
+    return F.percentile_approx(value, limits, BRACKET_ACCURACY)
+
+
+def bracketed_counts(values: DataFrame, group_cols: Sequence[str], value: str, probs: Sequence[float],
+                     brackets: DataFrame | None = None) -> DataFrame:
+    """``(group..., _v, _cnt)`` that has the same quantiles at ``probs`` as the non-null ``value``, from two passes and a
+    shuffle of few rows: a value outside every bracket cannot be one of the wanted order statistics and is
+    counted under a stand-in (the bracket limit before it).  ``brackets`` has ``group..., _n, _limits``
+    where the caller has aggregated them already."""
+    probs, group = sorted(probs), list(group_cols)
+    checkpoint_dir(values.sparkSession)
+    values = values.where(F.col(value).isNotNull())
+    if not group:
+        return bracketed_counts(values.withColumn("_all", F.lit(0)), ["_all"], value, probs,
+                                None if brackets is None else brackets.withColumn("_all", F.lit(0))).drop("_all")
+    if brackets is None:
+        brackets = values.groupBy(*group).agg(F.count(value).alias("_n"), bracket_aggregate(F.col(value), probs).alias("_limits"))
+    brackets = brackets.select(*group, "_n", "_limits").checkpoint()
+    if brackets.count() <= BROADCAST_ROWS:
+        brackets = F.broadcast(brackets)
+    x, below = F.col(value), F.lit(float("-inf"))
+    small = F.col("_n") <= BRACKET_ACCURACY
+    stand_in = F.when(small, x)
+    for i, q in enumerate(probs):
+        low = F.lit(float("-inf")) if q - _MARGIN <= 0 else F.get("_limits", 2 * i)
+        high = F.lit(float("inf")) if q + _MARGIN >= 1 else F.get("_limits", 2 * i + 1)
+        stand_in = stand_in.when((x >= low) & (x <= high), x).when(x < low, below)
+        below = high
+    return (join_keys(values.select(*group, x), brackets, group)
+            .select(*group, stand_in.otherwise(below).alias("_v"))
+            .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_cnt")))
+
+
+def exact_quantiles(values: DataFrame, group_cols: Sequence[str], value: str, probs: Sequence[float],
+                    aliases: Sequence[str], mean_of_middle: Sequence[str] = (),
+                    brackets: DataFrame | None = None) -> DataFrame:
+    """Exact quantiles of raw values (:func:`weighted_quantiles` of :func:`bracketed_counts`)."""
+    return weighted_quantiles(bracketed_counts(values, group_cols, value, probs, brackets), group_cols, probs, aliases,
+                              mean_of_middle=mean_of_middle)
+
+
 def linspace_probs(n_bins: int) -> list[float]:
     """``numpy.linspace(0, 1, n_bins + 1)`` (same floating values, e.g. 0.6000000000000001)."""
     step = 1.0 / n_bins

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from tabsieve.functions.labels import ALL_GROUP
 from tabsieve.functions.missing import canonicalize_missing, is_categorical, is_numeric, pct, to_number
 from tabsieve.operators.freq import INDEX_PREFIX, as_text, categorical_profile, frequency_table
-from tabsieve.operators.ordering import join_keys, quantiles_from_slices, sliced_values
+from tabsieve.operators.ordering import bracket_aggregate, exact_quantiles, join_keys
+from tabsieve.session import checkpoint_dir
 
 
 def _features_frame(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,48 +62,44 @@ def approx_numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str
 
 def numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str = "v",
                   whisker: float = 1.5, always_keys: DataFrame | None = None,
-                  exact: bool = True) -> DataFrame:
+                  exact: bool = True, unique: bool = True) -> DataFrame:
     """Per key: ``_rows, non_missing, missing, min, max, mean, median, std, q1, q3, zero_count,
     unique, outlier_count`` (IQR rule: ``v < q1 - 1.5 iqr`` or ``v > q3 + 1.5 iqr``; NULL is not an
-    outlier).  ``long_df`` holds one row per cell: ``keys..., value_col`` (NULL = missing).
+    outlier).  ``long_df`` holds one row per cell: ``keys..., value_col`` (NULL = missing).  Three pruned passes,
+    each aggregated before its shuffle; only ``unique`` (left out on request) shuffles distinct values.
     ``exact=False`` switches to :func:`approx_numeric_stats`."""
     keys = list(keys)
     if not exact:
         return approx_numeric_stats(long_df, keys, value_col, whisker, always_keys=always_keys)
-    counts = (long_df.select(*keys, F.col(value_col).alias("_v"))
-                     .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt")))
-    if always_keys is not None:  # zero-weight NULL cells: the keys exist even without data
-        counts = counts.unionByName(always_keys.select(*keys, F.lit(None).cast("double").alias("_v"),
-                                                       F.lit(0).cast("long").alias("_cnt")))
-    pos = sliced_values(counts, keys)  # the only materialised copy; every statistic reads it
-    v, cnt = F.col("_v"), F.col("_cnt")
-    # one pass over it gives per-slice partial statistics; the quantile step reuses their weights
-    per_slice = pos.groupBy("_slice", *keys).agg(
-        F.sum(cnt).alias("_rows"),
-        F.sum(F.when(v.isNotNull(), cnt).otherwise(0)).alias("non_missing"),
-        F.sum(F.when(v.isNull(), cnt).otherwise(0)).alias("missing"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-        F.sum(v * cnt).alias("_sum"),
-        F.count(v).alias("unique"),
-        F.sum(F.when(v == 0, cnt).otherwise(0)).alias("zero_count"))
-    sizes = per_slice.where(F.col("non_missing") > 0).select("_slice", *keys, F.col("non_missing").alias("_sw"))
-    quart = quantiles_from_slices(pos, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], sizes=sizes,
-                                  mean_of_middle=["median"])
-    base = per_slice.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("_rows", "non_missing", "missing", "_sum", "unique", "zero_count")],
-        F.min("min").alias("min"), F.max("max").alias("max"))
-    base = join_keys(base, quart, keys, "left").withColumn(
-        "mean", F.try_divide(F.col("_sum"), F.col("non_missing").cast("double")))
+    v = F.col(value_col)
+    cells = long_df.select(*keys, v, F.lit(False).alias("_pad"))
+    if always_keys is not None:  # NULL padding rows: the keys exist even without data
+        cells = cells.unionByName(always_keys.select(*keys, F.lit(None).cast("double").alias(value_col),
+                                                     F.lit(True).alias("_pad")))
+    probs = [0.25, 0.5, 0.75]
+    checkpoint_dir(long_df.sparkSession)
+    base = cells.groupBy(*keys).agg(
+        F.count_if(~F.col("_pad")).alias("_rows"), F.count(v).alias("non_missing"),
+        F.count_if(v.isNull() & ~F.col("_pad")).alias("missing"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.avg(v).alias("mean"), F.count_if(v == 0).alias("zero_count"),
+        F.count(v).alias("_n"), bracket_aggregate(v, probs).alias("_limits")).checkpoint()
+    quart = exact_quantiles(long_df, keys, value_col, probs, ["q1", "median", "q3"], ["median"],
+                            base.where("_n > 0").select(*keys, "_n", "_limits"))
+    base = join_keys(base.drop("_n", "_limits"), quart, keys, "left")
+    if unique:
+        distinct = (long_df.where(v.isNotNull()).select(*keys, v).distinct()
+                    .groupBy(*keys).agg(F.count(F.lit(1)).alias("unique")))
+        base = join_keys(base, distinct, keys, "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
     bounds = base.select(*keys, "mean",
                          (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lo"),
                          (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    second = join_keys(pos, bounds, keys).groupBy(*keys).agg(
-        F.sum(cnt * (v - F.col("mean")) * (v - F.col("mean"))).alias("_ss"),
-        F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), cnt).otherwise(0)).alias("outlier_count"))
+    second = join_keys(long_df.where(v.isNotNull()).select(*keys, v.alias("_x")), bounds, keys).groupBy(*keys).agg(
+        F.sum((F.col("_x") - F.col("mean")) * (F.col("_x") - F.col("mean"))).alias("_ss"),
+        F.count_if((F.col("_x") < F.col("_lo")) | (F.col("_x") > F.col("_hi"))).alias("outlier_count"))
     out = join_keys(base, second, keys, "left")
     return out.withColumn(
         "std", F.when(F.col("non_missing") > 1,
-                      F.sqrt(F.col("_ss") / (F.col("non_missing") - 1).cast("double")))).drop("_sum", "_ss")
+                      F.sqrt(F.col("_ss") / (F.col("non_missing") - 1).cast("double")))).drop("_ss")
 
 
 def explore_target(df: DataFrame, target: str, group_col: str | None = None, exact: bool = True) -> DataFrame:
@@ -123,7 +120,7 @@ def explore_target(df: DataFrame, target: str, group_col: str | None = None, exa
     # an empty table still has its "All" row (count 0), as in the reference: a zero-weight NULL
     # cell for that key guarantees the row without changing any count
     always = df.sparkSession.createDataFrame([(True, None)], "is_total boolean, grp string")
-    st = numeric_stats(long_df, ["is_total", "grp"], always_keys=always, exact=exact)
+    st = numeric_stats(long_df, ["is_total", "grp"], always_keys=always, exact=exact, unique=False)
     return (st.select(F.when(F.col("is_total"), F.lit(ALL_GROUP)).otherwise(F.col("grp")).alias("group"),
                       "is_total",
                       F.col("non_missing").cast("long").alias("count"),

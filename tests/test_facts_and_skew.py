@@ -38,3 +38,26 @@ def test_hot_stratum_ranks_only_its_boundary_bucket(spark):
     assert counts == {"train": 16000, "validation": 4000}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number()" in plan  # only the boundary-bucket branch carries the window
+
+
+def test_bracketed_quantiles_equal_numpy(spark, monkeypatch):
+    """Coarse brackets on groups larger than the sketch: values outside them are only counted, ties and a hot
+    value included, and the quantiles stay exact."""
+    import numpy as np
+
+    from tabsieve.operators import ordering
+    monkeypatch.setattr(ordering, "BRACKET_ACCURACY", 100)
+    monkeypatch.setattr(ordering, "_MARGIN", 3.0 / 100)
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(0, 1, 3000), "b": rng.integers(0, 7, 2500).astype(float), "c": np.repeat([5.0, 1.0], [900, 40]),
+              "d": rng.exponential(1, 57), "e": np.array([2.0])}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("f", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    names = [f"q{k}" for k in range(len(probs))]
+    small = ordering.bracketed_counts(df, ["g"], "v", [0.25, 0.5, 0.75])
+    assert small.where("g = 'a'").count() < 1000
+    got = {r["g"]: [r[n] for n in names] for r in ordering.exact_quantiles(df, ["g"], "v", probs, names).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert got[g] == [float(np.quantile(xs, q)) for q in probs], g
