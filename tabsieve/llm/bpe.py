@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve._ship import ship_by_value
-from tabsieve.llm.common import texts
+from tabsieve.llm.common import bounded_batches, texts
 
 NONE = np.int64(2**62)
 #: distinct pieces kept per Python worker (about 50 MB); the table is emptied when full
@@ -249,7 +249,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", into:
     A column already named ``into`` is replaced; other columns, repeated rows and empty tables pass
     unchanged.  ``path`` is read on the driver; executors get the parsed table."""
     udf = _encoder(Vocabulary(path), pattern).asNondeterministic()
-    return df.withColumn(into, udf(F.col(text_col)))
+    return bounded_batches(df).withColumn(into, udf(F.col(text_col)))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -257,7 +257,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded"
     the vocabulary is an error, never skipped."""
     udf = _decoder(Vocabulary(path)).asNondeterministic()
     ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
-    return df.withColumn(into, udf(ids))
+    return bounded_batches(df).withColumn(into, udf(ids))
 
 
 ship_by_value(__name__)

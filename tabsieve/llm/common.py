@@ -45,10 +45,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches to and from Python hold about this much, so a worker's memory follows neither the number of rows
+#: that Spark would put in a batch nor the length of texts (one row at least)
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with ``BATCH_BYTES`` set for its session unless the application sets the limit itself."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(_BATCH_SETTING):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def with_struct(df: DataFrame, udf, inputs: list[Column], into: str = "__r") -> DataFrame:
     """Add the struct that ``udf`` returns as one column.  Marked non-deterministic so that a filter on
     its fields is never pushed below it, which would evaluate the Python function twice."""
-    return df.withColumn(into, udf.asNondeterministic()(*inputs))
+    return bounded_batches(df).withColumn(into, udf.asNondeterministic()(*inputs))
 
 
 def replace_columns(df: DataFrame, struct: str, fields: list[str]) -> DataFrame:
