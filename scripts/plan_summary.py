@@ -17,6 +17,7 @@ sys.path.insert(0, ROOT)
 
 #: joins above this size shuffle, so the plans show what happens when tables outgrow a broadcast
 THRESHOLD = "64k"
+CORES = int(os.environ.get("PLAN_CPUS", "8"))
 
 
 def summarize(plan: str) -> dict[str, object]:
@@ -40,13 +41,13 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     out = sys.argv[2] if len(sys.argv) > 2 else os.path.join(ROOT, "PLANS.md")
     from tabsieve.session import get_spark
-    spark = get_spark("local[8]", **{"spark.sql.autoBroadcastJoinThreshold": THRESHOLD,
+    spark = get_spark(f"local[{CORES}]", **{"spark.sql.autoBroadcastJoinThreshold": THRESHOLD,
                                      "spark.sql.adaptive.autoBroadcastJoinThreshold": THRESHOLD})
     import tabsieve.plans.queries  # noqa: F401  (registers every query)
     from tabsieve.plans.catalog import QUERIES
 
     lines = ["# Executed plans of the registered queries", "",
-             f"Generated by `scripts/plan_summary.py` on `{os.path.basename(sf_dir)}` (local[8], AQE on, "
+             f"Generated by `scripts/plan_summary.py` on `{os.path.basename(sf_dir)}` (local[{CORES}], AQE on, "
              f"broadcast threshold {THRESHOLD}: below the tables' sizes, as at scale). "
              "Final adaptive plans (after AQE's runtime re-planning). Scans show the columns read and the "
              "filters pushed into Parquet; `checkpoint reads` are "
