@@ -43,6 +43,8 @@ def test_both_trees_merge_alike(vocabulary):
 def test_round_trip_of_the_table(spark, docs, library):
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), PATH, public_tokenizers.PATTERN), PATH).collect()
     assert len(coded) == docs.count()
+    both = bpe.encode_and_decode(docs.select("doc_id", "text"), PATH, public_tokenizers.PATTERN).select("doc_id", "__bpe.*").collect()
+    assert [(r["doc_id"], r["ids"], r["decoded"]) for r in both] == [(r["doc_id"], r["ids"], r["decoded"]) for r in coded]
     for r in coded:
         assert r["ids"] == library.encode_ordinary(r["text"] or "") and r["decoded"] == (r["text"] or "").encode()
 

@@ -3,7 +3,7 @@ import tiktoken
 
 import corpus_pipeline
 from tabsieve.llm import bpe, pii
-from test_neardup import brute
+from llm.test_neardup import brute
 
 
 def test_stages_follow_the_contract(spark, docs):
