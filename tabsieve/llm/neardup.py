@@ -258,6 +258,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
     open_ = (placed.join(mixed, "key").join(sets.select("node", F.col("n").alias("n_set"), "cells"), "node")
              .where("n = n_set"))
+    # few bytes but many comparisons: a fixed number of partitions, which are not merged by size
+    open_ = open_.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     sides = [open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "u", "part", "cells")],
                           F.col("node").alias(s)) for s in "ab"]
     apart = (sides[0].join(sides[1], "key").where("a < b and part_a <> part_b")
