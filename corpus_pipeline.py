@@ -46,9 +46,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
+    coded = bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", F.size("__bpe.ids").cast("long").alias("n_tokens"), "__bpe.ids",
+                        (F.col("__bpe.decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicate), ("personal_data", personal_data),

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve._ship import ship_by_value
-from tabsieve.llm.common import bounded_batches, texts
+from tabsieve.llm.common import bounded_batches, texts, with_struct
 
 NONE = np.int64(2**62)
 #: distinct pieces kept per Python worker (about 50 MB); the table is emptied when full
@@ -205,42 +205,68 @@ def _groups(column: pa.Array):
         yield group
 
 
-def _encoder(vocabulary: Vocabulary, pattern: str):
+class _Encoder:
+    """Encodes texts with a bounded table of the pieces met before."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
+        self.known: dict[str, bytes] = {}  # piece to its packed ids
+
+    def __call__(self, group: list[str]) -> pa.ListArray:
+        found = [self.split(text) for text in group]
+        if len(self.known) > KEPT_PIECES:
+            self.known.clear()
+        new = list({p for pieces in found for p in pieces if p not in self.known})
+        coded = encode_pieces([p.encode("utf-8", "surrogatepass") for p in new], self.vocabulary)
+        self.known.update((p, np.array(ids, np.int32).tobytes()) for p, ids in zip(new, coded))
+        packed = [b"".join(map(self.known.__getitem__, pieces)) for pieces in found]
+        offsets = np.zeros(len(packed) + 1, np.int32)
+        np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def _decoded(ids: pa.ListArray, table: pa.Array) -> Iterator[pa.Array]:
+    """The bytes of each row's ids, a bounded number of ids at a time."""
+    ends = ids.offsets.to_numpy()
+    at = 0
+    while at < len(ids):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + _IDS, "right")) - 1)
+        part = pa.array(ends[at:to + 1] - ends[at])
+        parts = pa.ListArray.from_arrays(part, table.take(ids.slice(at, to - at).flatten()))
+        yield pc.binary_join(parts, pa.scalar(b"", pa.binary())).cast(pa.binary())
+        at = to
+
+
+def _encode_udf(vocabulary: Vocabulary, pattern: str):
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        split = regex.compile(pattern).findall
-        known: dict[str, bytes] = {}  # piece to its packed ids
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _Encoder(vocabulary, pattern)
         for batch in batches:
-            for group in _groups(batch):
-                found = [split(text) for text in group]
-                if len(known) > KEPT_PIECES:
-                    known.clear()
-                new = list({p for pieces in found for p in pieces if p not in known})
-                coded = encode_pieces([p.encode("utf-8", "surrogatepass") for p in new], vocabulary)
-                known.update((p, np.array(ids, np.int32).tobytes()) for p, ids in zip(new, coded))
-                packed = [b"".join(map(known.__getitem__, pieces)) for pieces in found]
-                offsets = np.zeros(len(packed) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
-                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-    return encode
-
-
-def _decoder(vocabulary: Vocabulary):
+            yield from map(encoder, _groups(batch))
+    return run
+
+
+def _decode_udf(vocabulary: Vocabulary):
     tokens = vocabulary.tokens
 
     @F.arrow_udf(T.BinaryType())
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pa.array(tokens, pa.binary())
         for batch in batches:
-            ends = batch.offsets.to_numpy()
-            at = 0
-            while at < len(batch):
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + _IDS, "right")) - 1)
-                part = batch.slice(at, to - at)
-                parts = pa.ListArray.from_arrays(pa.array(ends[at:to + 1] - ends[at]), table.take(part.flatten()))
-                yield pc.binary_join(parts, pa.scalar(b"", pa.binary())).cast(pa.binary())
-                at = to
-    return decode
+            yield from _decoded(batch, table)
+    return run
+
+
+def _both_udf(vocabulary: Vocabulary, pattern: str):
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, table = _Encoder(vocabulary, pattern), pa.array(vocabulary.tokens, pa.binary())
+        for batch in batches:
+            for group in _groups(batch):
+                ids = encoder(group)
+                decoded = pa.concat_arrays(list(_decoded(ids, table)))
+                yield pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])
+    return run
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "ids") -> DataFrame:
@@ -248,16 +274,22 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", into:
     ``pattern`` on its own, without special tokens.  A null or empty text has no ids (an empty array).
     A column already named ``into`` is replaced; other columns, repeated rows and empty tables pass
     unchanged.  ``path`` is read on the driver; executors get the parsed table."""
-    udf = _encoder(Vocabulary(path), pattern).asNondeterministic()
+    udf = _encode_udf(Vocabulary(path), pattern).asNondeterministic()
     return bounded_batches(df).withColumn(into, udf(F.col(text_col)))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """Add ``into`` (binary): the bytes of the ids.  A null id array decodes to no bytes; an id outside
     the vocabulary is an error, never skipped."""
-    udf = _decoder(Vocabulary(path)).asNondeterministic()
+    udf = _decode_udf(Vocabulary(path)).asNondeterministic()
     ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
     return bounded_batches(df).withColumn(into, udf(ids))
 
 
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "__bpe") -> DataFrame:
+    """Add struct ``into`` with ``ids`` and ``decoded`` (the bytes that the ids stand for): ``encode`` and then
+    ``decode`` in one Python worker per task, with the same results."""
+    return with_struct(df, _both_udf(Vocabulary(path), pattern), [F.col(text_col)], into)
+
+
 ship_by_value(__name__)

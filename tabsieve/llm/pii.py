@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve._ship import ship_by_value
-from tabsieve.llm.common import texts, with_struct
+from tabsieve.llm.common import bounded_batches, texts, with_struct
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
@@ -374,30 +374,28 @@ def detect(df: DataFrame, weights: np.ndarray, text_col: str = "text", into: str
     return with_struct(df, _finder(weights), [F.col(text_col)], into)
 
 
-def _masker():
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """``text`` with each span as its kind in angle brackets; overlapping spans become one mark."""
+    parts, at = [], 0
+    for start, kind, stop in spans:
+        if start >= at:
+            parts += [text[at:start], f"<{KINDS[kind].upper()}>"]
+        at = max(at, stop)
+    return "".join(parts) + text[at:]
+
+
+def _redactor(weights: np.ndarray):
     @F.arrow_udf("string")
-    def mask(column: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, found in zip(texts(column), spans):
-            found = found.as_py()
-            if text is None or not found:
-                out.append(text)
-                continue
-            parts, at = [], 0
-            for x in found:
-                if x["start"] >= at:
-                    parts += [text[at:x["start"]], f"<{KINDS[x['kind']].upper()}>"]
-                at = max(at, x["stop"])
-            out.append("".join(parts) + text[at:])
-        return pa.array(out, pa.string())
-    return mask
+    def redacted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([t if t is None else masked(t, find_spans(t, weights)[1]) for t in texts(batch)], pa.string())
+    return redacted
 
 
 def redact(df: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """``df`` with every span found in ``text_col`` replaced by its kind in angle brackets; overlapping spans
     become one mark.  A null text stays null; the columns are those of ``df``."""
-    found = detect(df, weights, text_col, "__pii")
-    return found.withColumn(text_col, _masker().asNondeterministic()(F.col(text_col), F.col("__pii.found"))).drop("__pii")
+    return bounded_batches(df).withColumn(text_col, _redactor(weights).asNondeterministic()(F.col(text_col)))
 
 
 ship_by_value(__name__)
