@@ -14,6 +14,9 @@ from tabsieve.llm import bpe, langid, pii, queries
 from tabsieve.llm.common import materialise
 from tabsieve.llm.neardup import near_duplicates
 
+#: share of the tokens that the mixture keeps; the most wanted cells are then kept whole
+MIX_SHARE = 0.3
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language cannot be told (null or no letter); names the language of those
@@ -39,8 +42,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that sources, languages and topics have their target shares of the tokens."""
-    return queries.mixed(queries.mix_columns(docs), ["doc_id", "text"]).where("kept").select(*docs.columns)
+    """Samples ``MIX_SHARE`` of the tokens so that sources, languages and topics come as near to their target
+    shares as that allows (cells short of tokens are kept whole)."""
+    return queries.mixed(queries.mix_columns(docs), ["doc_id", "text"], MIX_SHARE).where("kept").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Tokens are counted once per cell (source, language, topic).  A cell's weight is a product of one factor
 per margin; raking rescales one margin's factors after another until the weighted tokens meet every
-margin's target.  A document is then kept with a probability proportional to its cell's weight, scaled
-as far as no probability passes 1, so the expected tokens of every margin are in the target ratios.
+margin's target.  A document is then kept with probability ``min(1, c * weight)``, with ``c`` solved for
+the wanted number of tokens.  While no ``c * weight`` passes 1 the expected tokens of every margin are in
+the target ratios; beyond that the most wanted cells are kept whole, so a tiny cell never sets the rate of
+the others, and what the margins then miss is reported.
 
 The first margin may have any number of values: its factor is a function of the others' factors and of
 that value's own cells, so it is never collected.  The other margins have few values (languages,
@@ -12,11 +14,14 @@ topics); their factors are a small driver-side table, and each step is one group
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve.llm.common import lookup
 
+_LOG = logging.getLogger(__name__)
 TOLERANCE, SWEEPS = 1e-6, 200
 #: values that one of the later margins may have (its factors are held on the driver)
 MARGIN_VALUES = 2_000
@@ -48,9 +53,10 @@ def _factor(values: dict[str, float], column: Column) -> Column:
 def rake(cells: DataFrame, margins: list[str], targets: dict[str, float | dict[str, float]]):
     """Rake ``cells`` (the margins' key columns and ``tokens``) to ``targets``.
 
-    Returns ``(weight, by_first, residual)``: ``weight`` is a Column over the later margins' keys and
-    ``__a``, ``by_first`` has ``__a`` for each key of the first margin, and ``residual`` is the largest
-    relative miss of a target.  Raises ValueError if a later margin has more than ``MARGIN_VALUES``
+    Returns ``(weight, by_first, goals, residual)``: ``weight`` is a Column over the later margins' keys and
+    ``__a``, ``by_first`` has ``__a`` and the target share ``__goal`` for each key of the first margin,
+    ``goals`` the target shares of the later margins, and ``residual`` is the largest relative miss of a
+    target.  Raises ValueError if a later margin has more than ``MARGIN_VALUES``
     values.  Cells without tokens take no part.  Where targets contradict each other (a target for
     cells that have no tokens), raking stops after ``SWEEPS`` rounds with the residual it has."""
     first, rest = margins[0], margins[1:]
@@ -101,35 +107,92 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, float | dict[s
     weight = F.col("__a")
     for m in rest:
         weight = weight * _factor(factors[m], F.col(m))
-    return weight, grouped.select(first, own_factor().alias("__a")), residual
+    goal = F.col("goal") / F.lit(float(whole))
+    return weight, grouped.select(first, own_factor().alias("__a"), goal.alias("__goal")), goals, residual
+
+
+def scale_for(weighted: DataFrame, budget: float | None) -> float:
+    """The ``c`` for which ``min(1, c * weight)`` keeps ``budget`` of the tokens of ``weighted`` (columns ``tokens``
+    and ``__w``); without a budget the largest that keeps every probability within 1.  A budget beyond all
+    tokens of positive weight keeps those whole.
+
+    The kept tokens are concave in ``c``, so Newton's steps from below only rise; each saturates further
+    cells or is the last."""
+    positive = weighted.where("__w > 0")
+    top, low, mass, held = positive.agg(F.max("__w"), F.min("__w"), F.sum(F.col("__w") * F.col("tokens")), F.sum("tokens")).first()
+    if not top:
+        return 0.0
+    if budget is None:
+        return 1.0 / top
+    if budget >= held:
+        return 1.0 / low
+    scale, full = budget / mass, 0
+    while True:
+        above = F.col("__w") * F.lit(scale) >= 1.0
+        cells, whole, rest = positive.agg(F.count(F.when(above, 1)), F.coalesce(F.sum(F.when(above, F.col("tokens"))), F.lit(0)),
+                                          F.sum(F.when(~above, F.col("__w") * F.col("tokens")))).first()
+        if cells == full or not rest:
+            return scale
+        scale, full = max(scale, (budget - whole) / rest), cells
+
+
+def _missed(weighted: DataFrame, by_first: DataFrame, keys: list[str], goals: dict[str, dict[str, float]],
+            expected: float) -> list[float]:
+    """Per margin, the largest relative miss of a target share by the expected tokens (``__kept``)."""
+    reached = F.coalesce(F.sum("__kept"), F.lit(0.0)) / F.lit(expected)
+    out = [weighted.groupBy(keys[0]).agg(reached.alias("v")).join(by_first.where("__goal > 0"), keys[0], "right")
+           .agg(F.max(F.abs(F.coalesce("v", F.lit(0.0)) / F.col("__goal") - 1.0))).first()[0] or 0.0]
+    for m in keys[1:]:
+        have = {r[0]: r[1] for r in weighted.groupBy(m).agg(reached).collect()}
+        out.append(max((abs(have.get(k, 0.0) / goal - 1.0) for k, goal in goals[m].items() if goal > 0), default=0.0))
+    return out
 
 
 def sample(df: DataFrame, margins: dict[str, Column], tokens: Column, targets: dict[str, float | dict[str, float]],
-           key: list[str], budget: float | None = None, seed: int = 0) -> DataFrame:
+           key: list[str], budget: float | None = None, seed: int = 0, share: float | None = None,
+           report: dict | None = None) -> DataFrame:
     """``df`` with ``weight`` (relative to the largest), ``probability`` and ``kept`` for every row.
 
     ``margins`` names the margins and how to compute them, the one with the most values first.  The
-    expected number of kept tokens is ``budget`` where every probability stays within 1, else (and by
-    default) as many as that allows.  ``kept`` compares the probability to a hash of the columns
-    ``key`` and ``seed``: rows equal in them are kept or left together, whatever the partitioning.  A
-    missing margin value is a value of its own.  A row without tokens, or in a cell whose target is 0,
-    has weight and probability 0 and is not kept.  Columns named like the three are replaced."""
+    expected number of kept tokens is ``budget``, or ``share`` of all tokens of ``df``; cells whose
+    probability would pass 1 for that are kept whole, and the margins then miss their targets.  Without
+    either it is as many as no probability passes 1 for, which the most wanted cell decides, however small
+    it is.  ``kept`` compares the probability to a hash of the columns ``key`` and ``seed``: rows equal in
+    them are kept or left together, whatever the partitioning.  A missing margin value is a value of its
+    own.  A row without tokens, or in a cell whose target is 0, has weight and probability 0 and is not
+    kept.  Columns named like the three are replaced.
+
+    What came out is logged, and put into ``report`` if given: ``share`` (expected kept tokens of all),
+    ``cells`` and ``whole_cells`` (all with tokens, and those with probability 1), ``residual`` (by margin,
+    the largest relative miss of a target share) and ``raking_residual`` (that of the weights)."""
+    if budget is not None and share is not None:
+        raise ValueError("give budget or share, not both")
     names = list(margins)
     keyed = df.select("*", *[c.alias(f"__v{k}") for k, c in enumerate(margins.values())],
                       F.coalesce(tokens, F.lit(0)).cast("long").alias("__tokens"))
     keyed = keyed.select("*", *[_key(f"__v{k}").alias(f"__m{k}") for k in range(len(names))])
     keys = [f"__m{k}" for k in range(len(names))]
     cells = keyed.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")).checkpoint()
-    weight, by_first, _ = rake(cells, keys, dict(zip(keys, (targets[n] for n in names))))
+    weight, by_first, goals, raking_residual = rake(cells, keys, dict(zip(keys, (targets[n] for n in names))))
     by_first = by_first.checkpoint()
-    top, mass = (cells.where("tokens > 0").join(by_first, keys[0])
-                 .agg(F.max(weight), F.sum(weight * F.col("tokens"))).first())
-    scale = 0.0 if not top else 1.0 / top if budget is None else min(1.0 / top, budget / mass)
+    weighted = cells.where("tokens > 0").join(by_first, keys[0]).select(*keys, "tokens", weight.alias("__w")).checkpoint()
+    total, top = weighted.agg(F.sum("tokens"), F.max("__w")).first()
+    scale = scale_for(weighted, share * (total or 0) if share is not None else budget)
+    told = {"share": 0.0, "cells": 0, "whole_cells": 0, "residual": dict.fromkeys(names, 0.0), "raking_residual": raking_residual}
+    chosen = F.least(F.col("__w") * F.lit(scale), F.lit(1.0))
+    weighted = weighted.withColumn("__kept", chosen * F.col("tokens"))
+    expected, count, full = weighted.agg(F.sum("__kept"), F.count("*"), F.count(F.when(chosen >= 1.0, 1))).first()
+    if expected:
+        told |= {"share": expected / total, "cells": count, "whole_cells": full,
+                 "residual": dict(zip(names, _missed(weighted, by_first, keys, goals, expected)))}
+    _LOG.info("mixture: %s", told)
+    if report is not None:
+        report.update(told)
     chance = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    out = lookup(keyed, by_first, keys[0], F.struct(*key))
+    out = lookup(keyed, by_first.drop("__goal"), keys[0], F.struct(*key))
     relative = F.when(F.col("__tokens") > 0, F.coalesce(weight, F.lit(0.0))).otherwise(0.0)
     out = out.withColumn("__w", relative)
     added = {"weight": F.col("__w") / F.lit(float(top or 1.0)),
-             "probability": F.least(F.col("__w") * F.lit(float(scale)), F.lit(1.0)),
-             "kept": chance < F.col("__w") * F.lit(float(scale))}
+             "probability": F.least(F.col("__w") * F.lit(scale), F.lit(1.0)),
+             "kept": chance < F.col("__w") * F.lit(scale)}
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in added], *[c.alias(n) for n, c in added.items()])

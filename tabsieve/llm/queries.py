@@ -100,6 +100,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: powers of the token shares that the margins are raked to: hot sources and languages give way
 MIX_TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+#: share of the input's tokens that the query samples: about the most for which the margins still hold on the small tables
+MIX_SHARE = 0.2
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -112,10 +114,11 @@ def mix_columns(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__topic", topic).withColumn("__words", F.regexp_count("text", F.lit(_WORDS)).cast("long"))
 
 
-def mixed(docs: DataFrame, key: list[str]) -> DataFrame:
-    """``docs`` (with the columns of ``mix_columns``) and their weights, probabilities and decisions."""
+def mixed(docs: DataFrame, key: list[str], share: float = MIX_SHARE, report: dict | None = None) -> DataFrame:
+    """``docs`` (with the columns of ``mix_columns``) and their weights, probabilities and decisions, for ``share``
+    of the tokens."""
     margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("__topic")}
-    return mixing.sample(docs, margins, F.col("__words"), MIX_TARGETS, key)
+    return mixing.sample(docs, margins, F.col("__words"), MIX_TARGETS, key, share=share, report=report)
 
 
 @query("op2_raked_mixture")

@@ -78,3 +78,38 @@ def test_wide_later_margin_is_refused(spark, monkeypatch):
     df = spark.range(20).select("id", F.lit("s").alias("s"), F.col("id").cast("string").alias("l"), F.lit(1).alias("n"))
     with pytest.raises(ValueError, match="more than 5"):
         mixing.sample(df, {"s": F.col("s"), "l": F.col("l")}, F.col("n"), {"s": 1.0, "l": 1.0}, ["id"])
+
+
+def test_a_tiny_cell_does_not_throttle_the_corpus(spark):
+    """The query's margins on a skewed table, with one 60-word document of a source of its own."""
+    rows = [(k, f"s{k % 20}" if k % 3 else "s0", "en" if k % 7 else "de", 400) for k in range(4000)] + [(9999, "new", "en", 60)]
+    df = spark.createDataFrame(rows, "id long, source string, lang string, n long")
+    docs = df.withColumn("__topic", F.lit("prose")).withColumn("__words", F.col("n"))
+    total = sum(r[3] for r in rows)
+    for share in (0.2, 0.3, 0.95):
+        report = {}
+        out = queries.mixed(docs, ["id"], share=share, report=report).collect()
+        expected = sum(r["probability"] * r["n"] for r in out)
+        assert expected == pytest.approx(share * total, rel=1e-6) and report["share"] == pytest.approx(share, rel=1e-6)
+        assert next(r["probability"] for r in out if r["source"] == "new") == 1.0
+        assert max(r["probability"] for r in out) == 1.0 and report["whole_cells"] >= 1
+        top = min(r["weight"] / r["probability"] for r in out)  # min(1, c * w): the rest is in proportion to the weights
+        assert all(r["probability"] == pytest.approx(min(1.0, r["weight"] / top), rel=1e-6) for r in out)
+        tokens, want = {}, {}
+        for r in out:
+            tokens[r["source"]] = tokens.get(r["source"], 0) + r["n"]
+            want[r["source"]] = want.get(r["source"], 0) + r["probability"] * r["n"]
+        whole = sum(v ** queries.MIX_TARGETS["source"] for v in tokens.values())
+        missed = max(abs(want[k] / expected / (v ** queries.MIX_TARGETS["source"] / whole) - 1) for k, v in tokens.items())
+        assert report["residual"]["source"] == pytest.approx(missed, rel=1e-4)
+    everything = queries.mixed(docs, ["id"], share=1.0).collect()
+    assert all(r["kept"] and r["probability"] == 1.0 for r in everything)
+
+
+def test_pipeline_mixture_keeps_its_share(spark, docs):
+    import corpus_pipeline
+
+    words = lambda d: queries.mix_columns(d).agg(F.sum("__words")).first()[0]
+    extra = spark.createDataFrame([(10**9, "word " * 60, "en", "one-of-a-kind", 300)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    more = docs.unionByName(extra, allowMissingColumns=True)
+    assert words(corpus_pipeline.mixture(spark, more, "")) / words(more) == pytest.approx(corpus_pipeline.MIX_SHARE, rel=0.15)
