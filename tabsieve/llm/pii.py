@@ -5,8 +5,9 @@ field finds further spans.  It scores whole candidate segments of at most ``MAX_
 features of the entire span (digit groups, separators, checksum, neighbours); a dynamic program over
 token positions picks the segmentation with the best total score, deciding boundaries and kinds
 together.  A token outside every segment scores 0 and a segment must hold a digit or an at sign, so
-tokens further than ``MAX_TOKENS`` from any of those cannot be part of one: cutting the text into
-windows there changes no result.  Segments do not run over a line break.
+tokens further than ``MAX_TOKENS`` from any of those cannot be part of one.  The text is cut into
+windows only where the reach of two such tokens cannot meet, so that changes no result.  Segments do
+not run over a line break.
 
 The weights maximise the conditional likelihood of the base spans, and of rewritten copies of them in
 forms the patterns do not accept, on windows of a bounded sample of rows.
@@ -118,17 +119,27 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
         if high <= first.start():  # each line's end is looked up once
             high = text.find("\n", first.start())
             high = len(text) if high < 0 else high
-        # the tokens of this line from just before the trigger to where the next one is out of reach
-        near = [m.span() for m in _TOKEN.finditer(text, max(low, first.start() - 40 * MAX_TOKENS), first.start())]
+        # the tokens of this line from just before the trigger to where the next one is out of reach; looking back
+        # stops at as many tokens as a segment can reach (the first found may be the rest of a longer one)
+        back, near = 40 * MAX_TOKENS, []
+        while True:
+            begin = max(low, first.start() - back)
+            near = [m.span() for m in _TOKEN.finditer(text, begin, first.start())]
+            if begin == low or len(near) > MAX_TOKENS:
+                break
+            back *= 2
         tokens = near[-MAX_TOKENS:]
         last = 0  # tokens since the last trigger
         end = high
         for m in _TOKEN.finditer(text, first.start(), high):
             tokens.append(m.span())
             last = 0 if _TRIGGER.match(m.group()) else last + 1
-            if last >= MAX_TOKENS:
-                end = m.end()
+            if last >= 2 * MAX_TOKENS:  # half of these for this window, half for a next one
                 break
+        if last > MAX_TOKENS:
+            del tokens[MAX_TOKENS - last:]
+            if last >= 2 * MAX_TOKENS:
+                end = tokens[-1][1]
         yield tokens
         at = end
 

@@ -57,6 +57,39 @@ def test_segmentation_is_the_best_of_all():
                 assert got >= best - 1e-6
 
 
+def by_whole_lines(text, weights):
+    """The spans of ``find_spans`` with one window per line."""
+    base, more, at = pii.base_spans(text), [], 0
+    for line in text.split("\n"):
+        tokens = [(at + m.start(), at + m.end()) for m in pii._TOKEN.finditer(line)]
+        more += [s for s in pii.segment(text, tokens, weights) if not any(a < s[2] and s[0] < b for a, _, b in base)]
+        at += len(line) + 1
+    return base, sorted(base + more)
+
+
+@pytest.mark.parametrize("gap", [0, 1, 14, 15, 16, 17, 18, 19, 30, 31, 32, 33, 34, 47, 48, 49, 64])
+def test_windows_change_no_span(gap, weights):
+    """Gaps between triggers around every length at which windows are cut."""
+    rng = np.random.default_rng(gap)
+    fields = [np.round(w * 64) / 64 for w in (weights, *(rng.normal(0, 1, weights.shape) for _ in range(4)))]  # exact sums
+    for between in (" ".join(["word"] * gap), " ".join("x" * 300 for _ in range(gap)), ". " * gap, " " * 2000 + "word " * gap):
+        for tail in ("(212) 555-0100", "jane.doe42 at host dot org", "jdoe42@host.org now", "j [at] 4"):
+            text = f"see 7 {between} {tail} and {between} 12 {between}\n{between} 3 {tail}"
+            for field in fields:
+                assert pii.find_spans(text, field) == by_whole_lines(text, field)
+
+
+def test_windows_keep_every_token_in_reach():
+    for gap in range(70):
+        text = "7 " + "word " * gap + "9 end"
+        seen = [t for tokens in pii.windows(text) for t in tokens]
+        assert len(seen) == len(set(seen))
+        for tokens in pii.windows(text):
+            for k, (a, b) in enumerate(tokens):
+                if text[a:b] == "9":
+                    assert k >= min(gap + 1, pii.MAX_TOKENS - 1)
+
+
 def test_probabilities_equal_enumeration():
     """Forward-backward against the sum over all segmentations."""
     rng = np.random.default_rng(2)
