@@ -1,6 +1,6 @@
 """Quality rules: fixed text statistics, and a logistic regression on hashed n-grams.
 
-Features are word and byte n-gram frequencies hashed to ``BUCKETS`` buckets.  The regression is fitted on
+Features are frequencies of single words and of 4-byte windows, hashed to ``BUCKETS`` buckets.  The regression is fitted on
 a bounded, hash-chosen sample of labelled rows and its score calibrated (Platt's sigmoid) on the part
 of the sample that it was not fitted on.  Texts are scored in Arrow batches and compared with a fixed
 probability.
