@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, hamming, langid, licenses, mixing, pii, quality, urls, warc
+from tabsieve.llm import bpe, hamming, langid, licenses, lm, mixing, phrases, pii, quality, urls, warc
 from tabsieve.llm.common import materialise
 from tabsieve.llm.neardup import near_duplicates
 
@@ -211,3 +211,38 @@ SELECT query_id, rank, neighbor_id, distance FROM n WHERE rank <= 10
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return hamming.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op11_bloom_language_model")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
+    model = lm.fit(docs.where(learn))
+    return lm.score(docs, model, learn).select(F.col("id").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
+                                               F.lit(model.settings.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+#: every phrase counted by itself
+_PHRASES_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+o AS (SELECT lang, k, unnest([ws[i:i + k - 1] for i in range(1, len(ws) - k + 2)]) AS g FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, g, count(*) AS f FROM o GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+gone AS (SELECT DISTINCT s.lang, s.g FROM c s JOIN (SELECT lang, f, unnest([g[1:2], g[2:3]]) AS g FROM c WHERE k = 3) b
+    ON s.lang = b.lang AND s.g = b.g WHERE 100 * b.f >= 50 * s.f),
+cut AS (SELECT lang, k, g, f AS a, unnest(range(1, k)) AS j FROM c ANTI JOIN gone USING (lang, g)),
+s AS (SELECT cut.lang, cut.g, a, j, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cut
+  JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:j] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[j + 1:cut.k]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+d AS (SELECT *, array_to_string(g, ' ') AS phrase FROM b)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM d JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op13_debruijn_collocations", _PHRASES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
