@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, hamming, langid, licenses, lm, mixing, phrases, pii, quality, urls, warc
+from tabsieve.llm import bpe, hamming, langid, licenses, lm, mixing, negatives, phrases, pii, quality, urls, warc
 from tabsieve.llm.common import materialise
 from tabsieve.llm.neardup import near_duplicates
 
@@ -246,3 +246,24 @@ FROM d JOIN n USING (lang) QUALIFY rank <= 2000
 @query("op13_debruijn_collocations", _PHRASES_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+#: every anchor against every row
+_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+d AS (SELECT a.vec_id AS anchor, a.label AS own, r.vec_id AS id, r.label, list_inner_product(a.v, r.v)::BIGINT AS s
+      FROM v a JOIN v r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT * FROM d WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY s DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY d.s DESC, d.id)::INTEGER AS rank,
+       d.id AS negative_id, p.s AS positive_score, d.s AS negative_score
+FROM p JOIN d ON d.anchor = p.anchor AND d.label <> d.own AND 50 * p.s <= 100 * d.s AND 100 * d.s <= 95 * p.s QUALIFY rank <= 3
+"""
+
+
+@query("op12_rtree_hard_negatives", _NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, key = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(key % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, key % 50 == 0, label)
