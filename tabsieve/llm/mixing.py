@@ -7,24 +7,24 @@ the wanted number of tokens.  While no ``c * weight`` passes 1 the expected toke
 the target ratios; beyond that the most wanted cells are kept whole, so a tiny cell never sets the rate of
 the others, and what the margins then miss is reported.
 
-The first margin may have any number of values: its factor is a function of the others' factors and of
-that value's own cells, so it is never collected.  The other margins have few values (languages,
-topics); their factors are a small driver-side table, and each step is one grouped sum over the cells.
+A margin may have any number of values: cells, targets and factors stay tables.  A sweep sums the cells by each margin and
+brings the factors back by a counted lookup; documents meet their cells the same way.  Only a table of few cells, counted, is
+raked in one place.
 """
 
 from __future__ import annotations
 
 import logging
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.llm.common import lookup
+from tabsieve.llm.common import BROADCAST_ROWS, lookup
 
 _LOG = logging.getLogger(__name__)
 TOLERANCE, SWEEPS = 1e-6, 200
-#: values that one of the later margins may have (its factors are held on the driver)
-MARGIN_VALUES = 2_000
 
 
 def _key(column: str) -> Column:
@@ -32,83 +32,85 @@ def _key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))
 
 
-def shares(tokens: dict[str, float], wanted: float | dict[str, float]) -> dict[str, float]:
-    """Target shares of a margin: a power of its token shares (1 keeps them, 0 makes them equal), or given
-    weights by value, where values that are not named get none."""
+def shares(cells: DataFrame, margin: str, wanted: float | dict[str, float]) -> DataFrame:
+    """``(margin, goal)``: target shares of the values that have tokens.  A power of the token shares (1 keeps them, 0 makes them
+    equal), or given weights by value, where values that are not named get none."""
+    tokens = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t"))
     if isinstance(wanted, dict):
-        raw = {k: float(wanted.get(k[1:], 0.0)) if k != "-" else float(wanted.get(None, 0.0)) for k in tokens}
+        named = cells.sparkSession.createDataFrame([("-" if k is None else f"={k}", float(v)) for k, v in wanted.items()],
+                                                   f"{margin} string, raw double")
+        raw = tokens.join(F.broadcast(named), margin, "left").select(margin, F.coalesce("raw", F.lit(0.0)).alias("raw"))  # as many as the caller named
     else:
-        raw = {k: v**wanted if v > 0 else 0.0 for k, v in tokens.items()}
-    total = sum(raw.values())
-    return {k: v / total if total else 0.0 for k, v in raw.items()}
-
-
-def _factor(values: dict[str, float], column: Column) -> Column:
-    if not values:
-        return F.lit(0.0)
-    table = F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(table[column], F.lit(0.0))
-
-
-def rake(cells: DataFrame, margins: list[str], targets: dict[str, float | dict[str, float]]):
-    """Rake ``cells`` (the margins' key columns and ``tokens``) to ``targets``.
-
-    Returns ``(weight, by_first, goals, residual)``: ``weight`` is a Column over the later margins' keys and
-    ``__a``, ``by_first`` has ``__a`` and the target share ``__goal`` for each key of the first margin,
-    ``goals`` the target shares of the later margins, and ``residual`` is the largest relative miss of a
-    target.  Raises ValueError if a later margin has more than ``MARGIN_VALUES``
-    values.  Cells without tokens take no part.  Where targets contradict each other (a target for
-    cells that have no tokens), raking stops after ``SWEEPS`` rounds with the residual it has."""
-    first, rest = margins[0], margins[1:]
-    cells = cells.where("tokens > 0")
-    power = targets[first]
-    if isinstance(power, dict):
-        goal = _factor({f"={k}" if k is not None else "-": float(v) for k, v in power.items()}, F.col(first))
-    else:
-        goal = F.pow(F.sum("tokens"), F.lit(float(power)))
-    grouped = (cells.groupBy(first).agg(F.collect_list(F.struct(*rest, "tokens")).alias("cells"),
-                                        (goal if not isinstance(power, dict) else F.first(goal)).alias("goal"))
-               .checkpoint())
-    whole = grouped.agg(F.sum("goal")).first()[0] or 1.0
-    totals, factors = {}, {}
-    for m in rest:
-        found = cells.groupBy(m).agg(F.sum("tokens").alias("t")).limit(MARGIN_VALUES + 1).collect()
-        if len(found) > MARGIN_VALUES:
-            raise ValueError(f"margin {m} has more than {MARGIN_VALUES} values; put it first")
-        totals[m] = {r[m]: float(r["t"]) for r in found}
-        factors[m] = {k: 1.0 for k in totals[m]}
-    goals = {m: shares(totals[m], targets[m]) for m in rest}
-
-    def product(x) -> Column:
-        out = x["tokens"].cast("double")
-        for m in rest:
-            out = out * _factor(factors[m], x[m])
-        return out
-
-    def own_factor() -> Column:
-        mass = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + product(x))
-        return F.when(mass > 0, F.col("goal") / F.lit(float(whole)) / mass).otherwise(0.0)
+        raw = tokens.select(margin, F.pow("t", F.lit(float(wanted))).alias("raw"))
+    raw = raw.checkpoint()
+    whole = raw.agg(F.sum("raw")).first()[0] or 1.0
+    return raw.select(margin, (F.col("raw") / F.lit(whole)).alias("goal"))
+
+
+def rake(cells: DataFrame, margins: list[str], targets: dict[str, float | dict[str, float]]) -> tuple[DataFrame, float]:
+    """``cells`` (the margins' key columns and ``tokens``) with ``__w`` and the targets ``__goal_<margin>``, raked, and the largest relative
+    miss of a target in the last sweep.
+
+    Up to ``BROADCAST_ROWS`` counted cells are raked as one small table, more by a join and a grouped sum per margin; the
+    steps are the same.  Cells without tokens are left out.  Where targets contradict each other (a target for cells that
+    have no tokens), raking stops after ``SWEEPS`` rounds with the residual it has, and warns."""
+    cells = cells.where("tokens > 0").checkpoint()
+    few = cells.count() <= BROADCAST_ROWS
+    work = cells
+    for m in margins:  # every cell has a target in each margin
+        goal = shares(cells, m, targets[m]).withColumnRenamed("goal", f"__goal_{m}")
+        work = work.join(F.broadcast(goal), m) if few else lookup(work, goal.checkpoint(), m, F.struct(*margins))
+    out, residual = (_rake_few if few else _rake_many)(work.checkpoint(), margins)
+    if residual >= TOLERANCE:
+        _LOG.warning("raking stopped after %d sweeps; targets are missed by up to %g", SWEEPS, residual)
+    return out, residual
+
+
+def _rake_few(work: DataFrame, margins: list[str]) -> tuple[DataFrame, float]:
+    table = work.toArrow()  # at most ``BROADCAST_ROWS``
+    mass, residual = table["tokens"].to_numpy().astype(float), 0.0
+    weight = np.ones(len(mass))
+    groups = [np.unique(table[m].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1] for m in margins]
+    goals = [table[f"__goal_{m}"].to_numpy() for m in margins]
+    for _ in range(SWEEPS if len(mass) else 0):
+        residual = 0.0
+        for group, goal in zip(groups, goals):
+            reached = np.bincount(group, mass * weight)[group]
+            some = reached > 0
+            step = np.divide(goal, reached, out=np.zeros(len(goal)), where=some)
+            missed = np.abs(np.divide(reached, goal, out=np.ones(len(goal)), where=goal > 0) - 1.0)
+            residual = max(residual, float(missed.max()))
+            weight = weight * step
+        if residual < TOLERANCE:
+            break
+    out = table.append_column("__w", pa.array(weight))
+    columns = [*margins, "tokens", "__w", *[f"__goal_{m}" for m in margins]]
+    schema = ", ".join(f"{c} {'long' if c == 'tokens' else 'string' if c in margins else 'double'}" for c in columns)
+    return work.sparkSession.createDataFrame(out.select(columns), schema), residual
 
+
+def _rake_many(work: DataFrame, margins: list[str]) -> tuple[DataFrame, float]:
+    work = work.withColumns({f"__a_{m}": F.lit(1.0) for m in margins})
     residual = 0.0
-    for _ in range(SWEEPS if grouped.take(1) else 0):
-        residual = 0.0
-        for m in rest:
-            spread = grouped.select(own_factor().alias("__a"), F.explode("cells").alias("x"))
-            reached = {r["k"]: r["v"] for r in spread.select(F.col("x")[m].alias("k"),
-                                                             (F.col("__a") * product(F.col("x"))).alias("v"))
-                       .groupBy("k").agg(F.sum("v").alias("v")).collect()}
-            for k, goal_share in goals[m].items():
-                have = reached.get(k, 0.0)
-                if goal_share > 0:
-                    residual = max(residual, abs(have / goal_share - 1.0))
-                factors[m][k] *= goal_share / have if have > 0 else 0.0
+    for _ in range(SWEEPS):
+        work = work.withColumn("__miss", F.lit(0.0))
+        for m in margins:
+            mass = F.col("tokens").cast("double")
+            for other in margins:
+                mass = mass * F.col(f"__a_{other}")
+            reached = work.groupBy(m).agg(F.sum(mass).alias("__v"), F.first(f"__goal_{m}").alias("__g"))
+            step = reached.select(m, F.when(F.col("__v") > 0, F.col("__g") / F.col("__v")).otherwise(0.0).alias("__s"),
+                                  F.when(F.col("__g") > 0, F.abs(F.col("__v") / F.col("__g") - 1.0)).otherwise(0.0).alias("__m"))
+            work = lookup(work, step.checkpoint(), m, F.struct(*margins))
+            work = work.withColumns({f"__a_{m}": F.col(f"__a_{m}") * F.col("__s"), "__miss": F.greatest("__miss", "__m")}).drop("__s", "__m")
+        work = work.checkpoint()
+        residual = work.agg(F.max("__miss")).first()[0]
         if residual < TOLERANCE:
             break
-    weight = F.col("__a")
-    for m in rest:
-        weight = weight * _factor(factors[m], F.col(m))
-    goal = F.col("goal") / F.lit(float(whole))
-    return weight, grouped.select(first, own_factor().alias("__a"), goal.alias("__goal")), goals, residual
+    weight = F.lit(1.0)
+    for m in margins:
+        weight = weight * F.col(f"__a_{m}")
+    return work.select(*margins, "tokens", weight.alias("__w"), *[f"__goal_{m}" for m in margins]), residual
 
 
 def scale_for(weighted: DataFrame, budget: float | None) -> float:
@@ -136,15 +138,12 @@ def scale_for(weighted: DataFrame, budget: float | None) -> float:
         scale, full = max(scale, (budget - whole) / rest), cells
 
 
-def _missed(weighted: DataFrame, by_first: DataFrame, keys: list[str], goals: dict[str, dict[str, float]],
-            expected: float) -> list[float]:
+def _missed(weighted: DataFrame, keys: list[str], expected: float) -> list[float]:
     """Per margin, the largest relative miss of a target share by the expected tokens (``__kept``)."""
-    reached = F.coalesce(F.sum("__kept"), F.lit(0.0)) / F.lit(expected)
-    out = [weighted.groupBy(keys[0]).agg(reached.alias("v")).join(by_first.where("__goal > 0"), keys[0], "right")
-           .agg(F.max(F.abs(F.coalesce("v", F.lit(0.0)) / F.col("__goal") - 1.0))).first()[0] or 0.0]
-    for m in keys[1:]:
-        have = {r[0]: r[1] for r in weighted.groupBy(m).agg(reached).collect()}
-        out.append(max((abs(have.get(k, 0.0) / goal - 1.0) for k, goal in goals[m].items() if goal > 0), default=0.0))
+    out = []
+    for m in keys:
+        reached = weighted.groupBy(m).agg((F.sum("__kept") / F.lit(expected)).alias("v"), F.first(f"__goal_{m}").alias("g"))
+        out.append(reached.where("g > 0").agg(F.max(F.abs(F.col("v") / F.col("g") - 1.0))).first()[0] or 0.0)
     return out
 
 
@@ -153,7 +152,7 @@ def sample(df: DataFrame, margins: dict[str, Column], tokens: Column, targets: d
            report: dict | None = None) -> DataFrame:
     """``df`` with ``weight`` (relative to the largest), ``probability`` and ``kept`` for every row.
 
-    ``margins`` names the margins and how to compute them, the one with the most values first.  The
+    ``margins`` names the margins and how to compute them.  The
     expected number of kept tokens is ``budget``, or ``share`` of all tokens of ``df``; cells whose
     probability would pass 1 for that are kept whole, and the margins then miss their targets.  Without
     either it is as many as no probability passes 1 for, which the most wanted cell decides, however small
@@ -164,35 +163,41 @@ def sample(df: DataFrame, margins: dict[str, Column], tokens: Column, targets: d
 
     What came out is logged, and put into ``report`` if given: ``share`` (expected kept tokens of all),
     ``cells`` and ``whole_cells`` (all with tokens, and those with probability 1), ``residual`` (by margin,
-    the largest relative miss of a target share) and ``raking_residual`` (that of the weights)."""
+    the largest relative miss of a target share), ``raking_residual`` (that of the weights) and ``raked`` (whether that is
+    within ``TOLERANCE``)."""
     if budget is not None and share is not None:
         raise ValueError("give budget or share, not both")
     names = list(margins)
+    inner = [f"__c{k}" for k in range(len(df.columns))]  # columns of any name, out of the way
     keyed = df.select("*", *[c.alias(f"__v{k}") for k, c in enumerate(margins.values())],
-                      F.coalesce(tokens, F.lit(0)).cast("long").alias("__tokens"))
-    keyed = keyed.select("*", *[_key(f"__v{k}").alias(f"__m{k}") for k in range(len(names))])
+                      F.coalesce(tokens, F.lit(0)).cast("long").alias("__tokens"), chance_of(key, seed).alias("__chance"))
+    keyed = keyed.toDF(*inner, *[f"__v{k}" for k in range(len(names))], "__tokens", "__chance")
     keys = [f"__m{k}" for k in range(len(names))]
+    keyed = keyed.select(*inner, *[_key(f"__v{k}").alias(f"__m{k}") for k in range(len(names))], "__tokens", "__chance")
     cells = keyed.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")).checkpoint()
-    weight, by_first, goals, raking_residual = rake(cells, keys, dict(zip(keys, (targets[n] for n in names))))
-    by_first = by_first.checkpoint()
-    weighted = cells.where("tokens > 0").join(by_first, keys[0]).select(*keys, "tokens", weight.alias("__w")).checkpoint()
+    weighted, raking_residual = rake(cells, keys, dict(zip(keys, (targets[n] for n in names))))
+    weighted = weighted.checkpoint()
     total, top = weighted.agg(F.sum("tokens"), F.max("__w")).first()
     scale = scale_for(weighted, share * (total or 0) if share is not None else budget)
-    told = {"share": 0.0, "cells": 0, "whole_cells": 0, "residual": dict.fromkeys(names, 0.0), "raking_residual": raking_residual}
+    told = {"share": 0.0, "cells": 0, "whole_cells": 0, "residual": dict.fromkeys(names, 0.0), "raking_residual": raking_residual,
+            "raked": raking_residual < TOLERANCE}
     chosen = F.least(F.col("__w") * F.lit(scale), F.lit(1.0))
     weighted = weighted.withColumn("__kept", chosen * F.col("tokens"))
     expected, count, full = weighted.agg(F.sum("__kept"), F.count("*"), F.count(F.when(chosen >= 1.0, 1))).first()
     if expected:
         told |= {"share": expected / total, "cells": count, "whole_cells": full,
-                 "residual": dict(zip(names, _missed(weighted, by_first, keys, goals, expected)))}
+                 "residual": dict(zip(names, _missed(weighted, keys, expected)))}
     _LOG.info("mixture: %s", told)
     if report is not None:
         report.update(told)
-    chance = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    out = lookup(keyed, by_first.drop("__goal"), keys[0], F.struct(*key))
-    relative = F.when(F.col("__tokens") > 0, F.coalesce(weight, F.lit(0.0))).otherwise(0.0)
-    out = out.withColumn("__w", relative)
+    out = lookup(keyed.withColumn("__cell", F.array(*keys)), weighted.select(F.array(*keys).alias("__cell"), "__w"), "__cell", F.col("__chance"))
+    out = out.withColumn("__w", F.when(F.col("__tokens") > 0, F.coalesce("__w", F.lit(0.0))).otherwise(0.0))
     added = {"weight": F.col("__w") / F.lit(float(top or 1.0)),
              "probability": F.least(F.col("__w") * F.lit(scale), F.lit(1.0)),
-             "kept": chance < F.col("__w") * F.lit(scale)}
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in added], *[c.alias(n) for n, c in added.items()])
+             "kept": F.col("__chance") < F.col("__w") * F.lit(scale)}
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, df.columns) if c not in added], *[c.alias(n) for n, c in added.items()])
+
+
+def chance_of(key: list[str], seed: int) -> Column:
+    """A hash of the columns ``key`` and ``seed``, even between 0 and 1."""
+    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in key]), F.lit(1 << 53)) / F.lit(float(1 << 53))

@@ -73,11 +73,36 @@ def test_awkward_rows(awkward, empty):
     assert mixing.sample(empty, margins, words, targets, ["doc_id", "text"]).collect() == []
 
 
-def test_wide_later_margin_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MARGIN_VALUES", 5)
-    df = spark.range(20).select("id", F.lit("s").alias("s"), F.col("id").cast("string").alias("l"), F.lit(1).alias("n"))
-    with pytest.raises(ValueError, match="more than 5"):
-        mixing.sample(df, {"s": F.col("s"), "l": F.col("l")}, F.col("n"), {"s": 1.0, "l": 1.0}, ["id"])
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_wide_later_margin_holds(spark, monkeypatch, broadcast):
+    """2,100 languages beside few sources: every margin is met, with factors broadcast or salted."""
+    monkeypatch.setattr("tabsieve.llm.common.BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+    n = 2_100 if broadcast else 40
+    df = spark.range(4 * n).select("id", (F.col("id") % 3).alias("s"), (F.col("id") % n).cast("string").alias("l"), (1 + F.col("id") % 7).alias("n"))
+    report = {}
+    out = mixing.sample(df, {"s": F.col("s"), "l": F.col("l")}, F.col("n"), {"s": 0.5, "l": 0.0}, ["id"], report=report)
+    assert report["raked"] and max(report["residual"].values()) < 1e-4
+    mass = [r["t"] for r in out.groupBy("l").agg(F.sum(F.col("probability") * F.col("n")).alias("t")).collect()]
+    assert len(mass) == n and max(mass) / min(mass) == pytest.approx(1.0, rel=1e-4)
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_contradicting_targets_warn(spark, caplog, monkeypatch, broadcast):
+    """A source that only has one language, wanted in other shares."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(mixing, "SWEEPS", 3)
+    df = spark.createDataFrame([(1, "a", "x", 5), (2, "b", "y", 5)], "id long, s string, l string, n long")
+    report = {}
+    out = mixing.sample(df, {"s": F.col("s"), "l": F.col("l")}, F.col("n"), {"s": {"a": 0.9, "b": 0.1}, "l": {"x": 0.5, "y": 0.5}}, ["id"], report=report)
+    assert out.count() == 2 and not report["raked"] and "raking stopped" in caplog.text
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(k, "s", 5, 1, 2, 3, 4) for k in range(4)], "id long, s string, n long, `a.b` int, __w int, __tokens int, __cell int")
+    out = mixing.sample(df, {"s": F.col("s")}, F.col("n"), {"s": 1.0}, ["id"], share=0.5)
+    assert out.columns == [*df.columns, "weight", "probability", "kept"]
+    assert {tuple(r)[3:7] for r in out.collect()} == {(1, 2, 3, 4)}
 
 
 def test_a_tiny_cell_does_not_throttle_the_corpus(spark):
