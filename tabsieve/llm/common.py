@@ -87,6 +87,16 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column) -> DataF
             .join(salted, [key, "__salt"], "left").drop("__salt"))
 
 
+def looked_up(left: DataFrame, key: str, table: DataFrame, heavy: Column, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``left`` (no null keys) to ``table`` (one row per ``key``), both read twice.  Rows of ``table`` where
+    ``heavy`` holds are broadcast: the caller knows a bound of their number, and that no other key is hot."""
+    hot = table.where(heavy).withColumn("__hot", F.lit(True))
+    with_hot = left.join(F.broadcast(hot), key, "left")
+    rest = with_hot.where("__hot IS NULL").select(*left.columns).join(table.where(~heavy), key, how)
+    columns = [*left.columns, *[c for c in table.columns if c != key]]
+    return with_hot.where("__hot").select(*columns).unionByName(rest.select(*columns))
+
+
 def texts(column: pa.Array):
     """The strings of an Arrow column one at a time, so a batch is never held twice as Python objects."""
     for value in column:

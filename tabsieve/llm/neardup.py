@@ -22,6 +22,7 @@ deviations below the threshold, and every link is confirmed on full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,6 +193,38 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int)
             .select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
+#: rows of one side of a sub-bucket that a task compares with the other side's
+_MEETING = 256
+
+
+def _met(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components (``part``) of one bucket (``key``) that may pass ``_bound_allows``.
+
+    With ``c = n - u`` and ``c_a >= c_b`` the bound is ``100 * c_b >= percent * (u_a + u_b + c_a)``.  So ``c_b`` lies within
+    ``percent`` of ``c_a``, in its class of ``log c`` or the one below, and ``u_b <= 100 * c_a / percent - c_a - u_a``, in one
+    of the classes by bits up to that bound's.  Buckets are cut by both classes, which loses no pair: texts that share much but not
+    enough are in none that another of them asks for.  What is left of a bucket is dealt over salts."""
+    partitions = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = math.log(100.0 / percent) * 1.0001 if percent < 100 else 1e-9
+    bits = lambda u: F.when(u > 0, F.length(F.bin(u))).otherwise(0)
+    rows = materialise(open_.withColumn("c", F.expr("n - u")).withColumn("cc", F.floor(F.log("c") / F.lit(width)))
+                       .select("key", "cc", bits(F.col("u")).alias("ub"), "c", "n", "u", "part", "node", "cells"), "neardup-open")
+    cut = ["key", "cc", "ub"]
+    shares = rows.groupBy(*cut).agg(F.ceil(F.count(F.lit(1)) / F.lit(_MEETING)).cast("int").alias("salts")).checkpoint()
+    room = F.expr(f"(100 * c) div {percent} - c - u")
+    asks = (rows.withColumn("room", room).where("room >= 0")
+            .withColumn("cc", F.explode(F.array(F.col("cc"), F.col("cc") - 1)))
+            .withColumn("ub", F.explode(F.sequence(F.lit(0), bits(F.col("room")).cast("int"))))
+            .join(shares, cut).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
+    held = rows.join(shares, cut).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    # few bytes but many comparisons: a fixed number of partitions, which are not merged by size
+    sides = [side.repartition(partitions, *cut, "salt")
+             .select(*cut, "salt", *[F.col(x).alias(f"{x}_{s}") for x in ("n", "u", "c", "part", "cells")], F.col("node").alias(s))
+             for s, side in (("a", asks), ("b", held))]
+    return (sides[0].join(sides[1], [*cut, "salt"])
+            .where("part_a <> part_b AND (c_a > c_b OR (c_a = c_b AND a > b))"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                     size: int = SHINGLE_WORDS) -> DataFrame:
     """``(id, n_shingles, component_id, kept)``, one row per input row.
@@ -258,12 +291,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
     open_ = (placed.join(mixed, "key").join(sets.select("node", F.col("n").alias("n_set"), "cells"), "node")
              .where("n = n_set"))
-    # few bytes but many comparisons: a fixed number of partitions, which are not merged by size
-    open_ = open_.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    sides = [open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "u", "part", "cells")],
-                          F.col("node").alias(s)) for s in "ab"]
-    apart = (sides[0].join(sides[1], "key").where("a < b and part_a <> part_b")
-             .where(_bound_allows(percent)).where(_cells_allow(percent)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    apart = (_met(open_, percent).where(_bound_allows(percent)).where(_cells_allow(percent))
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
     links = links.unionByName(_confirmed(apart, sigs, sets, percent)).checkpoint()
 
     named_parts = (nodes.join(connected_components(links), "node", "left")

@@ -37,6 +37,46 @@ def brute(rows, percent):
     return union_find(links), {i: len(s) for i, s in sets}
 
 
+def test_a_hub_is_not_shuffled_by_its_node(spark, monkeypatch):
+    """Hubs' minima are broadcast, all others are joined by node; both ways give the same components."""
+    from tabsieve.llm import components
+    edges = [(k, 0 if k % 3 else 1) for k in range(10, 4000)] + [(5000 + k, 5001 + k) for k in range(40)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    want = union_find(edges)
+    for heavy in (10_000, 50, 0):
+        monkeypatch.setattr(components, "HEAVY", heavy)
+        found = {r["node"]: r["component"] for r in connected_components(df).collect()}
+        assert found == {k: v for k, v in want.items() if k != v}
+
+
+def boilerplate(spark, n):
+    """Texts of 200 words in common and 24 of their own: none is a link at 0.85, all share their buckets."""
+    rng = random.Random(2)
+    common = [f"c{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join(common[:100] + [f"o{i}x{k}" for k in range(12)] + common[100:] + [f"o{i}y{k}" for k in range(12)])) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+
+
+def test_boilerplate_emits_no_pairs(spark, monkeypatch):
+    from tabsieve.llm import neardup
+    met = []
+    plain = neardup._met
+    monkeypatch.setattr(neardup, "_met", lambda *a: met.append(plain(*a).checkpoint()) or met[-1])
+    out = near_duplicates(boilerplate(spark, 600), percent=85)
+    assert out.where("kept").count() == 600 and met[0].count() == 0
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Shared text with own parts of every length, so that links, near misses and hopeless pairs share their buckets."""
+    rng = random.Random(4)
+    common = [f"c{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join(common[:60 - rng.choice([0, 0, 3, 9, 20])] + [f"o{i}x{k}" for k in range(rng.choice([0, 1, 2, 4, 7, 12, 20]))])) for i in range(260)]
+    for percent in (80, 85):
+        component, sizes = brute(rows, percent)
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == component
+
+
 def test_components_of_chains_hubs_and_random_edges(spark):
     rng = random.Random(1)
     chain = [(k + 1, k) for k in range(100, 160)]
