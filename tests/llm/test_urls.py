@@ -64,6 +64,42 @@ def test_pages_name_their_aliases(spark):
     assert forms[0][0] == forms[1][0] == "site.com/p"
 
 
+def test_links_are_resolved(spark):
+    page = "https://h.com/a/b/c.html?q=1#f"
+    links = {"//o.com/p": "https://o.com/p", "/x/y": "https://h.com/x/y", "d.html": "https://h.com/a/b/d.html", "./e": "https://h.com/a/b/e",
+             "../f?g=1": "https://h.com/a/f?g=1", "../../../h": "https://h.com/h", "?z=2": "https://h.com/a/b/c.html?z=2", "..": "https://h.com/a/",
+             "http://abs.org/": "http://abs.org/", "#frag": None, "mailto:a@b.c": None, "javascript:void(0)": None, "sub/": "https://h.com/a/b/sub/"}
+    rows = [(k, page, f'<link rel="canonical" href="{link}">') for k, link in enumerate(links)]
+    rows.append((99, "http://bare.com", "<LINK HREF='next' REL=canonical />"))
+    rows.append((100, "http://two.com/", '<link rel="stylesheet" href="/s.css"><link data-x="1" href="/one" rel="canonical"><p><link rel=canonical href=/two>'
+                                         '<meta content="5; URL=\'/three\'" http-equiv="Refresh"><meta name="url=x" content="url=/four">'))
+    rows.append((101, None, '<link rel="canonical" href="/x">'))
+    df = spark.createDataFrame(rows, "id long, url string, html string")
+    got = {r["id"]: r["l"] for r in df.select("id", urls.page_links(df.html, df.url).alias("l")).collect()}
+    assert [got[k] for k in range(len(links))] == [[v] if v else [] for v in links.values()]
+    assert got[99] == ["http://bare.com/next"] and got[100] == ["http://two.com/one", "http://two.com/two", "http://two.com/three"]
+    assert not got[101]
+
+
+def test_forms_are_optional(spark):
+    df = spark.createDataFrame([(1, "http://m.bad.org/x", None), (2, "http://www.z.com/x", None), (3, "http://z.com/x", '<link rel="canonical" href="http://bad.org/">')],
+                               "page_id long, url string, html string")
+    asked = lambda **how: {r["page_id"]: r["verdict"] for r in urls.filter_urls(df, rules(spark), "page_id", "url", "html", **how).collect()}
+    assert asked() == {1: "block", 2: "block", 3: "block"} and asked(form=None) == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_hot_urls_and_components(spark, monkeypatch):
+    """A third of the pages has one URL and another third no URL; verdicts are the same with and without broadcasts."""
+    rows = [(k, [None, "http://m.bad.org/hot", f"http://s{k % 50}.net/{k % 7}"][k % 3], None) for k in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = brute({u for _, u, _ in rows}, [])
+    for heavy in (10_000, 20, 0):
+        monkeypatch.setattr(urls, "HEAVY", heavy)
+        got = urls.filter_urls(df, rules(spark), "page_id", "url", "html").collect()
+        assert sorted((r["page_id"], r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in got) == sorted(
+            (k, *(x or "" for x in want[u])) for k, u, _ in rows)
+
+
 def test_awkward_rows(spark, monkeypatch):
     rows = [(1, None, None, "r"), (2, "", "x", "r"), (3, "no scheme", "x", "r"), (4, "http://", "x", None), (5, "http://x.NET", "x", "r"),
             (6, "http://x.NET/", "x", "r"), (6, "http://x.NET/", "x", "r"), (None, "http://x.net?q=1", "x", "r"), (8, "a://b://net/", None, "r"),
