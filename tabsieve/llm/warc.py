@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve._ship import ship_by_value
-from tabsieve.llm.common import materialise, scratch_path
+from tabsieve.llm.common import lookup, materialise, scratch_path
 
 #: an archive is closed when it passes this size
 ARCHIVE_BYTES = 256 << 20
+#: records of an archive, whose index rows the task holds until it is closed; tasks of a reading job
+ARCHIVE_ROWS, MOST_TASKS = 50_000, 100_000
 GAP, READ = 64 << 10, 8 << 20
 #: offsets of one archive are read in slices of this size, so no archive is one task's work
 SLICE = 32 << 20
@@ -80,8 +82,9 @@ def with_revisits(df: DataFrame, id_col: str, payload_col: str, smallest: int =
     any id there is.  Equal payloads meet as digests and ids only, never as a group of payloads."""
     hashed = df.withColumn("payload_bytes", F.length(payload_col).cast("long")).withColumn("sha1", F.sha1(payload_col))
     largest = (hashed.where(F.col("payload_bytes") >= smallest).groupBy("sha1")
-               .agg(F.max(id_col).alias("__largest")))
-    joined = hashed.join(largest, "sha1", "left")
+               .agg(F.max(id_col).alias("__largest"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
+    # only repeated digests, counted: broadcast, or with a hot digest's pages spread over salts
+    joined = lookup(hashed, materialise(largest, "warc-repeated"), "sha1", F.monotonically_increasing_id())
     revisit = F.col("__largest").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("__largest"))
     return (joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
             .withColumn("refers_to", F.when(revisit, F.col("__largest"))).drop("__largest"))
@@ -112,7 +115,7 @@ def _writer(folder: str):
                 rows.append({"archive": name, "offset": size, "length": len(member)}
                             | {c: row[c] for c in _INDEX_SCHEMA.names[3:]})
                 size += len(member)
-                if size >= ARCHIVE_BYTES:  # index rows leave the task only after their archive is closed
+                if size >= ARCHIVE_BYTES or len(rows) >= ARCHIVE_ROWS:  # index rows leave the task only after their archive is closed
                     out.close()
                     yield pa.RecordBatch.from_pylist(rows, schema=_INDEX_SCHEMA)
                     out, rows = None, []
@@ -181,7 +184,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     and digest and length are the revisited payload's.  ``intact`` says that a response's bytes have the
     digest written with them.  A row selected twice is read twice; no rows give no records."""
     slices = index.select("archive", "offset", "length", F.floor(F.col("offset") / SLICE).alias("slice"))
-    dealt = slices.repartition("archive", "slice").sortWithinPartitions("archive", "offset")
+    # a stated number of partitions, which are not merged by the size of the index rows: it says nothing of the archives'
+    tasks = min(MOST_TASKS, max(1, slices.select("archive", "slice").distinct().count()))
+    dealt = slices.repartition(tasks, "archive", "slice").sortWithinPartitions("archive", "offset")
     return dealt.select("archive", "offset", "length").mapInArrow(_reader(folder), RECORD)
 
 

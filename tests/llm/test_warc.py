@@ -56,6 +56,36 @@ def test_small_payloads_may_stay_responses(spark):
     assert {r["id"]: r["refers_to"] for r in marked.collect()} == {1: None, 2: None, 3: 4, 4: None}
 
 
+def test_a_task_reads_a_slice_with_adaptive_execution(spark, monkeypatch):
+    """Index rows are few bytes, and say nothing of what a task has to read."""
+    monkeypatch.setattr(warc, "SLICE", 10_000)
+    monkeypatch.setattr(warc, "ARCHIVE_ROWS", 30)
+    pages = spark.range(100).select(F.col("id").alias("page_id"), F.lit("u").alias("url"),
+                                    F.concat(F.col("id").cast("string"), *[F.sha2((F.col("id") * 100 + k).cast("string"), 512) for k in range(10)]).alias("html"))
+    index, folder = warc.write_archives(pages.coalesce(1), "page_id", "url", "html")
+    assert index.groupBy("archive").count().agg(F.max("count")).first()[0] == 30  # closed by rows as well
+    slices = index.select("archive", F.floor(F.col("offset") / 10_000)).distinct().count()
+    assert slices >= 8 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    read = warc.read_records(index, folder)
+    assert read.rdd.getNumPartitions() == slices and read.where("intact").count() == 100
+
+
+def test_hot_digest_is_salted(spark, monkeypatch):
+    """With no broadcast a digest's pages meet its one index row in many partitions, with equal results."""
+    rows = [(k, "u", "hot" if k % 3 else f"p{k}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, u string, p string").withColumn("p", F.col("p").cast("binary")).repartition(6)
+    want = sorted(map(tuple, warc.with_revisits(df, "id", "p").select("id", "record_type", "refers_to").collect()))
+    monkeypatch.setattr("tabsieve.llm.common.BROADCAST_ROWS", 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        salted = warc.with_revisits(df, "id", "p")
+        assert "__salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, salted.select("id", "record_type", "refers_to").collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_folder_uris():
     assert warc._folder_uri("file:/a/b") == "file:///a/b" == warc._folder_uri("/a/b") == warc._folder_uri("file:///a/b")
     assert warc._folder_uri("hdfs://n/a") == "hdfs://n/a"
