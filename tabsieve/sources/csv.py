@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,20 +63,44 @@ def refine_types(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     return df.select(*exprs)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+def _files_by_breaks(spark: SparkSession, path: str | list[str]) -> dict[bool, list[str]]:
+    """The files in which a line ends inside open quotes (True) and the others, from one pass over the lines.
+
+    Doubled quotes leave a line's number of quotes even, so an odd one opens or closes a field over a line end.  (A stray
+    quote in an unquoted field is odd too; its file is then read whole, with the same result.)"""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    found = lines.groupBy("file").agg(F.max(odd).alias("odd")).collect()  # names of files, which the driver lists anyway
+    return {kind: sorted(unquote(r["file"]) for r in found if r["odd"] == kind) for kind in (True, False)}
+
+
+def _literal_path(uri: str) -> str:
+    """A file's name as a path pattern that names just it."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", uri)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
              drop_index_columns: bool = True, na_tokens: Iterable[str] = NA_TOKENS,
-             infer_types: bool = True, multi_line: bool = False) -> DataFrame:
-    """A1/A2/A3: header row, quoted fields with doubled quotes, pandas NA tokens as NULL, and (without an
+             infer_types: bool = True, multi_line: bool | None = None) -> DataFrame:
+    """A1/A2/A3: header row, quoted fields with doubled quotes and line breaks, pandas NA tokens as NULL, and (without an
     explicit ``schema``) numeric columns recognised after the NA pass.
 
-    ``multi_line`` allows line breaks inside quoted fields, as pandas does; each file is then read by one
-    task, so it is only for files that hold such fields and are small by nature."""
-    reader = (spark.read.option("header", True).option("escape", '"').option("quote", '"')
-                   .option("multiLine", multi_line).option("mode", "PERMISSIVE"))
-    if schema is not None:
-        df = reader.schema(schema).csv(path)
+    A file with a line break inside quotes can't be split, so each such file is read by one task and the others are split as
+    usual; which are such is found by one more pass over the lines.  ``multi_line`` skips that pass: True reads every file whole,
+    False says that no field has a line break."""
+    files = _files_by_breaks(spark, path) if multi_line is None else {True: [], False: []}
+    reader = spark.read.option("header", True).option("escape", '"').option("quote", '"').option("mode", "PERMISSIVE")
+    if schema is None:
+        header = reader.option("inferSchema", False).option("multiLine", bool(multi_line or files[True])).csv(path).schema
+    else:
+        header = schema
+    reader = reader.schema(header)
+    if files[True]:
+        df = reader.option("multiLine", True).csv([_literal_path(f) for f in files[True]])
+        if files[False]:
+            df = df.unionByName(reader.option("multiLine", False).csv([_literal_path(f) for f in files[False]]))
     else:
-        df = reader.option("inferSchema", False).csv(path)
+        df = reader.option("multiLine", bool(multi_line)).csv(path)
     if drop_index_columns:
         df = df.drop(*index_columns(df))
     df = null_tokens(df, tokens=na_tokens)

@@ -31,6 +31,28 @@ def test_csv_pandas_semantics(spark):
     assert preview(df, 1, ["b"]).count() == 1
 
 
+def test_csv_splits_files_without_line_breaks_in_fields(spark, tmp_path):
+    """Of three files only the one with such a field is read whole; odd names and stray quotes do no harm."""
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    plain = "a,b\n" + "".join(f'{k},"x ""{k}"" y"\n' for k in range(40_000))
+    (folder / "plain [1].csv").write_text(plain)
+    (folder / "broken %41*.csv").write_text('a,b\n1,"one\ntwo\r\nthree"\n2,"""quoted"""\n')
+    (folder / "stray.csv").write_text('a,b\n3,5" pipe\n4,z\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        df = read_csv(spark, str(folder))
+        parts = {(r["f"], r["p"]) for r in df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("f"), F.spark_partition_id().alias("p"))
+                 .distinct().collect()}
+        rows = df.where("a < 5 AND b NOT LIKE 'x %'").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert df.count() == 40_004 and dict(df.dtypes)["a"] == "bigint"
+    assert sorted((r["a"], r["b"]) for r in rows) == [(1, "one\ntwo\r\nthree"), (2, '"quoted"'), (3, '5" pipe'), (4, "z")]
+    assert len([f for f, _ in parts if "plain" in f]) > 2 and len([f for f, _ in parts if "broken" in f]) == 1
+
+
 def test_report_sink(spark):
     df = spark.createDataFrame([("a<b",), ("x",), ("x",)], "c string")
     out = save_category_audit(freq.category_summary(df, ["c"]), freq.category_table(df, ["c"]),
