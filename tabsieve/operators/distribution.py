@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tabsieve.functions.missing import canonicalize_missing, to_number
 from tabsieve.operators.freq import as_text
 from tabsieve.operators.lookup import lookup
-from tabsieve.operators.ordering import exact_quantiles, join_keys
+from tabsieve.operators.ordering import exact_quantiles, join_keys, met_keys
+from tabsieve.session import checkpoint_dir
 
 
 def numpy_bin(x: Column, lo: Column, hi: Column, bins: Column | int) -> Column:
@@ -51,8 +52,10 @@ def _histogram(local: DataFrame, keys: list[str], bins: int, integer_mode: Colum
                                      .when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")))
               .withColumn("_last", F.when(F.col("_int"), lo_i + F.col("_nb").cast("double"))
                                     .when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi"))))
+    checkpoint_dir(local.sparkSession)
+    rng = rng.checkpoint()
     int_bin = F.least(F.floor(v - F.col("_first")).cast("int"), F.col("_nb") - 1)
-    counted = (join_keys(local, rng, keys)
+    counted = (met_keys(local, rng, keys, ready=True)
                .withColumn("bin", F.when(F.col("_int"), int_bin)
                                    .otherwise(numpy_bin(v, F.col("_lo"), F.col("_hi"), F.col("_nb"))))
                .groupBy(*keys, "bin").agg(F.sum(cnt).alias("count")))
@@ -109,7 +112,8 @@ def raw_distributions(df: DataFrame, columns: Sequence[str], bins: int = 35,
     q = exact_quantiles(local, ["feature"], "_v", [0.01, 0.5, 0.99], ["_plo", "median", "_phi"], ["median"])
     trimmed = local
     if use_percentile_range:
-        trimmed = (join_keys(local, q.select("feature", "_plo", "_phi"), ["feature"])
+        q = q.checkpoint()
+        trimmed = (met_keys(local, q.select("feature", "_plo", "_phi"), ["feature"], ready=True)
                    .where(F.col("_v").between(F.col("_plo"), F.col("_phi"))).drop("_plo", "_phi"))
     int_flag = F.col("feature").isin(list(integer_columns)) if integer_columns else F.lit(False)
     hist = _histogram(trimmed, ["feature"], bins, integer_mode=int_flag)
@@ -125,7 +129,7 @@ def _box_whiskers(local: DataFrame, keys: list[str], whis: float) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - whis * iqr, F.col("q3") + whis * iqr
     v, cnt = F.col("_v"), F.col("_cnt")
-    raw = join_keys(local, quart, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    raw = met_keys(local, quart, keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.sum(cnt).alias("n"), F.min(F.when(v >= lo, v)).alias("_wl"), F.max(F.when(v <= hi, v)).alias("_wh"))
     return raw.select(*keys, "n", "q1", "median", "q3",
                       F.when(F.col("_wl").isNull() | (F.col("_wl") > F.col("q1")), F.col("q1"))
@@ -153,9 +157,9 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str], group_col: str | None =
                 .drop("_grouped"))
     keys = ["feature", "group"]
     local = _cells(values, keys)
-    box = _box_whiskers(local, keys, whis)
+    box = _box_whiskers(local, keys, whis).checkpoint()
     v, cnt = F.col("_v"), F.col("_cnt")
-    fliers = join_keys(local, box.select(*keys, "whisker_low", "whisker_high"), keys).groupBy(*keys).agg(
+    fliers = met_keys(local, box.select(*keys, "whisker_low", "whisker_high"), keys, ready=True).groupBy(*keys).agg(
         F.sum(F.when((v < F.col("whisker_low")) | (v > F.col("whisker_high")), cnt).otherwise(0)).alias("fliers"))
     return join_keys(box, fliers, keys).select(
         "feature", "group", F.col("n").cast("long").alias("n"), "q1", "median", "q3",

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsieve.operators.lookup import BROADCAST_ROWS
+from tabsieve.operators.lookup import BROADCAST_ROWS, SALTS
 from tabsieve.session import checkpoint_dir
 
 
@@ -34,6 +34,19 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"_rk_{k}" for k in keys])
 
 
+def met_keys(left: DataFrame, table: DataFrame, keys: Sequence[str], ready: bool = False) -> DataFrame:
+    """Inner :func:`join_keys` of raw rows to a derived ``table`` with one row per key, which is written and counted first
+    (``ready``: it has been written).  Up to ``BROADCAST_ROWS`` rows it is broadcast, so a hot key's rows stay where they are; beyond
+    that every row of the table is repeated per salt and the raw rows are dealt over the salts in turn."""
+    checkpoint_dir(left.sparkSession)
+    table = table if ready else table.checkpoint()
+    if table.count() <= BROADCAST_ROWS:
+        return join_keys(left, F.broadcast(table), keys)
+    dealt = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_keys(dealt, salted, [*keys, "_salt"]).drop("_salt")
+
+
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
@@ -189,8 +202,6 @@ def bracketed_counts(values: DataFrame, group_cols: Sequence[str], value: str, p
     if brackets is None:
         brackets = values.groupBy(*group).agg(F.count(value).alias("_n"), bracket_aggregate(F.col(value), probs).alias("_limits"))
     brackets = brackets.select(*group, "_n", "_limits").checkpoint()
-    if brackets.count() <= BROADCAST_ROWS:
-        brackets = F.broadcast(brackets)
     x, below = F.col(value), F.lit(float("-inf"))
     small = F.col("_n") <= BRACKET_ACCURACY
     stand_in = F.when(small, x)
@@ -199,7 +210,7 @@ def bracketed_counts(values: DataFrame, group_cols: Sequence[str], value: str, p
         high = F.lit(float("inf")) if q + _MARGIN >= 1 else F.get("_limits", 2 * i + 1)
         stand_in = stand_in.when((x >= low) & (x <= high), x).when(x < low, below)
         below = high
-    return (join_keys(values.select(*group, x), brackets, group)
+    return (met_keys(values.select(*group, x), brackets, group, ready=True)
             .select(*group, stand_in.otherwise(below).alias("_v"))
             .groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_cnt")))
 

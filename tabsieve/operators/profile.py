@@ -1,10 +1,9 @@
 """Column profiling.
 
-Numeric statistics share one core, :func:`numeric_stats`: the raw rows are scanned once into a distinct
-``(key, value, count)`` table (partial aggregation collapses repeated values map-side); exact
-quantiles, IQR outliers, mean and the two-pass standard deviation are then computed from that table
-through :func:`~tabsieve.operators.ordering.ordered_positions`, whose checkpoint is the only copy read
-again -- the source is never rescanned.
+Numeric statistics share one core, :func:`numeric_stats`: one pass aggregates counts, means and a sketch that brackets the
+quartiles, one picks the exact quartiles out of the few values inside the brackets, and one sums squared deviations and
+IQR outliers.  Raw cells meet the per-key bounds by a counted broadcast (or salts), so no pass moves them by key;
+only ``unique`` shuffles distinct values.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 from tabsieve.functions.labels import ALL_GROUP
 from tabsieve.functions.missing import canonicalize_missing, is_categorical, is_numeric, pct, to_number
 from tabsieve.operators.freq import INDEX_PREFIX, as_text, categorical_profile, frequency_table
-from tabsieve.operators.ordering import bracket_aggregate, exact_quantiles, join_keys
+from tabsieve.operators.ordering import bracket_aggregate, exact_quantiles, join_keys, met_keys
 from tabsieve.session import checkpoint_dir
 
 
@@ -54,7 +53,7 @@ def approx_numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str
                        F.get("_q", 2).alias("q3")).drop("_q")
     bounds = base.select(*keys, (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lo"),
                          (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    outl = join_keys(long_df.select(*keys, v.alias("_x")), bounds, keys).groupBy(*keys).agg(
+    outl = met_keys(long_df.select(*keys, v.alias("_x")), bounds, keys).groupBy(*keys).agg(
         F.count_if((F.col("_x") < F.col("_lo")) | (F.col("_x") > F.col("_hi"))).alias("outlier_count"))
     return (join_keys(base, outl, keys, "left")
             .withColumn("std", F.when(F.col("non_missing") > 1, F.col("_sd"))).drop("_sd"))
@@ -93,7 +92,7 @@ def numeric_stats(long_df: DataFrame, keys: Sequence[str], value_col: str = "v",
     bounds = base.select(*keys, "mean",
                          (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lo"),
                          (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_hi"))
-    second = join_keys(long_df.where(v.isNotNull()).select(*keys, v.alias("_x")), bounds, keys).groupBy(*keys).agg(
+    second = met_keys(long_df.where(v.isNotNull()).select(*keys, v.alias("_x")), bounds, keys).groupBy(*keys).agg(
         F.sum((F.col("_x") - F.col("mean")) * (F.col("_x") - F.col("mean"))).alias("_ss"),
         F.count_if((F.col("_x") < F.col("_lo")) | (F.col("_x") > F.col("_hi"))).alias("outlier_count"))
     out = join_keys(base, second, keys, "left")
