@@ -55,7 +55,8 @@ def compare(spark_df, con, sql):
         problems.append(f"row count spark={len(s_rows)} duck={len(d_rows)}")
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
     if a != b:
-        diff_a = [r for r in a if r not in b][:5]
-        diff_b = [r for r in b if r not in a][:5]
+        in_a, in_b = set(map(repr, a)), set(map(repr, b))
+        diff_a = [r for r in a if repr(r) not in in_b][:5]
+        diff_b = [r for r in b if repr(r) not in in_a][:5]
         problems.append(f"values differ ({sorted(s_cols)}): spark-only={diff_a} duck-only={diff_b}")
     return problems
