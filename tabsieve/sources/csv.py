@@ -91,7 +91,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     files = _files_by_breaks(spark, path) if multi_line is None else {True: [], False: []}
     reader = spark.read.option("header", True).option("escape", '"').option("quote", '"').option("mode", "PERMISSIVE")
     if schema is None:
-        header = reader.option("inferSchema", False).option("multiLine", bool(multi_line or files[True])).csv(path).schema
+        named = reader.option("inferSchema", False).option("multiLine", bool(multi_line or files[True] and not files[False]))
+        header = named.csv([_literal_path(files[False][0])] if files[True] and files[False] else path).schema
     else:
         header = schema
     reader = reader.schema(header)
