@@ -70,7 +70,7 @@ def test_columns_of_any_name_pass_every_stage(spark, docs):
 def test_nameless_texts_without_words_stay(spark, docs):
     rows = [(None, "", "en", "s", 0), (None, None, "en", "s", 0), (None, "  ", "en", "s", 2), (None, "two words", "en", "s", 9), (None, "two words", "fr", "s", 9)]
     df = spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
-    assert sorted((r["text"] or "-") for r in corpus_pipeline.near_duplicate(spark, df, "").collect()) == sorted(["", "-", "  ", "two words"])
+    assert sorted("-" if r["text"] is None else r["text"] for r in corpus_pipeline.near_duplicate(spark, df, "").collect()) == sorted(["", "-", "  ", "two words"])
 
 
 def test_many_languages(spark):
