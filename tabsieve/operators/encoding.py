@@ -56,10 +56,15 @@ def _typed(value: str, dtype) -> object:
     return value
 
 
-def fit_one_hot(df: DataFrame, columns: Sequence[str], max_categories: int | None = None,
+#: categories of a column that may become output columns
+MAX_CATEGORIES = 10_000
+
+
+def fit_one_hot(df: DataFrame, columns: Sequence[str], max_categories: int | None = MAX_CATEGORIES,
                 separator: str = "") -> OneHotModel:
     """Sorted distinct non-null categories per column, by one scan and one distinct.  As many as there are
-    become output columns; ``max_categories`` refuses more per column before any is collected."""
+    become output columns; more than ``max_categories`` in a column are refused, and no more than that is collected
+    (None: the caller answers for the width; :func:`one_hot_sparse` has no limit)."""
     columns = list(columns)
     df = canonicalize_missing(df.select(*[F.col(f"`{c}`") for c in columns]))
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
@@ -105,7 +110,7 @@ def one_hot_sparse(df: DataFrame, vocabulary: DataFrame, columns: Sequence[str],
 
 
 def one_hot_encoding(df: DataFrame, columns: Sequence[str], train: bool = True,
-                     model: OneHotModel | None = None, max_categories: int | None = None):
+                     model: OneHotModel | None = None, max_categories: int | None = MAX_CATEGORIES):
     """Reference-style entry point: ``train=True`` returns ``(encoded, model)``, else ``encoded``."""
     if train:
         model = fit_one_hot(df, columns, max_categories)

@@ -920,15 +920,13 @@ l AS (
 SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS line_number, line FROM l
 """)
 def q_audit_report_document(spark, sf):
-    """A4: the readable report, written and read back with the place of each line in its one file."""
+    """A4: the readable report, written and read back with the place of each line."""
     from tabsieve.session import scratch_folder
-    from tabsieve.sources.reports import save_category_audit
+    from tabsieve.sources.reports import read_report, save_category_audit
     part = table(spark, sf, "part").select("p_brand", "p_type")
     path = save_category_audit(freq.category_summary(part, ["p_brand", "p_type"]),
                                freq.category_table(part, ["p_brand", "p_type"]), scratch_folder(spark, "report"))
-    return (spark.read.text(f"{path}/report", wholetext=True)
-            .select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("line_number", "line"))
-            .select(F.col("line_number").cast("long").alias("line_number"), "line"))
+    return read_report(spark, path)
 
 
 @register("csv_with_index", """

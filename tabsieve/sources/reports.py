@@ -9,9 +9,11 @@ reproduced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabsieve.session import checkpoint_dir
+
 
 def html_escape(c: Column) -> Column:
     out = F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;"))
@@ -24,10 +26,6 @@ def _cell(c: Column) -> Column:
     return F.concat(F.lit("<td>"), F.coalesce(html_escape(c), F.lit("")), F.lit("</td>"))
 
 
-#: category rows up to which the document is one file; longer ones are files in order
-ONE_FILE_ROWS = 200_000
-
-
 def _line(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
@@ -58,8 +56,11 @@ def report_lines(summary: DataFrame, table: DataFrame) -> DataFrame:
 def save_category_audit(summary: DataFrame, table: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Write ``summary`` (feature, unique_categories) and ``table`` (feature, rank, category, count,
     percentage) under ``path``: ``summary/`` and ``tables/`` as Parquet, ``html/feature=<f>/`` as
-    ``<tr>`` rows, ``report/`` as one document.  Returns ``path``."""
+    ``<tr>`` rows, ``report/`` as one document: sorted files whose names are in the order of their lines, as many as the
+    session's shuffle makes of its size.  Both tables are computed once.  Returns ``path``."""
     base = path.rstrip("/")
+    checkpoint_dir(table.sparkSession)
+    summary, table = summary.checkpoint(), table.checkpoint()
     summary.write.mode(mode).parquet(f"{base}/summary")
     (table.repartitionByRange("feature", "rank").sortWithinPartitions("feature", "rank")
           .write.mode(mode).partitionBy("feature").parquet(f"{base}/tables"))
@@ -68,8 +69,16 @@ def save_category_audit(summary: DataFrame, table: DataFrame, path: str, mode: s
         _cell(F.col("percentage")), F.lit("</tr>")).alias("value"))
     (rows.repartitionByRange("feature", "rank").sortWithinPartitions("feature", "rank")
          .select("feature", "value").write.mode(mode).partitionBy("feature").text(f"{base}/html"))
-    lines = report_lines(summary, table)
-    keys = ["section", "feature_at", "rank"]
-    ordered = (lines.coalesce(1).sortWithinPartitions(*keys) if table.count() <= ONE_FILE_ROWS else lines.orderBy(*keys))
-    ordered.select(F.col("line").alias("value")).write.mode(mode).text(f"{base}/report")
+    (report_lines(summary, table).orderBy("section", "feature_at", "rank")
+     .select(F.col("line").alias("value")).write.mode(mode).text(f"{base}/report"))
     return base
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """``line_number, line`` of the document under ``path``: its files' lines, numbered on from file to file."""
+    files = (spark.read.text(f"{path.rstrip('/')}/report", wholetext=True)
+             .select(F.col("_metadata.file_name").alias("file"), F.split(F.regexp_replace("value", "\\n$", ""), "\n").alias("lines")).where("lines[0] <> '' OR size(lines) > 1"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = files.select("file", F.size("lines").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return (files.join(F.broadcast(starts.select("file", "start")), "file").select("start", F.posexplode("lines").alias("at", "line"))
+            .select((F.col("start") + F.col("at")).cast("long").alias("line_number"), "line"))

@@ -235,3 +235,11 @@ def test_yearly_loss_over_gaps(spark):
     assert [(r[1], r[2], r[3], round(r[4], 9)) for r in got] == [(None, 2, 1, 0.05), ("steady", 5, 4, 0.1), ("gap", 3, 4, 0.2)]
     broken = {r["group"]: (r["years"], round(r["yearly_loss"], 9)) for r in bivariate.yearly_loss(df, "v", "age", "g", span_gaps=False).collect()}
     assert broken == {None: (1, 0.05), "steady": (4, 0.1), "gap": (1, 0.5)}
+
+
+def test_dense_one_hot_refuses_wide_columns(spark):
+    from tabsieve.operators import encoding
+    df = spark.range(30).selectExpr("CAST(id AS STRING) AS c")
+    assert len(encoding.fit_one_hot(df, ["c"]).categories["c"]) == 30 and encoding.MAX_CATEGORIES == 10_000
+    with pytest.raises(ValueError, match="one_hot_sparse"):
+        encoding.fit_one_hot(df, ["c"], max_categories=29)

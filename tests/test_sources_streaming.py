@@ -62,6 +62,24 @@ def test_report_sink(spark):
     assert spark.read.parquet(out + "/tables").count() == 2
 
 
+def test_report_of_many_files_reads_in_order(spark, tmp_path):
+    """A document of several files has its lines in the order of one."""
+    from tabsieve.sources.reports import read_report
+    df = spark.createDataFrame([(f"v{k % 900}", f"w{k % 7}") for k in range(3000)], "c string, d string")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    found = []
+    for k, adaptive in enumerate(("true", "false")):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            out = save_category_audit(freq.category_summary(df, ["c", "d"]), freq.category_table(df, ["c", "d"]), str(tmp_path / str(k)))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", old)
+        found.append([r["line"] for r in read_report(spark, out).orderBy("line_number").collect()])
+        assert [r["line_number"] for r in read_report(spark, out).orderBy("line_number").collect()] == list(range(len(found[0])))
+    assert found[0] == found[1] and len(found[0]) == 2 + 2 + 1 + 2 * 2 + 907 + 1
+    assert len([f for f in os.listdir(tmp_path / "1" / "report") if f.endswith(".txt")]) > 1
+
+
 def test_stream_equals_batch(spark):
     from pyspark.sql import types as T
     src = "/root/testdata/sf0.01"
