@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from tabsieve.llm.common import looked_up
 from tabsieve.session import checkpoint_dir
 
-HEAVY = 10_000
+HEAVY = 50_000
 
 
 def _with_low(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    if total < HEAVY:  # every node is heavy
+        return edges.join(F.broadcast(low), "u").select("u", "v", "low")
     return looked_up(edges, "u", low, F.col("degree") * HEAVY > total).select("u", "v", "low")
 
 

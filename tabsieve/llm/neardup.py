@@ -208,13 +208,15 @@ def _met(open_: DataFrame, percent: int) -> DataFrame:
     width = math.log(100.0 / percent) * 1.0001 if percent < 100 else 1e-9
     bits = lambda u: F.when(u > 0, F.length(F.bin(u))).otherwise(0)
     rows = materialise(open_.withColumn("c", F.expr("n - u")).withColumn("cc", F.floor(F.log("c") / F.lit(width)))
-                       .select("key", "cc", bits(F.col("u")).alias("ub"), "c", "n", "u", "part", "node", "cells"), "neardup-open")
-    cut = ["key", "cc", "ub"]
+                       .select("key", "cc", bits(F.col("u")).alias("ub"), (F.col("part") == F.col("largest")).alias("main"),
+                               "c", "n", "u", "part", "node", "cells"), "neardup-open")
+    cut = ["key", "cc", "ub", "main"]
     shares = rows.groupBy(*cut).agg(F.ceil(F.count(F.lit(1)) / F.lit(_MEETING)).cast("int").alias("salts")).checkpoint()
     room = F.expr(f"(100 * c) div {percent} - c - u")
     asks = (rows.withColumn("room", room).where("room >= 0")
             .withColumn("cc", F.explode(F.array(F.col("cc"), F.col("cc") - 1)))
             .withColumn("ub", F.explode(F.sequence(F.lit(0), bits(F.col("room")).cast("int"))))
+            .withColumn("main", F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
             .join(shares, cut).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
     held = rows.join(shares, cut).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     # few bytes but many comparisons: a fixed number of partitions, which are not merged by size
@@ -288,7 +290,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # what is still apart inside a larger bucket
     placed = (crowd.join(parts, "node", "left")
               .withColumn("part", F.coalesce("component", "node")).drop("component"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    mixed = (placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
+             .groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("most"))
+             .where("parts > 1").select("key", F.col("most.part").alias("largest")))
     open_ = (placed.join(mixed, "key").join(sets.select("node", F.col("n").alias("n_set"), "cells"), "node")
              .where("n = n_set"))
     apart = (_met(open_, percent).where(_bound_allows(percent)).where(_cells_allow(percent))
