@@ -11,7 +11,10 @@ Candidate pairs are exact.  difflib's matched characters form a common subsequen
   dropped and added before it.  Segments and substrings meet in an equi-join on (feature, length, d,
   segment number, segment).
 * below that, segments get too short to select.  Strings are sets of tokens ``char#occurrence`` ordered by
-  rarity; prefixes longer by ``SHARED - 1`` than the usual prefix filter's must share ``SHARED`` tokens.
+  rarity.  Two strings that have ``o`` tokens in common share ``s`` of the first ``l - o + s`` of each.  For two lengths
+  up to ``SHORT``, ``o`` is known, and ``s`` is taken as large as ``SIGNATURES`` subsets a value allow (all of ``o`` for
+  common lengths of up to ten): the subsets of ``s`` tokens meet in an equi-join on (feature, both lengths, subset).  A pair
+  with a longer string must share ``SHARED`` single tokens.
 
 The pairs are then tested for character overlap on token arrays, and only what passes is scored, once,
 by difflib.
@@ -41,10 +44,12 @@ from tabsieve.operators.freq import as_text, long_values
 from tabsieve.operators.ordering import ordered_positions
 from tabsieve.session import checkpoint_dir
 
-_EMPTY_TOKEN = "\u0000"
 _EPS = 1e-9
 SEGMENT_FROM = 0.75
 SHARED = 3
+#: longest value whose pairs are found by token subsets, and the most subsets a value has for one partner length
+SHORT = 20
+SIGNATURES = 256
 
 
 def vocabulary(df: DataFrame, columns: Sequence[str], normalizer, strip: bool = False) -> DataFrame:
@@ -100,26 +105,63 @@ def _segment_pairs(vocab: DataFrame, threshold: float) -> DataFrame:
               .select("feature", F.col("rank").alias("rb"), F.col("len").alias("lb"), "la", "d", "k",
                       F.substring("norm", F.col("at") + 1, F.col("width")).alias("seg")).distinct())
     met = cut.join(parts, ["feature", "la", "d", "k", "seg"]).where("la < lb or ra < rb").where("ra <> rb")
+    return met.select("feature", F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).distinct()
+
+
+def _empty_pairs(vocab: DataFrame) -> DataFrame:
     empties = vocab.where(F.col("len") == 0).select("feature", F.col("rank").alias("rb"))
     first_empty = empties.groupBy("feature").agg(F.min("rb").alias("ra"))  # the first stands for all pairs of them
-    return (met.select("feature", F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).distinct()
-            .unionByName(first_empty.join(empties, "feature").where("ra < rb")
-                         .select("feature", F.col("ra").alias("r1"), F.col("rb").alias("r2"))))
+    return (first_empty.join(empties, "feature").where("ra < rb")
+            .select("feature", F.col("ra").alias("r1"), F.col("rb").alias("r2")))
+
+
+def subset_sizes(threshold: float) -> list[tuple[int, int, int, int]]:
+    """``(small, big, overlap, s)`` for every two lengths up to ``SHORT`` whose strings can reach ``threshold``: the
+    tokens they must have in common, and the size of the subsets of them that are looked for."""
+    out = []
+    for small in range(1, SHORT + 1):
+        for big in range(small, SHORT + 1):
+            overlap = math.ceil((small + big) * threshold / 2 - _EPS)
+            if overlap <= small:
+                out.append((small, big, overlap, max(s for s in range(1, overlap + 1)
+                                                     if s == 1 or math.comb(big - overlap + s, s) <= SIGNATURES)))
+    return out
+
+
+def _by_rarity(vocab: DataFrame) -> DataFrame:
+    tokens = vocab.select("feature", "rank", "len", F.explode(_tokens(F.col("norm"))).alias("tok"))
+    return tokens.join(tokens.groupBy("feature", "tok").agg(F.count(F.lit(1)).alias("_df")), ["feature", "tok"])
+
+
+def _subset_pairs(vocab: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of values of 1 to ``SHORT`` characters."""
+    ordered = (_by_rarity(vocab.where(F.col("len").between(1, SHORT))).groupBy("feature", "rank", "len")
+               .agg(F.transform(F.array_sort(F.collect_list(F.struct("_df", "tok"))), lambda x: x["tok"]).alias("toks")))
+    rows = [(own, *sizes) for sizes in subset_sizes(threshold) for own in sorted(set(sizes[:2]))]
+    sizes = vocab.sparkSession.createDataFrame(rows, "len int, small int, big int, overlap int, s int")  # at most SHORT^2 rows
+    subsets = ("filter(aggregate(slice(toks, 1, len - overlap + s), array(cast(array() as array<string>)), (acc, x) -> "
+               "concat(acc, transform(filter(acc, q -> size(q) < s), q -> concat(q, array(x))))), q -> size(q) = s)")
+    # equal hashes of unequal subsets only add a candidate
+    signed = (ordered.join(F.broadcast(sizes), "len").withColumn("sig", F.explode(F.expr(subsets)))
+              .select("feature", "rank", "len", "small", "big", F.xxhash64("sig").alias("sig")))
+    a = signed.where("len = small").select("feature", "small", "big", "sig", F.col("rank").alias("ra"))
+    b = signed.where("len = big").select("feature", "small", "big", "sig", F.col("rank").alias("rb"))
+    return (a.join(b, ["feature", "small", "big", "sig"]).where("ra < rb or (small < big and ra <> rb)")
+             .select("feature", F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).distinct())
 
 
 def _prefix_pairs(vocab: DataFrame, threshold: float) -> DataFrame:
-    tokens = vocab.select("feature", "rank", "len", F.explode(
-        F.when(F.col("len") == 0, F.array(F.lit(_EMPTY_TOKEN))).otherwise(_tokens(F.col("norm")))).alias("tok"))
-    rarity = tokens.groupBy("feature", "tok").agg(F.count(F.lit(1)).alias("_df"))
+    """Pairs of which at least one value has more than ``SHORT`` characters."""
+    tokens = _by_rarity(vocab.where(F.col("len") >= _least_partner(F.lit(SHORT + 1), threshold)))
     order = Window.partitionBy("feature", "rank").orderBy("_df", "tok")
     length = F.col("len") - _least_partner(F.col("len"), threshold) + SHARED
-    prefix = (tokens.join(rarity, ["feature", "tok"]).withColumn("_i", F.row_number().over(order))
+    prefix = (tokens.withColumn("_i", F.row_number().over(order))
                     .where(F.col("_i") <= F.greatest(length, F.lit(1))).select("feature", "rank", "len", "tok"))
     a = prefix.select("feature", "tok", F.col("rank").alias("r1"), F.col("len").alias("l1"))
     b = prefix.select("feature", "tok", F.col("rank").alias("r2"), F.col("len").alias("l2"))
     both = F.col("l1") + F.col("l2")
     overlap = F.ceil(both.cast("double") * F.lit(threshold / 2.0) - F.lit(_EPS))
-    return (a.join(b, ["feature", "tok"]).where("r1 < r2")
+    return (a.join(b, ["feature", "tok"]).where("r1 < r2").where(F.greatest("l1", "l2") > SHORT)
              .where(2.0 * F.least("l1", "l2") >= F.lit(threshold) * both - F.lit(_EPS))
              .groupBy("feature", "r1", "r2", "l1", "l2").agg(F.count(F.lit(1)).alias("_shared"))
              .where(F.col("_shared") >= F.greatest(F.lit(1), F.least(F.lit(SHARED), overlap))).select("feature", "r1", "r2"))
@@ -130,7 +172,9 @@ def candidate_pairs(vocab: DataFrame, threshold: float) -> DataFrame:
     direction (the bounds are symmetric).  Values with an empty normal form equal only each other."""
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]; t <= 0 would make every pair a candidate")
-    return _segment_pairs(vocab, threshold) if threshold >= SEGMENT_FROM else _prefix_pairs(vocab, threshold)
+    found = (_segment_pairs(vocab, threshold) if threshold >= SEGMENT_FROM
+             else _subset_pairs(vocab, threshold).unionByName(_prefix_pairs(vocab, threshold)))
+    return found.unionByName(_empty_pairs(vocab))
 
 
 def scored_edges(vocab: DataFrame, threshold: float, earlier_first: bool) -> DataFrame:

@@ -157,7 +157,7 @@ def _random_vocabulary(spark, count, seed=1):
     return spark.createDataFrame(rows, "feature string, rank long, norm string, len int"), [r[2] for r in rows]
 
 
-@pytest.mark.parametrize("threshold, share", [(0.85, 0.05), (0.8, 0.15)])
+@pytest.mark.parametrize("threshold, share", [(0.85, 0.05), (0.8, 0.15), (0.7, 0.05), (0.6, 0.4)])
 def test_candidates_are_few_and_lose_no_edge(spark, threshold, share):
     vocab, words = _random_vocabulary(spark, 400)
     got = {(r.r1, r.r2) for r in fuzzy.candidate_pairs(vocab, threshold).collect()}
