@@ -1,7 +1,7 @@
 """Quality rules: fixed text statistics, and a logistic regression on hashed n-grams.
 
-Features are frequencies of single words and of 4-byte windows, hashed to ``BUCKETS`` buckets.  The regression is fitted on
-a bounded, hash-chosen sample of labelled rows and its score calibrated (Platt's sigmoid) on the part
+Features are frequencies of single words, of pairs of neighbouring words and of windows of ``CHARS`` code points, hashed
+to ``BUCKETS`` buckets (words and pairs share one half, windows have the other).  The regression is fitted on a bounded, hash-chosen sample of labelled rows and its score calibrated (Platt's sigmoid) on the part
 of the sample that it was not fitted on.  Texts are scored in Arrow batches and compared with a fixed
 probability.
 """
@@ -53,13 +53,18 @@ def statistics(text: str, words: list[bytes], hashed: np.ndarray) -> tuple[int,
             len(lines) - len(set(lines)), repeats)
 
 
-def buckets_of(data: bytes, hashed: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-    """Buckets with the value each occurrence adds: words, then byte n-grams a chunk at a time."""
+def buckets_of(text: str, hashed: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """Buckets with the value each occurrence adds: words, pairs of neighbouring words, then code-point n-grams a
+    chunk at a time."""
     if len(hashed):
         yield (hashed >> np.uint64(64 - 16)).astype(np.int64), _SCALE / len(hashed)
-    count = len(data) - CHARS + 1
+    if len(hashed) > 1:
+        a, b = _odd_constants(23, 2, np.uint64)
+        pairs = _mixed(hashed[:-1] * a + hashed[1:] * b)
+        yield (pairs >> np.uint64(64 - 16)).astype(np.int64), _SCALE / len(pairs)
+    count = len(text) - CHARS + 1
     for at in range(0, max(0, count), _CHUNK):
-        code = np.frombuffer(data[at:at + _CHUNK + CHARS - 1], np.uint8).astype(np.uint32)
+        code = np.frombuffer(text[at:at + _CHUNK + CHARS - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
         total = np.zeros(len(code) - CHARS + 1, np.uint32)
         for k, factor in enumerate(_odd_constants(19, CHARS, np.uint32)):
             total = (total ^ (total >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + code[k:k + len(total)] * factor
@@ -73,8 +78,8 @@ class QualityModel:
     def __init__(self, weights: np.ndarray, slope: float, offset: float):
         self.weights, self.slope, self.offset = weights.astype(np.float32), slope, offset
 
-    def probability(self, data: bytes, hashed: np.ndarray) -> float:
-        score = sum((float(self.weights[b].sum()) * v for b, v in buckets_of(data, hashed)), 0.0)
+    def probability(self, text: str, hashed: np.ndarray) -> float:
+        score = sum((float(self.weights[b].sum()) * v for b, v in buckets_of(text, hashed)), 0.0)
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * score + self.offset, -35, 35))))
 
 
@@ -121,9 +126,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             columns, values = [], []
             for text in texts(batch.column("text")):
-                data = text.encode("utf-8", "surrogatepass")
                 total = np.zeros(BUCKETS)
-                for b, v in buckets_of(data, word_hashes(data.split())):
+                for b, v in buckets_of(text, word_hashes(text.encode("utf-8", "surrogatepass").split())):
                     total += np.bincount(b, minlength=BUCKETS) * v
                 columns.append(np.flatnonzero(total).astype(np.int32))
                 values.append(total[columns[-1]].astype(np.float32))
@@ -158,10 +162,9 @@ def _judge(model: QualityModel):
         for batch in batches:
             out = []
             for text in texts(batch):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                words = data.split()
+                words = (text or "").encode("utf-8", "surrogatepass").split()
                 hashed = word_hashes(words)
-                out.append((*statistics(text or "", words, hashed), model.probability(data, hashed)))
+                out.append((*statistics(text or "", words, hashed), model.probability(text or "", hashed)))
             columns = list(zip(*out)) if out else [[]] * 6
             yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns[:5]]
                                              + [pa.array(columns[5], pa.float64())], names=[*names, "quality"])
