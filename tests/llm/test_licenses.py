@@ -83,6 +83,77 @@ def test_mandatory_wording_must_be_exact():
             licenses.compile_template("t", bad)
 
 
+def as_pattern(template):
+    """The template as a regular expression over words that each end with a space."""
+    out = []
+    for t in re.findall(r"\[\[|\]\]|\{\{\d+-\d+\}\}|[^\s\[\]{}]+", template):
+        span = re.fullmatch(r"\{\{(\d+)-(\d+)\}\}", t)
+        out.append("(?:" if t == "[[" else ")?" if t == "]]" else r"(?:\S+ ){%s,%s}" % span.groups() if span else re.escape(t) + " ")
+    return re.compile("".join(out))
+
+
+def one_expansion(template, rng):
+    """Words of a text that the template stands for, with regions left out or filled at random."""
+    out, skipping = [], 0
+    for t in re.findall(r"\[\[|\]\]|\{\{\d+-\d+\}\}|[^\s\[\]{}]+", template):
+        if t == "[[":
+            skipping += bool(skipping) or rng.random() < 0.5
+        elif t == "]]":
+            skipping -= bool(skipping)
+        elif not skipping:
+            span = re.fullmatch(r"\{\{(\d+)-(\d+)\}\}", t)
+            out += [rng.choice(["acme", "be", "the", "software"]) for _ in range(rng.randint(*map(int, span.groups())))] if span else [t]
+    return out
+
+
+@pytest.mark.parametrize("label, template", licenses.BODIES, ids=[n for n, _ in licenses.BODIES])
+def test_whole_texts_are_accepted_as_the_pattern_says(label, template):
+    automaton, pattern, rng = licenses.compile_template(label, template), as_pattern(template), random.Random(label)
+    accepted = 0
+    for k in range(60):
+        words = one_expansion(template, rng)
+        if k % 3 == 1:  # one word changed, left out or put in
+            at = rng.randrange(len(words))
+            words[at:at + 1] = rng.choice([[], ["other"], [words[at], "other"]])
+        words += ["and", "more"]
+        want = max((m for m in range(1, len(words) + 1) if pattern.fullmatch(" ".join(words[:m]) + " ")), default=0)
+        assert automaton.matches([w.encode() for w in words], 0) == want
+        accepted += want > 0
+    assert 40 <= accepted < 60
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_license_files_in_documents(spark):
+    held = MIT.replace("THE\nAUTHORS OR COPYRIGHT HOLDERS", "ACME INC")
+    rows = [(1, "intro\n\n" + MIT + "\nend"), (2, "\n".join("# " + line for line in held.split("\n"))),
+            (3, MIT.replace("sublicense", "license")), (4, MIT[:MIT.index("OUT OF")]),
+            (5, "SPDX-License-Identifier: GPL-2.0-or-later"), (6, "Boost Software License, Version 1.0"), (7, None)]
+    got = {r["doc_id"]: r["__license"]["labels"] for r in licenses.detect(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "mit-text" in got[1] and "mit-text" in got[2]
+    assert got[3] == [] or "mit-text" not in got[3]
+    assert got[4] == ["mit"]  # the grant's first words alone
+    assert got[5] == ["spdx:GPL-2.0-or-later"] and got[6] == ["bsl-1.0"] and got[7] == []
+
+
 def test_awkward_rows(awkward, empty):
     rows = licenses.detect(awkward, into="kept").collect()
     assert len(rows) == awkward.count()
